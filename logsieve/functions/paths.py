@@ -102,8 +102,8 @@ PROBE_HINTS = [
 
 
 def probe_hint_flags(path: Column) -> list[Column]:
-    """One condition per entry of ``PROBE_HINTS``."""
-    p = F.lower(T.norm(path))
+    """One condition per entry of ``PROBE_HINTS``; takes the decoded lower-case path."""
+    p = path
     given = p != ""
     return [
         given,
@@ -127,12 +127,13 @@ def compact(items: list[Column]) -> Column:
 
 
 def is_burst_probe(path: Column, query: Column) -> Column:
-    """Does the request look like one step of directory probing?"""
-    p = F.lower(T.norm(path))
-    q = F.lower(T.norm(query))
+    """Does the request look like one step of directory probing?
+
+    Takes the decoded lower-case path and query.
+    """
     return (
-        (p != "") & (p != "/")
-        & (is_sensitive_path(p) | T.contains_any(q, rules.DIR_PROBE_FILE))
+        (path != "") & (path != "/")
+        & (is_sensitive_path(path) | T.contains_any(query, rules.DIR_PROBE_FILE))
     )
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from logsieve import rules
 from logsieve.functions import paths as P
 from logsieve.functions import text as T
+from logsieve.functions.stage import hold, where_once
+from logsieve.sources.store import materialize
 
 c = F.col
 GAP = rules.WINDOW_MS
@@ -26,16 +28,15 @@ GAP = rules.WINDOW_MS
 
 def probes(requests: DataFrame) -> DataFrame:
     """Requests that look like a probing step, reduced to what a burst needs."""
-    path = F.lower(P.effective_path(c("uri"), c("target")))
-    return requests.where(
-        c("method").isin("GET", "HEAD", "OPTIONS")
-        & c("log_time").isNotNull()
-        & P.is_burst_probe(path, c("query"))
-    ).select(
+    path = F.lower(T.norm(F.lower(P.effective_path(c("uri"), c("target")))))
+    rows = hold(requests, {"path": path, "query_low": F.lower(T.norm(c("query")))})
+    timed = c("method").isin("GET", "HEAD", "OPTIONS") & c("log_time").isNotNull()
+    rows = where_once(rows, timed & P.is_burst_probe(c("path"), c("query_low")))
+    return rows.select(
         "src_ip", "source_position", "id",
         F.unix_millis("log_time").alias("ms"),
         F.floor(F.unix_millis("log_time") / GAP).alias("block"),
-        F.lower(T.norm(path)).alias("path"),
+        "path",
         "status_code",
         P.content_type_bucket(c("resp_content_type")).alias("content_type"),
         "response_body_bytes",
@@ -118,7 +119,7 @@ def assign_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
 
 def probing_bursts(requests: DataFrame) -> DataFrame:
     """One row per burst of at least three probes on at least three paths."""
-    rows = probes(requests)
+    rows = materialize(probes(requests), "probes")  # narrow, few, and read three times
     points = rows.select("src_ip", "block", "ms").distinct()
     assigned = assign_starts(rows, burst_starts(points))
     html = (

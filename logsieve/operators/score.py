@@ -391,7 +391,8 @@ def filtered(judged: DataFrame) -> DataFrame:
 
 def filtered_rows(left_out: DataFrame) -> DataFrame:
     """Output form of left-out rows, with path hints."""
-    return left_out.withColumn("reason_hints", P.probe_hints(c("probe_path")))
+    held = left_out.withColumn("hint_path", F.lower(T.norm(c("probe_path"))))
+    return held.withColumn("reason_hints", P.probe_hints(c("hint_path"))).drop("hint_path")
 
 
 def high_signal_sqli(rows: DataFrame, min_score: int = rules.MIN_SCORE) -> DataFrame:

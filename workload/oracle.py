@@ -1,2 +1,490 @@
-def all_queries():
-    return {}
+"""Check queries in plain SQL for DuckDB, one per registered query.
+
+Written from the rules, row by row and without the shortcuts of the Spark side: texts
+are tested one by one, near events are found by a plain join, bursts by recursion.
+"""
+
+from logsieve import rules
+from workload import templates as W
+
+FAMILIES = [
+    ("sqli", rules.SQLI), ("xss", rules.XSS), ("traversal", rules.TRAVERSAL),
+    ("cmdi", rules.CMDI), ("ua", rules.AUTOMATION_UA),
+]
+SIGNATURES = [(f, n, p, pts) for f, sigs in FAMILIES for n, p, pts in sigs]
+PATTERN = {(f, n): p for f, n, p, _ in SIGNATURES}
+SCRIPT = PATTERN["xss", "script_tag"]
+JS = PATTERN["xss", "javascript_uri"]
+COMMENT = PATTERN["sqli", "sql_comment"]
+QUOTE_END = PATTERN["sqli", "quote_termination"]
+
+
+def s(v) -> str:
+    if v is None:
+        return "NULL"
+    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def rx(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {s('(?i)' + pattern)})"
+
+
+def dec(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def norm(x: str) -> str:
+    return f"trim({dec(f'coalesce({x}, {s(chr(39)*0)})')})"
+
+
+def has_any(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {s(w)})" for w in words) + ")"
+
+
+def any_of(lst: str, test) -> str:
+    return f"(len(list_filter({lst}, lambda s_: {test('s_')})) > 0)"
+
+
+def uniq(lst: str) -> str:
+    return f"list_filter({lst}, lambda x_, i_: x_ <> '' AND list_position({lst}, x_) = i_)"
+
+
+def compact(items) -> str:
+    return "list_filter([" + ", ".join(items) + "], lambda x_: x_ IS NOT NULL)"
+
+
+def label(cond: str, text: str) -> str:
+    return f"CASE WHEN {cond} THEN {text if text.startswith('(') else s(text)} END"
+
+
+def joined(lst: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_distinct({lst})), ','), '')"
+
+
+def flag(x: str) -> str:
+    return f"CASE WHEN {x} THEN 1 ELSE 0 END"
+
+
+def strip_ent(x: str) -> str:
+    return f"regexp_replace({x}, {s('(?i)' + rules.HTML_ENTITY)}, '', 'g')"
+
+
+def unescape(x: str) -> str:
+    ents = f"list_distinct(regexp_extract_all({x}, {s('(?i)' + rules.HTML_ENTITY)}))"
+    code = (
+        "CASE WHEN lower(e_[3:3]) = 'x' THEN ('0x' || e_[4:-2])::INT ELSE (e_[3:-2])::INT END"
+    )
+    return f"list_reduce({ents}, lambda a_, e_: replace(a_, e_, chr({code})), {x})"
+
+
+def family(uri: str) -> str:
+    n = f"lower({norm(uri)})"
+    path = f"CASE WHEN contains({uri}, '?') THEN split_part({n}, '?', 1) ELSE {n} END"
+    parts = f"list_filter(string_split({path}, '/'), lambda g_: g_ <> '')[1:3]"
+    one = "CASE WHEN regexp_full_match(g_, '[0-9a-f]{6,}|[0-9]+') THEN '{id}' ELSE g_ END"
+    return f"'/' || array_to_string(list_transform({parts}, lambda g_: {one}), '/')"
+
+
+def ratio_at_least(q: str, pct: int) -> str:
+    special = f"len(regexp_replace({q}, '[^''\"`;=#()/*,<>%-]', '', 'g'))"
+    return f"(len({q}) > 0 AND {special} * 100 >= len({q}) * {pct})"
+
+
+def under(p: str, prefixes) -> str:
+    return "(" + " OR ".join(f"{p} = {s(x)} OR starts_with({p}, {s(x + '/')})" for x in prefixes) + ")"
+
+
+def segs(p: str) -> str:
+    return f"list_filter(string_split({p}, '/'), lambda g_: g_ <> '')"
+
+
+def hidden(p: str) -> str:
+    return f"(len(list_filter({segs(p)}, lambda g_: starts_with(g_, '.') AND g_ <> '.well-known')) > 0)"
+
+
+def sensitive(p: str) -> str:
+    inside = ", ".join(s(x) for x in rules.BURST_PATH_SEGMENT)
+    suffix = " OR ".join(f"ends_with({p}, {s(x)})" for x in rules.BURST_PATH_SUFFIX)
+    return (
+        f"({hidden(p)} OR {under(p, rules.BURST_PATH_PREFIX)} OR {suffix} OR "
+        f"len(list_filter({segs(p)}, lambda g_: g_ IN ({inside}))) > 0)"
+    )
+
+
+def probe_hints(p: str) -> str:
+    return compact(
+        [
+            label(f"{p} <> ''", "dir_probe:burst"),
+            label(f"{p} <> '' AND {sensitive(p)}", "dir_probe:sensitive_path"),
+            label(f"{p} IN ('/config.php', '/admin/config.php')", "dir_probe:sensitive_config_path"),
+            label(f"{p} = '/config.php'", "file_probe:config_php"),
+            label(f"{p} = '/admin/config.php'", "file_probe:admin_config_php"),
+            label(under(p, rules.BURST_ADMIN_PREFIX), "dir_probe:admin_path"),
+        ]
+    )
+
+
+def burst_probe(p: str, q: str) -> str:
+    return f"({p} <> '' AND {p} <> '/' AND ({sensitive(p)} OR {has_any(q, rules.DIR_PROBE_FILE)}))"
+
+
+def local(ts: str, fmt: str, tail: str) -> str:
+    return f"strftime({ts} + INTERVAL 9 HOUR, {s(fmt)}) || {s(tail)}"
+
+
+# --------------------------------------------------------------- the request log
+
+_ATT = ", ".join(
+    "(" + ", ".join([str(i)] + [s(v) for v in row]) + ")" for i, row in enumerate(W.ATTACKS)
+)
+_PRB = ", ".join(f"({i}, {s(p)})" for i, p in enumerate(W.PROBES))
+
+LOG = f"""
+att(i, a_method, a_target, a_uri, a_query, a_status, a_reqct, a_respct, a_bytes, a_agent) AS (VALUES {_ATT}),
+prb(i, p_path) AS (VALUES {_PRB}),
+ev0 AS (SELECT event_id AS ev, user_id, value, event_id % (SELECT count(*) FROM pages) AS pk FROM events),
+ev1 AS (
+  SELECT ev0.*, att.*, prb.p_path, (ev // 64) % 4 AS phase,
+    regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS page_path,
+    regexp_extract(url, '([?][^#]*)', 1) AS page_query
+  FROM ev0 JOIN pages ON page_id = pk JOIN att ON att.i = ev % {len(W.ATTACKS)}
+  JOIN prb ON prb.i = ev % {len(W.PROBES)}),
+ev2 AS (
+  SELECT *, CASE phase WHEN 1 THEN a_target WHEN 3 THEN p_path ELSE page_path END AS path,
+    CASE phase WHEN 1 THEN a_query WHEN 3 THEN '' ELSE page_query END AS qs,
+    CASE WHEN phase = 1 THEN a_method ELSE 'GET' END AS method,
+    CASE WHEN phase = 1 AND a_agent = 'browser' THEN {s(W.BROWSER)}
+         WHEN phase = 1 AND a_agent IS NOT NULL THEN a_agent
+         WHEN ev % 4 = 2 THEN 'curl/8.5.0'
+         WHEN ev % 4 = 3 AND phase = 1 THEN 'sqlmap/1.8' ELSE {s(W.BROWSER)} END AS user_agent,
+    CASE WHEN ev % 13 = 0 THEN 404 WHEN ev % 17 = 0 THEN 500 WHEN phase = 1 THEN a_status ELSE 200 END AS status_code,
+    CASE WHEN phase = 3 AND ev % 4 = 0 THEN 75002 WHEN phase = 1 AND a_bytes IS NOT NULL THEN a_bytes
+         ELSE floor(value * 100)::BIGINT END AS response_body_bytes,
+    CASE WHEN ev % 3 <> 0 THEN 'http://shop.example/' END AS referer
+  FROM ev1),
+log AS (
+  SELECT ev + 1 AS id, make_timestamp(({W.START_MS} + ev * 2000) * 1000) AS log_time,
+    CASE WHEN ev % 7 <> 0 THEN 'rq' || ev END AS request_id,
+    CASE WHEN ev % 11 = 0 THEN 'el' || ev END AS error_link_id,
+    '10.1.' || ((ev // 6400) % 250) || '.' || (user_id % 6 + 1) AS src_ip, method,
+    method || ' ' || path || qs || ' HTTP/1.1' AS raw_request,
+    CASE WHEN phase = 1 AND a_uri IS NOT NULL THEN a_uri ELSE path END AS uri, path AS target_path,
+    qs AS query_string, status_code, response_body_bytes,
+    floor(value * 10000)::BIGINT AS duration_us, floor(value * 6000)::BIGINT AS ttfb_us,
+    CASE WHEN phase = 1 THEN a_reqct END AS req_content_type,
+    coalesce(CASE WHEN phase = 1 THEN a_respct END, 'text/html') AS resp_content_type,
+    referer, user_agent
+  FROM ev2),
+log2 AS (
+  SELECT *, src_ip || ' - - [' || strftime(log_time + INTERVAL 9 HOUR, '%d/%b/%Y:%H:%M:%S') || ' +0900] "'
+    || raw_request || '" ' || status_code || ' ' || response_body_bytes || ' "' || coalesce(referer, '-')
+    || '" "' || user_agent || '" "shop.example" main' AS raw_log FROM log)"""
+
+
+def canon(sources: str) -> str:
+    """Canonical rows of the named sources in order."""
+    parts = []
+    for pos, name in enumerate(sources.split(",")):
+        if name == "error":
+            text = norm("'[core] AH00128: File does not exist: /srv/www' || uri")
+            parts.append(
+                f"SELECT 'error' AS source_table, {pos} AS pos, id, log_time, src_ip, '-' AS method, "
+                "'' AS uri, '' AS query_raw, '' AS query, '' AS raw_request, '' AS request_text, "
+                "0 AS status_code, 0 AS response_body_bytes, 0 AS duration_us, 0 AS ttfb_us, "
+                "'' AS req_content_type, '' AS resp_content_type, '' AS user_agent, '' AS referer, "
+                f"coalesce(request_id, '') AS request_id, coalesce(error_link_id, '') AS error_link_id, "
+                f"{text} AS log_text, '' AS target FROM log2 WHERE (id - 1) % 9 = 0"
+            )
+            continue
+        sec = name == "security"
+        target = "regexp_extract(raw_request, '^[^ ]+ (.*) HTTP/[^ ]*$', 1)"
+
+        def only(x: str, other: str) -> str:
+            return x if sec else other
+
+        parts.append(
+            f"SELECT {s(name)}, {pos}, id, log_time, src_ip, method, {norm('uri')}, query_string, "
+            f"{norm('query_string')}, raw_request, {norm('raw_request')}, status_code, "
+            f"response_body_bytes, {only('duration_us', '0')}, {only('ttfb_us', '0')}, "
+            + only("coalesce(req_content_type, '')", "''") + ", "
+            + only("resp_content_type", "''") + f", {norm('user_agent')}, {norm('referer')}, "
+            + only("coalesce(request_id, '')", "''") + ", "
+            + only("coalesce(error_link_id, '')", "''")
+            + f", {norm('raw_log')}, {target} FROM log2"
+            + only("", " WHERE (id - 1) % 5 = 0")
+        )
+    first = "source_table, pos, id, log_time, src_ip, method, uri, query_raw, query, raw_request, request_text, status_code, response_body_bytes, duration_us, ttfb_us, req_content_type, resp_content_type, user_agent, referer, request_id, error_link_id, log_text, target"
+    return f"req({first}) AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def texts() -> str:
+    ent = rules.HTML_ENTITY
+    def forms(k: str) -> str:
+        own = f"list_filter([{k}0, trim({k}1), trim({k}2)], lambda x_: x_ IS NOT NULL)"
+        got = f"list_transform(list_filter({own}, lambda y_: {rx('y_', ent)}), lambda y_: trim({unescape('y_')}))"
+        return f"list_filter({got}, lambda z_, i_: z_ <> '' AND NOT list_contains({own}, z_) AND list_position({got}, z_) = i_)"
+    return f"""
+t0 AS (SELECT *, nullif(query_raw, '') AS q0, nullif(target, '') AS t0 FROM req),
+t1 AS (SELECT *, nullif({dec('q0')}, q0) AS q1, nullif({dec('t0')}, t0) AS t1 FROM t0),
+t2 AS (SELECT *, nullif({dec('q1')}, q1) AS q2, nullif({dec('t1')}, t1) AS t2 FROM t1),
+t3 AS (SELECT *, {forms('q')} AS qe, {forms('t')} AS te,
+  list_filter([raw_request, request_text, {norm('uri')}, query_raw, query, target, log_text], lambda x_: x_ IS NOT NULL) AS b0 FROM t2),
+t4 AS (SELECT *, list_filter([trim(q1), trim(q2)] || qe || [trim(t1), trim(t2)] || te, lambda x_: x_ IS NOT NULL) AS e0 FROM t3),
+t5 AS (SELECT *, array_to_string({uniq('b0')}, ' ') AS base_text, array_to_string({uniq('e0')}, ' ') AS extra FROM t4),
+tx AS (SELECT *, CASE WHEN extra IN ('', base_text) THEN base_text WHEN base_text = '' THEN extra ELSE base_text || ' ' || extra END AS combined,
+  list_filter([q0, t0], lambda x_: x_ IS NOT NULL) AS d0,
+  list_filter([trim(q1), trim(t1)], lambda x_: x_ IS NOT NULL) AS d1,
+  list_filter([trim(q2), trim(t2)], lambda x_: x_ IS NOT NULL) AS d2 FROM t5),
+ty AS (SELECT *, [combined] || d0 || d1 || d2 || qe || te AS samples FROM tx)"""
+
+
+def sig(fam: str, name: str, x: str, strip=True) -> str:
+    if name == "sql_comment" and strip:
+        x = strip_ent(x)
+    return rx(x, PATTERN[fam, name])
+
+
+def attack(x: str, fams=("sqli", "xss", "traversal", "cmdi"), strip=True) -> str:
+    return "(" + " OR ".join(sig(f, n, x, strip) for f, n, _, _ in SIGNATURES if f in fams) + ")"
+
+
+_HEAVY = has_any("lower(uri)", rules.QUERY_HEAVY_URI)
+_LOGIN = has_any("lower(uri)", rules.LOGIN_URI)
+_BROWSER = has_any("lower(user_agent)", rules.BROWSER_UA)
+_JSON = "(starts_with(lower({0}), 'application/json') OR ends_with(lower({0}), '+json'))"
+_STATIC = "(" + " OR ".join(
+    [f"ends_with(lower(uri), {s(x)})" for x in rules.STATIC_SUFFIX]
+    + [f"starts_with(lower(uri), {s(x)})" for x in rules.STATIC_PREFIX]
+) + ")"
+_JOINED = "lower(concat_ws(' ', uri, request_text, query))"
+EARLY = f"""CASE WHEN source_table IN ('access', 'security') AND starts_with(lower(uri), '/socket.io/') AND status_code = 200
+  AND error_link_id = '' AND NOT {attack(_JOINED, strip=False)}
+  AND (contains({_JOINED}, 'transport=polling') OR contains({_JOINED}, 'eio=')) AND {_BROWSER} THEN 'socketio_polling'
+  WHEN source_table = 'access' AND {_STATIC} AND status_code = 200 THEN 'static_asset' END"""
+_PATH_OF = f"split_part({norm('target')}, '?', 1)"
+_EFF = f"coalesce(nullif({_PATH_OF}, ''), {norm('uri')})"
+_LEARN_SQL = has_any(f"lower({norm('query')})", rules.LEARNING_SQL_TERMS)
+
+
+def learn_xss(x: str) -> str:
+    low = f"lower({norm(x)})"
+    terms = [t.replace(" ", r"\s+") for t in rules.LEARNING_XSS_TERMS if t.isascii()]
+    other = [t for t in rules.LEARNING_XSS_TERMS if not t.isascii()]
+    worded = f"regexp_matches({low}, {s(r'(^|[^0-9A-Za-z_./-])(' + '|'.join(terms) + r')($|[^0-9A-Za-z_./-])')})"
+    return f"(({worded} OR {has_any(low, other)}) AND {has_any(low, rules.LEARNING_XSS_KEYWORDS)})"
+
+
+def join2(a: str, b: str) -> str:
+    return f"CASE WHEN {b} IN ('', {a}) THEN {a} WHEN {a} = '' THEN {b} ELSE {a} || ' ' || {b} END"
+
+
+def mixed(x: str) -> str:
+    tags = f"regexp_extract_all({x}, '(?i)<\\s*([a-z]+)\\b', 1)"
+    return f"(len(list_filter({tags}, lambda g_: lower(g_) = 'script' AND g_ NOT IN ('script', 'SCRIPT'))) > 0)"
+
+
+_C2 = f"[combined, {norm('combined')}]"
+SQL_STRUCTURE = {
+    "quote_termination": any_of(_C2, lambda x: rx(x, QUOTE_END)),
+    "sql_comment": any_of(_C2, lambda x: rx(strip_ent(x), COMMENT)),
+    "xclose": any_of(_C2, lambda x: rx(x, rules.XCLOSE)),
+    "boolean_condition": any_of(_C2, lambda x: rx(x, rules.BOOLEAN_CONDITION)),
+    "union_column_list": any_of(_C2, lambda x: rx(x, rules.UNION_COLUMN_LIST)),
+    "schema_access": any_of(_C2, lambda x: rx(x, rules.SCHEMA_ACCESS)),
+    "from_users": any_of(_C2, lambda x: rx(x, rules.FROM_USERS)),
+}
+XSS_STRUCTURE = {
+    "script_tag": any_of("samples", lambda x: rx(x, SCRIPT)),
+    "mixed_case_script_tag": any_of("samples", mixed),
+    "event_handler_assignment": any_of("samples", lambda x: rx(x, rules.EVENT_HANDLER_ASSIGNMENT)),
+    "javascript_protocol": any_of("samples", lambda x: rx(x, JS)),
+    "browser_data_access": any_of("samples", lambda x: rx(x, rules.BROWSER_DATA_ACCESS)),
+    "external_navigation": any_of("samples", lambda x: rx(x, rules.EXTERNAL_NAVIGATION)),
+    "quote_breakout": any_of("samples", lambda x: rx(x, rules.QUOTE_BREAKOUT)),
+    "html_entity_decoded_script": any_of("(qe || te)", lambda x: rx(x, SCRIPT)),
+}
+_HANDLERS = (
+    "list_transform(list_distinct(flatten(list_transform([query] || samples, lambda x_: "
+    f"regexp_extract_all(lower(x_), {s('(?i)' + rules.EVENT_HANDLER_ASSIGNMENT)}, 1)))), "
+    "lambda n_: 'xss:event_handler:' || n_)"
+)
+_REACH = f"{XSS_STRUCTURE['browser_data_access']} AND ({XSS_STRUCTURE['external_navigation']} OR {any_of('samples', lambda x: rx(x, rules.EXTERNAL_URL))})"
+XSS_HINTS = "(" + compact(
+    [
+        label(XSS_STRUCTURE["script_tag"], "xss:script_tag"),
+        label(XSS_STRUCTURE["mixed_case_script_tag"], "xss:mixed_case_script_tag"),
+        label(XSS_STRUCTURE["event_handler_assignment"], "xss:event_handler"),
+        label(XSS_STRUCTURE["javascript_protocol"], "xss:javascript_protocol"),
+        label(XSS_STRUCTURE["browser_data_access"], "xss:browser_data_access"),
+        label(any_of("samples", lambda x: rx(x, r"document\.cookie")), "xss:document_cookie"),
+        label(XSS_STRUCTURE["external_navigation"], "xss:external_navigation"),
+        label(
+            f"{XSS_STRUCTURE['html_entity_decoded_script']} AND ({rx('query_raw', rules.HTML_ENTITY)} OR {rx('target', rules.HTML_ENTITY)})",
+            "xss:html_entity_encoded",
+        ),
+        label(XSS_STRUCTURE["html_entity_decoded_script"], "xss:html_entity_decoded_script"),
+        label(_REACH, "xss:external_exfil_intent"),
+    ]
+) + f" || {_HANDLERS})"
+_FD = {n: any_of("samples", lambda x, p=p: rx(x, p)) for n, p, _ in rules.FILE_DISCLOSURE}
+_FD_CTX = "(fd_php_filter_wrapper OR fd_base64_source_filter OR fd_resource_parameter)"
+
+
+def hits() -> str:
+    scan = "CASE WHEN early IS NULL THEN combined END"
+    cols = []
+    for f, n, p, _ in SIGNATURES:
+        x = "user_agent" if f == "ua" else "combined" if f == "traversal" else "scan"
+        cols.append(f"coalesce({sig(f, n, x)}, false) AS h_{f}_{n}")
+    def count(f):
+        return " + ".join(f"h_{g}_{n}::INT" for g, n, _, _ in SIGNATURES if g == f)
+    fd = ", ".join(f"{v} AS fd_{n}" for n, v in _FD.items())
+    return f"""
+h0 AS (SELECT *, {EARLY} AS early FROM ty),
+h1 AS (SELECT *, {scan} AS scan, {_BROWSER} AS browser, {_LOGIN} AS login, {_HEAVY} AS heavy, lower({_EFF}) AS probe_path,
+  {_PATH_OF} AS target_only,
+  list_sort(list_distinct(list_filter({PARAMS}, lambda n_: len(list_filter({PARAMS}, lambda m_: m_ = n_)) >= 2))) AS hpp FROM h0),
+h2 AS (SELECT *, {', '.join(cols)}, {fd},
+  {any_of('d0', attack)} AS at0, {any_of('d1', attack)} AS at1, {any_of('d2', attack)} AS at2,
+  {any_of('d1', lambda x: attack(x, ('sqli',)))} AS sq1, {any_of('d2', lambda x: attack(x, ('sqli',)))} AS sq2 FROM h1),
+hx AS (SELECT *, {', '.join(f'{count(f)} AS {f}_hits' for f, _ in FAMILIES)} FROM h2)"""
+
+
+PARAMS = (
+    "list_filter(list_transform(list_filter(string_split(regexp_replace(query, '^[?]', ''), '&'), lambda x_: x_ <> ''), "
+    f"lambda x_: {norm(norm(chr(115) + 'plit_part(x_, ' + s('=') + ', 1)'))}), lambda x_: x_ <> '')"
+)
+
+ENC_HINTS = compact(
+    [
+        label("(at1 OR at2) AND NOT at0", "encoding:url_encoded_payload"),
+        label("at2", "encoding:double_decoded_payload"),
+        label("at2", "encoding:decoded_depth_2"),
+        label("sq2", "encoding:double_decoded_sqli"),
+        label("len(qe || te) > 0", "encoding:html_entity_payload"),
+        label("len(qe || te) > 0", "encoding:html_entity_decoded"),
+        label(any_of("(qe || te)", lambda x: attack(x, ("xss",))), "encoding:html_entity_decoded_xss"),
+    ]
+)
+FD_HINTS = compact(
+    [
+        label("fd_php_filter_wrapper", "file_disclosure:php_filter_wrapper"),
+        label("fd_base64_source_filter", "file_disclosure:base64_source_intent"),
+        label("fd_resource_parameter", "file_disclosure:resource_parameter"),
+        label(f"{_FD_CTX} AND fd_admin_config_php", "file_disclosure:sensitive_resource:admin_config_php"),
+        label(f"{_FD_CTX} AND fd_config_php AND NOT fd_admin_config_php", "file_disclosure:sensitive_resource:config_php"),
+        label(f"{_FD_CTX} AND fd_index_php", "file_disclosure:sensitive_resource:index_php"),
+        label(any_of("d2", lambda x: rx(x, rules.PHP_FILTER)), "encoding:double_decoded_php_wrapper"),
+    ]
+)
+_PTS = {n: p for n, _, p in rules.FILE_DISCLOSURE}
+FD_POINTS = (
+    f"(CASE WHEN fd_php_filter_wrapper THEN {_PTS['php_filter_wrapper']} ELSE 0 END"
+    f" + CASE WHEN fd_base64_source_filter THEN {_PTS['base64_source_filter']} ELSE 0 END"
+    f" + CASE WHEN fd_resource_parameter THEN {_PTS['resource_parameter']} ELSE 0 END"
+    f" + CASE WHEN {_FD_CTX} AND fd_admin_config_php THEN {_PTS['admin_config_php']} WHEN {_FD_CTX} AND fd_config_php THEN {_PTS['config_php']} ELSE 0 END"
+    f" + CASE WHEN {_FD_CTX} AND fd_index_php THEN {_PTS['index_php']} ELSE 0 END)"
+)
+_SET = "({})".format(", ".join(str(x) for x in rules.ERROR_STATUSES))
+_WORDS = rx(
+    f"concat_ws(' ', {norm('user_agent')}, {norm('request_text')}, {norm('log_text')}, {norm('query')})",
+    rules.AUTH_ATTACK_WORDS,
+)
+_BODY = "lower(req_content_type) IN (" + ", ".join(s(x) for x in rules.AUTH_BODY_TYPES) + ")"
+TERMS = [
+    ("len(query) >= 40", 1, "long_query(+1)"),
+    ("len(query) >= 80", 1, "very_long_query(+1)"),
+    (ratio_at_least("query", 15), 1, "special_char_ratio_high(+1)"),
+    (ratio_at_least("query", 30), 1, "special_char_ratio_very_high(+1)"),
+    (f"status_code IN {_SET}", 2, "('error_status:' || status_code || '(+2)')"),
+    ("error_link_id <> ''", 2, "error_linked(+2)"),
+    ("duration_us >= 2000000", 3, "high_duration(+3)"),
+    ("duration_us >= 5000000", 2, "very_high_duration(+2)"),
+    ("ttfb_us >= 2000000", 2, "high_ttfb(+2)"),
+    ("login", 1, "login_endpoint(+1)"),
+    (f"heavy AND query <> '' AND {rx('query', rules.QUERY_ATTACK_TOKENS)}", 2, "query_endpoint_with_attack_tokens(+2)"),
+    (f"{_BODY} AND login", 1, "auth_payload_content_type(+1)"),
+    ("referer = '' AND NOT browser AND status_code >= 400", 1, "no_referer_non_browser_error(+1)"),
+    ("login_ok AND words", 2, "login_success_json_response(+2)"),
+    ("login_ok AND words", 1, "possible_auth_bypass_success(+1)"),
+    ("login_ok AND referer = '' AND NOT browser AND (words OR ua_hits > 0)", 1, "no_referer_non_browser_login(+1)"),
+    ("source_table = 'error'", 2, "error_table_context(+2)"),
+    ("len(hpp) > 0", 1, "hpp:duplicate_param_names(+1)"),
+]
+
+
+def scored() -> str:
+    sig_pts = " + ".join(f"CASE WHEN h_{f}_{n} THEN {p} ELSE 0 END" for f, n, _, p in SIGNATURES)
+    terms = " + ".join(f"CASE WHEN {cnd} THEN {p} ELSE 0 END" for cnd, p, _ in TERMS)
+    ss = ", ".join(f"(edu_sql AND {v}) AS ss_{n}" for n, v in SQL_STRUCTURE.items())
+    xs = ", ".join(f"(edu_xss AND {v}) AS xs_{n}" for n, v in XSS_STRUCTURE.items())
+    strong_sql = " OR ".join(f"ss_{n}" for n in SQL_STRUCTURE if n != "from_users")
+    strong_xss = " OR ".join(f"xs_{n}" for n in XSS_STRUCTURE if n != "script_tag")
+    ctn = "lower(resp_content_type)"
+    hidden_ = hidden("probe_path")
+    clean = "(sqli_hits + xss_hits + cmdi_hits = 0)"
+    fallback = f"(html_fallback AND traversal_hits = 1 AND {clean} AND error_link_id = '')"
+    return f"""
+s0 AS (SELECT *, (sqli_hits > 0 AND {_LEARN_SQL}) AS edu_sql, (xss_hits > 0 AND {learn_xss(join2('query', 'target'))}) AS edu_xss,
+  (traversal_hits > 0 AND target_only <> '' AND {norm('uri')} <> '' AND target_only <> {norm('uri')}) AS path_norm,
+  (traversal_hits > 0 AND status_code = 200 AND starts_with({ctn}, 'text/html') AND response_body_bytes >= 10000) AS html_fallback,
+  (login AND method = 'POST' AND status_code = 200 AND {_JSON.format('req_content_type')} AND {_JSON.format('resp_content_type')} AND response_body_bytes >= 300) AS login_ok,
+  {_WORDS} AS words FROM hx),
+s1 AS (SELECT *, {ss}, {xs}, (traversal_hits > 0 AND NOT html_fallback AND status_code = 200 AND (starts_with({ctn}, 'text/plain') OR contains({ctn}, 'octet-stream'))) AS file_like FROM s0),
+s2 AS (SELECT *, ({strong_sql}) AS strong_sql, ({strong_xss}) AS strong_xss, {sig_pts} + {FD_POINTS} + {terms} AS raw_score FROM s1),
+s3 AS (SELECT *, CASE WHEN edu_sql AND NOT strong_sql THEN greatest(0, raw_score - CASE WHEN ss_from_users THEN 2 ELSE 4 END) ELSE raw_score END AS score1 FROM s2),
+s4 AS (SELECT *, CASE WHEN edu_xss AND NOT strong_xss THEN greatest(0, score1 - 4) ELSE score1 END AS score FROM s3),
+s5 AS (SELECT *,
+  CASE WHEN early IS NOT NULL OR {fallback} THEN NULL
+    WHEN edu_sql AND NOT strong_sql THEN CASE WHEN score >= 4 THEN 'possible_false_positive_sql_keyword_search' END
+    WHEN edu_xss AND NOT strong_xss THEN CASE WHEN score >= 4 THEN 'possible_false_positive_xss_keyword_search' END
+    WHEN xss_hits > 0 AND score >= 7 THEN 'xss' WHEN sqli_hits > 0 AND score >= 7 THEN 'sqli'
+    WHEN traversal_hits > 0 AND score >= 6 THEN 'path_traversal' WHEN cmdi_hits > 0 AND score >= 6 THEN 'command_injection'
+    WHEN fd_php_filter_wrapper AND score >= 6 THEN 'suspicious_file_disclosure'
+    WHEN login_ok AND score >= 4 THEN 'suspicious_auth_success'
+    WHEN score >= 4 AND NOT (probe_path IN ('/config.php', '/admin/config.php') AND NOT fd_php_filter_wrapper) THEN 'suspicious' END AS verdict,
+  CASE WHEN early IS NOT NULL THEN early WHEN {fallback} THEN 'benign_fallback_html'
+    WHEN method IN ('GET', 'HEAD', 'OPTIONS') AND {clean} AND NOT heavy AND len(query) < 20 AND probe_path NOT IN ('', '/')
+      AND ({hidden_} OR {has_any('probe_path', rules.DIR_PROBE_PATH)} OR {has_any('probe_path', rules.DIR_PROBE_FILE)}
+        OR (traversal_hits = 1 AND (status_code IN (401, 403, 404, 405) OR path_norm OR html_fallback)))
+      AND (status_code IN (301, 302, 401, 403, 404, 405) OR html_fallback OR (status_code = 200 AND NOT browser AND referer = ''))
+      THEN 'low_signal_dir_probe'
+    WHEN {clean} AND traversal_hits = 0 AND error_link_id = '' AND method IN ('GET', 'HEAD') AND status_code IN (200, 204, 304, 404)
+      AND browser AND query <> '' AND (heavy OR status_code IN (200, 304) OR referer <> '') THEN 'benign_normal_search'
+    WHEN error_link_id = '' AND NOT (heavy AND browser AND {clean} AND traversal_hits = 0)
+      AND (CASE WHEN NOT {clean} THEN 2 WHEN traversal_hits > 0 THEN 1 ELSE 0 END + (len(query) >= 20)::INT
+        + {ratio_at_least('query', 15)}::INT + (len(hpp) > 0)::INT + (NOT browser)::INT
+        + (referer = '' AND status_code >= 400)::INT + (method NOT IN ('GET', 'POST', 'HEAD', 'OPTIONS'))::INT) >= 2 THEN 'low_signal_fuzzing'
+    WHEN browser THEN 'benign_normal_search' ELSE 'low_signal_fuzzing' END AS noise,
+  CASE WHEN len(hpp) = 0 THEN '' WHEN sqli_hits > 0 AND xss_hits > 0 THEN 'multiple' WHEN sqli_hits > 0 THEN 'sqli' WHEN xss_hits > 0 THEN 'xss' ELSE '' END AS embedded
+  FROM s4),
+judged AS (SELECT *, {REASONS} AS reasons FROM s5),
+cand AS (SELECT * REPLACE (CASE WHEN uri = '' THEN '-' ELSE uri END AS uri) FROM judged WHERE verdict IS NOT NULL),
+left_out AS (SELECT * FROM judged WHERE verdict IS NULL)"""
+
+
+REASONS = (
+    compact([label(f"h_{f}_{n}", f"{f}:{n}(+{p})") for f, n, _, p in SIGNATURES])
+    + f" || {ENC_HINTS} || {FD_HINTS} || {XSS_HINTS} || "
+    + compact(
+        [label(cnd, text) for cnd, _, text in TERMS]
+        + [
+            label("len(hpp) > 0", "('hpp:param_names=' || array_to_string(hpp, ','))"),
+            label("edu_sql", "context:educational_sql_search"),
+            label("edu_sql OR edu_xss", "context:natural_language_query"),
+            label("edu_sql AND NOT ss_quote_termination", "no_quote_termination"),
+            label("edu_sql AND NOT ss_sql_comment", "no_sql_comment"),
+            label("edu_sql AND NOT ss_boolean_condition", "no_boolean_condition"),
+            label("edu_sql AND NOT strong_sql", "fp_hint:sql_keyword_without_attack_structure"),
+            label("edu_xss", "context:educational_xss_search"),
+            label("edu_xss AND NOT xs_event_handler_assignment", "no_event_handler_assignment"),
+            label("edu_xss AND NOT xs_javascript_protocol", "no_javascript_protocol"),
+            label("edu_xss AND NOT xs_browser_data_access", "no_browser_data_access"),
+            label("edu_xss AND NOT strong_xss", "fp_hint:xss_keyword_without_attack_structure"),
+            label("embedded <> ''", "('hpp:embedded_attack=' || embedded)"),
+            label("path_norm", "traversal:raw_request_uri_diff"),
+            label("html_fallback", "traversal:html_fallback_like_response"),
+            label("file_like", "traversal:file_like_response_type"),
+        ]
+    )
+)

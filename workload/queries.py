@@ -377,11 +377,11 @@ def shorten_text(spark, d):
 
 @query
 def probe_path_hints(spark, d):
-    path = F.lower(P.effective_path(c("uri"), c("target")))
-    r = requests(spark, d, ALL)
+    path = F.lower(T.norm(F.lower(P.effective_path(c("uri"), c("target")))))
+    r = hold(requests(spark, d, ALL), {"path": path, "query_low": F.lower(T.norm(c("query")))})
     return r.select(
-        *ROW, joined(P.probe_hints(path), "hints"),
-        yes(P.is_burst_probe(path, c("query"))).alias("burst_probe"),
+        *ROW, joined(P.probe_hints(c("path")), "hints"),
+        yes(P.is_burst_probe(c("path"), c("query_low"))).alias("burst_probe"),
     )
 
 
