@@ -488,3 +488,536 @@ REASONS = (
         ]
     )
 )
+
+
+# ------------------------------------------------------------------ final queries
+
+ALL = "security,access,error"
+MS = "epoch_ms(log_time) AS log_time_ms"
+
+
+def with_(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+def log_q(tail: str) -> str:
+    return with_(LOG) + tail
+
+
+def req_q(tail: str, sources: str = "security") -> str:
+    return with_(LOG, canon(sources)) + tail
+
+
+def tx_q(tail: str, sources: str = ALL) -> str:
+    return with_(LOG, canon(sources), texts()) + tail
+
+
+def hx_q(tail: str, sources: str = ALL) -> str:
+    return with_(LOG, canon(sources), texts(), hits()) + tail
+
+
+def judged_q(tail: str, *more: str) -> str:
+    return with_(LOG, canon(ALL), texts(), hits(), scored(), *more) + tail
+
+
+def ident(x: str) -> str:
+    n = norm(x)
+    empties = ", ".join(s(v) for v in rules.EMPTY_IDENTIFIERS)
+    return f"CASE WHEN {n} IN ({empties}) THEN '' ELSE {n} END"
+
+
+_SECOND = local("log_time", "%Y-%m-%dT%H:%M:%S", "+0900")
+_FP = "||".join([""])
+_PARTS = ", ".join(
+    [norm(x) for x in ("src_ip", "method", "uri", "query", "request_text")]
+    + ["status_code", "verdict", _SECOND]
+)
+KEYED = f"""
+keyed AS (SELECT *, CASE WHEN {ident('request_id')} <> '' THEN 'rid:' || {ident('request_id')}
+  WHEN {ident('error_link_id')} <> '' THEN 'eid:' || {ident('error_link_id')}
+  ELSE 'fp:' || left(sha1(concat_ws('||', {_PARTS})), 16) END AS ikey,
+  CASE source_table WHEN 'security' THEN 3 WHEN 'access' THEN 2 ELSE 1 END AS prio FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ikey ORDER BY prio DESC, ({ident('request_id')} <> '') DESC,
+  ({ident('error_link_id')} <> '') DESC, score DESC, duration_us DESC, ttfb_us DESC, log_time DESC, pos, id) AS rn FROM keyed),
+grp AS (SELECT ikey, count(*) AS merged, max(score) AS best_score, min(id) AS first_id, max(id) AS last_id,
+  list(DISTINCT source_table) AS srcs, list_distinct(flatten(list(reasons))) AS all_reasons,
+  list_sort(list(DISTINCT id)) AS ids, min((pos, log_time, id)) AS arrival,
+  max(CASE WHEN {ident('error_link_id')} <> '' THEN {ident('error_link_id')} END) AS any_eid FROM keyed GROUP BY ikey),
+inc AS (SELECT r.* EXCLUDE (score, reasons, error_link_id), g.best_score AS score, g.all_reasons AS reasons, g.merged,
+  g.first_id, g.last_id, g.srcs, g.ids, g.arrival,
+  CASE WHEN {ident('r.error_link_id')} <> '' THEN r.error_link_id ELSE coalesce(g.any_eid, r.error_link_id) END AS error_link_id
+  FROM ranked r JOIN grp g USING (ikey) WHERE rn = 1),
+idx AS (SELECT *, row_number() OVER (ORDER BY score DESC, log_time DESC, arrival) - 1 AS ci FROM inc)"""
+
+_MAP = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in rules.PLACEHOLDER_VERDICTS.items())
+_ENUM = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in rules.ENUM_VERDICTS.items())
+_SEV = "CASE WHEN score >= 10 THEN 'high' WHEN score >= 7 THEN 'medium' WHEN score >= 4 THEN 'low' ELSE 'info' END"
+_ASSETS = ", ".join(s(a) for a in W.KNOWN_ASSETS)
+_SEVRANK = "CASE sev WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
+_TPRIO = "CASE source_table WHEN 'security' THEN 3 WHEN 'error' THEN 2 WHEN 'access' THEN 1 ELSE 0 END"
+_LSEC = local("log_time", "%Y-%m-%dT%H:%M:%S", "+09:00")
+TRIAGE = f"""
+res AS (SELECT *, CASE verdict {_MAP} ELSE 'inconclusive' END AS v, {_SEV} AS sev, {_TPRIO} AS tprio,
+  CASE WHEN trim(request_id) NOT IN ('', '-') THEN 'request_id:' || trim(request_id)
+    ELSE 'fallback:' || src_ip || '|' || method || '|' || uri || '|' || status_code || '|' || {_LSEC} END AS dkey FROM idx),
+res2 AS (SELECT *, {_SEVRANK} AS sevrank FROM res),
+res3 AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY tprio DESC, sevrank DESC, score DESC, log_time DESC, ci) AS drn,
+  count(*) OVER (PARTITION BY dkey) AS dups, min(ci) OVER (PARTITION BY dkey) AS first_ci,
+  list(source_table) OVER (PARTITION BY dkey) AS dsrcs FROM res2),
+ded AS (SELECT *, dkey || '|table:' || source_table || '|log_id:' || id || '|candidate:' || ci AS ref,
+  src_ip IN ({_ASSETS}) AS known,
+  row_number() OVER (ORDER BY sevrank DESC, score DESC, tprio DESC, log_time DESC, first_ci) AS rk FROM res3 WHERE drn = 1)"""
+
+
+def inc_q(tail: str, *more: str) -> str:
+    return judged_q(tail, KEYED, *more)
+
+
+def tri_q(tail: str, *more: str) -> str:
+    return judged_q(tail, KEYED, TRIAGE, *more)
+
+
+NOISE = """
+ngrp AS (SELECT noise, src_ip, uri, method, status_code, user_agent, count(*) AS n, min(log_time) AS t0, max(log_time) AS t1
+  FROM left_out GROUP BY ALL),
+through AS (SELECT l.* FROM left_out l JOIN ngrp g ON l.noise = g.noise AND l.src_ip = g.src_ip AND l.uri = g.uri
+  AND l.method = g.method AND l.status_code = g.status_code AND l.user_agent = g.user_agent WHERE g.n < 3)"""
+_NOTE = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in rules.NOISE_NOTES.items())
+
+_WIDE = "|".join(
+    f"(?:{p})" for p in (
+        rules.QUOTE_BREAKOUT, rules.TAG_INJECTION, rules.EVENT_HANDLER_ASSIGNMENT, JS,
+        PATTERN["xss", "alert_call"], rules.BROWSER_DATA_ACCESS,
+    )
+)
+_DECODED = "|".join(f"(?:{p})" for p in (SCRIPT, rules.EVENT_HANDLER_ASSIGNMENT, JS))
+
+
+def review() -> str:
+    """Left-out rows that passed through, looked at without their raw log."""
+    bare = texts()
+    for name in ("t0", "t1", "t2", "t3", "t4", "t5", "tx", "ty"):
+        bare = bare.replace(f"{name} AS (SELECT", f"r{name} AS (SELECT").replace(f"FROM {name})", f"FROM r{name})")
+    cols = (
+        "source_table, pos, id, log_time, src_ip, method, uri, query_raw, query, raw_request, "
+        f"{norm('raw_request')} AS request_text, status_code, response_body_bytes, user_agent, "
+        "'' AS log_text, target"
+    )
+    bare = bare.replace("FROM req)", "FROM rreq)")
+    seen = any_of("([query] || samples)", lambda x: f"({rx(x, _WIDE)} OR {rx(unescape(x), _DECODED)})")
+    return f"""
+rreq AS (SELECT {cols} FROM through),
+{bare.strip()},
+review AS (SELECT * FROM rty WHERE {learn_xss("array_to_string(" + uniq("[query, target, combined]") + ", ' ')")} AND NOT {seen})"""
+
+
+_DIFF = (
+    "CASE WHEN l.response_body_bytes <= 0 OR i.response_body_bytes <= 0 "
+    "THEN abs(l.response_body_bytes - i.response_body_bytes) >= 256 "
+    "ELSE abs(l.response_body_bytes - i.response_body_bytes) >= "
+    "greatest(256, floor(greatest(l.response_body_bytes, i.response_body_bytes) * 0.3::DOUBLE)) END"
+)
+_QUOTES = f"({rx('query_raw', rules.REPEATED_QUOTE)} OR {ratio_at_least(norm('query_raw'), 15)})"
+_ENCODED = has_any("lower({})", rules.ENCODED_MARKERS)
+_SQLKEY = has_any(f"lower({norm('query')})", rules.SUPPORTING_SQL_KEYWORDS)
+_TKEY = (
+    f"{norm('src_ip')} || '|' || ({family('uri')}) || '|' || strftime(make_timestamp(((epoch_ms(log_time) // 120000) * 120000) * 1000) "
+    "+ INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00'"
+)
+SUPPORT = f"""
+strong AS (SELECT * , {norm('uri')} AS nuri, {family('uri')} AS fam FROM inc WHERE verdict = 'sqli' AND score >= 7),
+lo AS (SELECT *, {norm('uri')} AS nuri, {family('uri')} AS fam FROM left_out WHERE query <> ''),
+near AS (SELECT l.source_table, l.id, count(*) AS n, bool_or(i.status_code <> l.status_code) AS sd, bool_or({_DIFF}) AS zd,
+  bool_or(i.nuri = l.nuri) AS su
+  FROM lo l JOIN strong i ON i.src_ip = l.src_ip AND (i.nuri = l.nuri OR i.fam = l.fam)
+  AND abs(epoch_ms(i.log_time) - epoch_ms(l.log_time)) <= 120000 GROUP BY ALL),
+sup0 AS (SELECT l.*, near.n, {compact([
+    label(_SQLKEY, "supporting:sql_keyword_fragment"),
+    label(_QUOTES, "supporting:special_chars_or_quote_repetition"),
+    label(f"{_ENCODED.replace('{}', 'query_raw')} OR {_ENCODED.replace('{}', 'target')}", "supporting:encoded_payload_trace"),
+    label("near.sd", "supporting:status_delta_from_nearby_candidate"),
+    label("near.zd", "supporting:response_size_delta_from_nearby_candidate"),
+    label("near.su", "supporting:same_uri_nearby_high_signal_sqli"),
+])} AS hints FROM lo l JOIN near ON near.source_table = l.source_table AND near.id = l.id),
+sup1 AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN request_id <> '' THEN request_id ELSE source_table || ':' || id || ':' || target END
+  ORDER BY pos, log_time, id) AS once FROM sup0 WHERE len(hints) > 0),
+sup AS (SELECT *, {_TKEY} AS tkey FROM sup1 WHERE once = 1)"""
+
+_PPATH = f"lower({norm(f'lower({_EFF})')})"
+BURSTS = f"""
+pr AS (SELECT src_ip AS ip, epoch_ms(log_time) AS ms, pos, id, path, status_code AS st, split_part(lower(resp_content_type), ';', 1) AS ct,
+  response_body_bytes AS bytes FROM (SELECT *, {_PPATH} AS path, lower({norm('query')}) AS ql FROM req)
+  WHERE method IN ('GET', 'HEAD', 'OPTIONS') AND {burst_probe('path', 'ql')}),
+pt AS (SELECT DISTINCT ip, ms FROM pr),
+starts(ip, st0) AS (SELECT ip, min(ms) FROM pt GROUP BY ip
+  UNION ALL SELECT a.ip, min(p.ms) FROM starts a JOIN pt p ON p.ip = a.ip AND p.ms > a.st0 + 120000 GROUP BY a.ip),
+bk AS (SELECT p.*, max(a.st0) AS b FROM pr p JOIN starts a ON a.ip = p.ip AND a.st0 <= p.ms GROUP BY ALL),
+bsum AS (SELECT ip, b, count(*) AS n, count(DISTINCT path) AS np, max(ms) AS e FROM bk GROUP BY ip, b HAVING count(*) >= 3 AND count(DISTINCT path) >= 3),
+bpath AS (SELECT ip, b, path, min((ms, pos, id)) AS f FROM bk GROUP BY ALL),
+bpaths AS (SELECT ip, b, array_to_string(list(path ORDER BY f)[1:10], ',') AS paths, list_distinct(flatten(list({probe_hints('path')}))) AS hints FROM bpath GROUP BY ip, b),
+bst AS (SELECT ip, b, string_agg(st || '=' || c, ',' ORDER BY c DESC, st::VARCHAR) AS sts FROM (SELECT ip, b, st, count(*) AS c FROM bk GROUP BY ALL) GROUP BY ip, b),
+bct AS (SELECT ip, b, string_agg(ct || '=' || c, ',' ORDER BY c DESC, ct) AS cts FROM (SELECT ip, b, CASE WHEN ct = '' THEN '-' ELSE ct END AS ct, count(*) AS c FROM bk GROUP BY ALL) GROUP BY ip, b),
+bsz AS (SELECT *, row_number() OVER (PARTITION BY ip, b ORDER BY c DESC, f) AS rn, sum(c) OVER (PARTITION BY ip, b) AS html FROM
+  (SELECT ip, b, bytes, count(*) AS c, min((ms, pos, id)) AS f FROM bk WHERE st = 200 AND ct = 'text/html' AND bytes > 0 GROUP BY ip, b, bytes)),
+bursts AS (SELECT s.ip AS src_ip, s.b AS start_ms, s.e AS end_ms, s.n AS request_count, s.np AS distinct_path_count, paths AS sample_paths,
+  sts AS status_counts, cts AS content_type_counts, CASE WHEN z.c >= 2 AND z.c * 2 >= z.html THEN z.bytes END AS dominant_response_body_bytes,
+  CASE WHEN z.c >= 2 AND z.c * 2 >= z.html THEN z.c END AS dominant_count,
+  {joined("hints || CASE WHEN z.c >= 2 AND z.c * 2 >= z.html THEN ['dir_probe:repeated_fallback_like_html'] ELSE [] END")} AS reason_hints
+  FROM bsum s JOIN bpaths USING (ip, b) JOIN bst USING (ip, b) JOIN bct USING (ip, b) LEFT JOIN bsz z ON z.ip = s.ip AND z.b = s.b AND z.rn = 1)"""
+
+_RT = f"trim(concat_ws(' ', {norm('raw_request')}, uri, query))"
+_RSET = "({})".format(", ".join(str(x) for x in rules.IP_RISK_STATUSES))
+_RTERMS = [
+    ("len(query) >= 40", 1, "long_query(+1)"), ("len(query) >= 80", 1, "very_long_query(+1)"),
+    (ratio_at_least("query", 15), 1, "special_char_ratio_high(+1)"),
+    (ratio_at_least("query", 30), 1, "special_char_ratio_very_high(+1)"),
+    (f"status_code IN {_RSET}", 2, "('error_status:' || status_code || '(+2)')"),
+    ("duration_us >= 2000000", 3, "high_duration(+3)"),
+    ("duration_us >= 5000000", 2, "very_high_duration(+2)"), ("ttfb_us >= 2000000", 2, "high_ttfb(+2)"),
+    (_LOGIN, 1, "login_endpoint(+1)"),
+    (f"({_HEAVY} AND query <> '' AND {rx('query', rules.QUERY_ATTACK_TOKENS)})", 2, "query_endpoint_with_attack_tokens(+2)"),
+    (f"({_BODY} AND {_LOGIN})", 1, "auth_payload_content_type(+1)"),
+]
+_RSIG = [(f, n, p) for f, n, _, p in SIGNATURES if f in ("sqli", "xss")]
+RISK = f"""
+k0 AS (SELECT *, {', '.join(f"{sig(f, n, _RT, strip=False)} AS h_{f}_{n}" for f, n, _ in _RSIG)} FROM req),
+k1 AS (SELECT *, {' + '.join(f'CASE WHEN h_{f}_{n} THEN {p} ELSE 0 END' for f, n, p in _RSIG)} + {' + '.join(f'CASE WHEN {c_} THEN {p} ELSE 0 END' for c_, p, _ in _RTERMS)} AS score,
+  array_to_string({compact([label(f'h_{f}_{n}', f'{f}:{n}(+{p})') for f, n, p in _RSIG] + [label(c_, t) for c_, _, t in _RTERMS])}, ';') AS reasons,
+  ({' OR '.join(f'h_{f}_{n}' for f, n, _ in _RSIG if f == 'sqli')}) AS sq, ({' OR '.join(f'h_{f}_{n}' for f, n, _ in _RSIG if f == 'xss')}) AS xs FROM k0),
+risk AS (SELECT *, CASE WHEN xs AND score >= 7 THEN 'xss' WHEN sq AND score >= 7 THEN 'sqli' WHEN score >= 4 THEN 'suspicious' ELSE 'benign' END AS verdict FROM k1),
+ipr AS (SELECT src_ip, count(*) AS total_requests, count_if(verdict = 'benign') AS benign_count, count_if(verdict = 'suspicious') AS suspicious_count,
+  count_if(verdict = 'sqli') AS sqli_count, count_if(verdict = 'xss') AS xss_count, sum(score)::BIGINT AS total_score, max(score) AS max_score,
+  coalesce(array_to_string(list_filter(list(reasons ORDER BY log_time DESC, id), lambda x_: x_ <> '')[1:3], ' | '), '') AS sample_reasons FROM risk GROUP BY src_ip),
+ips AS (SELECT *, CASE WHEN sqli_count >= 3 OR xss_count >= 3 OR total_score >= 20 THEN 'high_risk'
+  WHEN sqli_count >= 1 OR xss_count >= 1 OR suspicious_count >= 3 OR total_score >= 10 THEN 'medium_risk'
+  WHEN suspicious_count >= 1 THEN 'low_risk' ELSE 'benign' END AS final_verdict FROM ipr)"""
+
+
+def half_even(top: str, bottom: str) -> str:
+    q, r = f"(({top}) // ({bottom}))", f"(({top}) % ({bottom}))"
+    return f"({q} + CASE WHEN 2 * {r} > {bottom} OR (2 * {r} = {bottom} AND {q} % 2 = 1) THEN 1 ELSE 0 END)::BIGINT"
+
+
+def all_queries() -> dict[str, str]:
+    ev = "(id - 1)"
+    bad = f"{ev} % 50 = 7"
+    kst = local("log_time", "%Y-%m-%dT%H:%M:%S", "")
+    q = {}
+    # sources
+    acc = (
+        f"SELECT {MS}, src_ip AS client_ip, method, raw_request, target_path AS uri, query_string, 'HTTP/1.1' AS protocol, "
+        "status_code, response_body_bytes, referer, user_agent, 'shop.example' AS host, 'main' AS vhost, raw_log "
+        f"FROM log2 WHERE NOT ({bad})"
+    )
+    q["ingest_access"] = q["stream_ingest"] = log_q(acc)
+    q["stream_replay"] = log_q(
+        f"SELECT {MS}, src_ip AS client_ip, raw_request, status_code FROM log2 WHERE NOT ({bad})"
+    )
+    nul = ", ".join(
+        f"NULL AS {n}" for n in (
+            "peer_ip", "in_bytes", "out_bytes", "total_bytes", "keepalive_count", "connection_status",
+            "req_content_length", "host", "x_forwarded_for", "matched_rule", "resp_html_norm_fingerprint",
+            "resp_html_fingerprint_version", "resp_html_baseline_name", "resp_html_baseline_confidence",
+            "resp_html_features_json",
+        )
+    )
+    sec_time = f"CASE WHEN {ev} % 40 <> 9 THEN epoch_ms(log_time) END AS log_time_ms"
+    shown = f"CASE WHEN {ev} % 40 = 9 THEN 'bad' ELSE {kst} || '.000+0900' END"
+    line = (
+        f"""'log_time="' || {shown} || '" method=DUMMY request_id=' || coalesce(request_id, '-') || ' error_link_id=' || coalesce(error_link_id, '-')
+        || ' vhost=main src_ip=' || src_ip || ' method=' || method || ' raw_request="' || raw_request || '" uri="' || uri || '" query_string="' || query_string
+        || '" protocol=HTTP/1.1 status_code=' || status_code || ' response_body_bytes=' || response_body_bytes || ' duration_us=' || duration_us
+        || ' ttfb_us=' || ttfb_us || ' keepalive_count=x1 req_content_type=' || coalesce(req_content_type, '-') || ' resp_content_type="' || resp_content_type
+        || '" referer="' || coalesce(referer, '-') || '" user_agent="' || user_agent || '" resp_html_baseline_match="TRUE" note="say \\"hi\\" twice"'"""
+    )
+    q["ingest_security"] = log_q(
+        f"SELECT {sec_time}, request_id, error_link_id, 'main' AS vhost, src_ip, method, raw_request, uri, query_string, 'HTTP/1.1' AS protocol, "
+        f"status_code, response_body_bytes, duration_us, ttfb_us, req_content_type, resp_content_type, referer, user_agent, {nul}, "
+        f"'unknown' AS attack_label, 0.0::DOUBLE AS risk_score, 0 AS is_suspicious, 1 AS resp_html_baseline_match, md5({line}) AS raw_log_md5 "
+        f"FROM log2 WHERE NOT ({bad})"
+    )
+    q["stream_flush"] = log_q(
+        f"SELECT {sec_time}, request_id, src_ip, method, status_code FROM log2 WHERE NOT ({bad})"
+    )
+    q["ingest_error"] = log_q(
+        f"SELECT {MS}, error_link_id, request_id, 'core' AS module_name, 'error' AS log_level, src_ip, src_ip AS peer_ip, "
+        f"'File does not exist: ' || uri AS message FROM log2 WHERE NOT ({bad})"
+    )
+    q["ingest_rejects"] = log_q(
+        f"SELECT 'access' AS source, src_ip || ' - - [x] \"' || raw_request AS raw_log FROM log2 WHERE {bad} "
+        f"UNION ALL SELECT 'security', 'nothing to see ' || id FROM log2 WHERE {bad} "
+        "UNION ALL SELECT 'error', '[yesterday] [error_link_id:' || coalesce(error_link_id, '-') || '] [request_id:' || coalesce(request_id, '-') "
+        "|| '] [module_name:core] [log_level:error] [src_ip:' || src_ip || ' peer_ip:' || src_ip || '] message=File does not exist: ' || uri "
+        f"FROM log2 WHERE {bad}"
+    )
+    day = "log_time >= TIMESTAMP '2026-04-01 15:00:00' AND log_time < TIMESTAMP '{}'"
+    q["scan_range"] = log_q(
+        f"SELECT id, {MS}, src_ip, uri, status_code FROM log2 WHERE {day.format('2026-04-02 12:00:00')}"
+    )
+    q["scan_local_day"] = log_q(f"SELECT id, {MS}, src_ip FROM log2 WHERE {day.format('2026-04-02 15:00:00')}")
+    q["scan_recent"] = log_q(
+        f"SELECT id, {MS}, src_ip, method, raw_request, uri, query_string, status_code, duration_us, ttfb_us, req_content_type "
+        "FROM log2 WHERE log_time >= TIMESTAMP '2026-04-02 12:00:00' - INTERVAL 24 HOUR ORDER BY log_time DESC, id LIMIT 5000"
+    )
+    order = "error,security,access"
+    q["scan_sources"] = req_q(f"SELECT source_table, pos AS source_position, id, src_ip, {MS} FROM req", order)
+    q["export_local_time"] = log_q(f"SELECT id, {kst} || '.000+09:00' AS log_time FROM log2")
+    q["export_counts"] = log_q(
+        f"SELECT 'security' AS \"table\", count(*) AS count FROM log2 UNION ALL SELECT 'access', count_if({ev} % 5 = 0) FROM log2 "
+        f"UNION ALL SELECT 'error', count_if({ev} % 9 = 0) FROM log2 "
+        f"UNION ALL SELECT 'total', count(*) + count_if({ev} % 5 = 0) + count_if({ev} % 9 = 0) FROM log2"
+    )
+    q["read_export_json"] = req_q(f"SELECT source_table, id, {MS} FROM req", ALL)
+    q["write_artifacts"] = inc_q(
+        "SELECT 'candidates' AS artifact, count(*) AS rows FROM inc UNION ALL SELECT 'noise', count_if(n >= 3) FROM ngrp "
+        "UNION ALL SELECT 'filtered', count(*) FROM through", NOISE
+    )
+    # fields
+    q["canon_fields"] = req_q(
+        "SELECT source_table, id, src_ip, method, uri, query, request_text, status_code, response_body_bytes, duration_us, ttfb_us, "
+        f"req_content_type, resp_content_type, user_agent, referer, request_id, error_link_id, {MS} FROM req", ALL
+    )
+    page = r"regexp_replace(html, '[^\x20-\x7e]|%[89A-Fa-f][0-9A-Fa-f]', '', 'g')"
+    q["url_decode_tolerant"] = f"SELECT page_id, md5({norm(page)}) AS decoded_md5 FROM pages"
+    rows = " UNION ALL ".join(
+        f"SELECT source_table, id, {s(name)} AS field, {d} AS depth, {k}{d} AS text FROM ty WHERE {k}{d} IS NOT NULL"
+        for name, k in (("query_string", "q"), ("raw_request_target", "t")) for d in range(3)
+    )
+    q["decode_variants"] = tx_q(rows, "security")
+    ent = " UNION ALL ".join(
+        f"SELECT source_table, id, {s(name)} AS field, f_ AS text, min(d_) AS source_depth FROM (SELECT *, unnest({k}e) AS f_, "
+        f"unnest(list_transform({k}e, lambda e_: list_min(list_filter([0, 1, 2], lambda d_: trim({unescape(f'coalesce([{k}0, {k}1, {k}2][d_ + 1], {s(str())})')}) = e_)))) AS d_ "
+        f"FROM ty) GROUP BY ALL"
+        for name, k in (("query_string", "q"), ("raw_request_target", "t"))
+    )
+    q["entity_variants"] = tx_q(ent, "security")
+    q["analysis_text"] = tx_q("SELECT source_table, id, md5(base_text) AS base_md5, md5(combined) AS md5 FROM ty")
+    q["request_target"] = req_q("SELECT id, target FROM req")
+    q["effective_path"] = req_q(f"SELECT source_table, id, {_EFF} AS path FROM req", ALL)
+    q["endpoint_family"] = req_q(f"SELECT source_table, id, {family('uri')} AS family FROM req", ALL)
+    q["content_type_bucket"] = req_q("SELECT id, trim(split_part(lower(resp_content_type), ';', 1)) AS bucket FROM req")
+    q["hpp_params"] = hx_q("SELECT id, array_to_string(hpp, ',') AS names FROM hx", "security")
+    special = "len(regexp_replace(query, '[^''\"`;=#()/*,<>%-]', '', 'g'))"
+    q["special_ratio"] = req_q(
+        f"SELECT id, {special} AS special, len(query) AS length, {flag(ratio_at_least('query', 15))} AS high, "
+        f"{flag(ratio_at_least('query', 30))} AS very_high FROM req"
+    )
+    q["ua_class"] = req_q(f"SELECT id, {flag(_BROWSER)} AS browser FROM req")
+    q["uri_class"] = req_q(
+        f"SELECT id, {flag(_LOGIN)} AS login, {flag(_HEAVY)} AS query_heavy, {flag(_STATIC)} AS static FROM req"
+    )
+    q["json_content_type"] = req_q(
+        f"SELECT id, {flag(_JSON.format('req_content_type'))} AS request_json, {flag(_JSON.format('resp_content_type'))} AS response_json FROM req"
+    )
+    q["flexible_time"] = req_q(f"SELECT source_table, id, {MS} FROM req", ALL)
+    q["temporal_key"] = req_q(f"SELECT source_table, id, {_TKEY} AS k FROM req", ALL)
+    q["second_bucket"] = req_q(f"SELECT id, {_SECOND} AS second FROM req")
+    raws = "[" + ", ".join(s(v) for v in ["-", "none", "NULL", "n/a", " na ", "", "a%2Bb", "null"]) + "]"
+    q["identifier_norm"] = (
+        f"SELECT event_id, {ident(f'coalesce({raws}[event_id % 9 + 1], event_type)')} AS ident FROM events"
+    )
+    flat = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+    q["shorten_text"] = "SELECT doc_id, " + ", ".join(
+        f"CASE WHEN len({flat}) <= {n} THEN {flat} ELSE rtrim(left({flat}, {n - 3})) || '...' END AS short_{n}" for n in (160, 180, 280)
+    ) + " FROM documents"
+    q["probe_path_hints"] = req_q(
+        f"SELECT source_table, id, {joined(probe_hints('path'))} AS hints, {flag(burst_probe('path', 'ql'))} AS burst_probe "
+        f"FROM (SELECT *, {_PPATH} AS path, lower({norm('query')}) AS ql FROM req)", ALL
+    )
+    q["encoded_marker"] = req_q(f"SELECT id, {flag(_ENCODED.replace('{}', 'query_raw'))} AS marker FROM req")
+    q["repeated_quote"] = req_q(f"SELECT id, {flag(_QUOTES)} AS quotes FROM req")
+    q["sql_keyword"] = req_q(f"SELECT id, {flag(_SQLKEY)} AS keyword FROM req")
+    q["mixed_case_script"] = tx_q(f"SELECT id, {flag(mixed('combined'))} AS mixed FROM ty", "security")
+    q["attack_intent_words"] = req_q(f"SELECT id, {flag(_WORDS)} AS intent FROM req")
+    # rules
+    plain_hits = hx_q("SELECT 1").rsplit("SELECT 1", 1)[0].replace(
+        "CASE WHEN early IS NULL THEN combined END AS scan", "combined AS scan"
+    )
+    q["signature_hits"] = plain_hits + " UNION ALL ".join(
+        f"SELECT source_table, id, {s(f)} AS family, {s(n)} AS signature, {p} AS points FROM hx WHERE h_{f}_{n}" for f, n, _, p in SIGNATURES
+    )
+    q["signature_counts"] = plain_hits + "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT {s(f)} AS family, {s(n)} AS signature, count_if(h_{f}_{n}) AS hits, count_if(h_{f}_{n}) * {p} AS points FROM hx" for f, n, _, p in SIGNATURES
+    ) + ") WHERE hits > 0"
+    q["decoded_attack_hints"] = hx_q(
+        f"SELECT source_table, id, at0::INT AS attack_d0, at1::INT AS attack_d1, at2::INT AS attack_d2, sq1::INT AS sqli_d1, "
+        f"sq2::INT AS sqli_d2, {joined(ENC_HINTS)} AS hints FROM hx"
+    )
+    q["file_disclosure_hints"] = hx_q(f"SELECT source_table, id, {FD_POINTS} AS points, {joined(FD_HINTS)} AS hints FROM hx")
+    q["xss_context_hints"] = tx_q(f"SELECT source_table, id, {joined(XSS_HINTS)} AS hints FROM ty")
+    q["sqli_structure"] = tx_q("SELECT source_table, id, " + ", ".join(f"{flag(v)} AS {n}" for n, v in SQL_STRUCTURE.items()) + " FROM ty")
+    q["xss_structure"] = tx_q("SELECT source_table, id, " + ", ".join(f"{flag(v)} AS {n}" for n, v in XSS_STRUCTURE.items()) + " FROM ty")
+    q["educational_context"] = req_q(
+        f"SELECT source_table, id, {flag(_LEARN_SQL)} AS learning_sql, {flag(learn_xss(join2('query', 'target')))} AS learning_xss FROM req", ALL
+    )
+    q["risk_score"] = judged_q(f"SELECT source_table, id, score, {joined('reasons')} AS reasons FROM judged WHERE early IS NULL")
+    q["verdict_cascade"] = judged_q("SELECT source_table, id, coalesce(verdict, '') AS verdict FROM judged")
+    q["noise_category"] = judged_q("SELECT source_table, id, noise AS noise_category FROM left_out")
+    q["early_noise"] = judged_q("SELECT source_table, id, early AS category FROM judged WHERE early IS NOT NULL")
+    flags = f"{flag('path_norm')} AS path_normalized, {flag('html_fallback')} AS html_fallback"
+    hpp = f"{flag('len(hpp) > 0')} AS hpp_detected, array_to_string(hpp, ',') AS hpp_param_names"
+    q["candidates"] = judged_q(
+        f"SELECT source_table, id, src_ip, method, uri, query, status_code, score, verdict AS verdict_hint, embedded AS embedded_attack_hint, "
+        f"{flags}, {hpp}, {joined('reasons')} AS reason_hints, request_id FROM cand"
+    )
+    hint_path = f"lower({norm('probe_path')})"
+    q["filtered_rows"] = judged_q(
+        f"SELECT source_table, id, noise AS noise_category, {MS}, src_ip, method, uri, query, status_code, request_id, error_link_id, "
+        f"response_body_bytes, resp_content_type, target, {flags}, {hpp}, {joined(probe_hints('hp'))} AS reason_hints "
+        f"FROM (SELECT *, {hint_path} AS hp FROM left_out)"
+    )
+    q["fallback_flags"] = judged_q(f"SELECT source_table, id, {flags}, {flag('file_like')} AS file_like FROM judged")
+    q["fp_review"] = judged_q(
+        f"SELECT 'educational_xss_keyword_search' AS review_reason, source_table, id, {MS}, src_ip, uri, query, status_code FROM review", NOISE, review()
+    )
+    q["high_signal_sqli"] = judged_q("SELECT source_table, id, score, src_ip FROM cand WHERE verdict = 'sqli' AND score >= 7")
+    risk_with = with_(LOG, canon("security"), RISK)
+    q["request_risk"] = risk_with + (
+        f"SELECT id AS log_id, {MS}, src_ip, method, CASE WHEN uri = '' THEN '-' ELSE uri END AS uri, query, status_code, score, verdict, reasons, request_text AS raw_request FROM risk"
+    )
+    # aggregates
+    q["noise_rollup"] = judged_q(
+        f"SELECT noise AS noise_category, src_ip, uri, method, status_code, user_agent, n AS count, epoch_ms(t0) AS start_ms, epoch_ms(t1) AS end_ms, "
+        f"CASE noise {_NOTE} ELSE {s(rules.NOISE_NOTE_DEFAULT)} END AS note FROM ngrp WHERE n >= 3", NOISE
+    )
+    q["noise_passed_through"] = judged_q("SELECT source_table, id, noise AS noise_category FROM through", NOISE)
+    q["noise_breakdown"] = with_(LOG, canon("security"), texts(), hits(), scored()) + (
+        "SELECT noise AS category, count(*) AS count FROM left_out GROUP BY noise"
+    )
+    q["incidents"] = inc_q(
+        f"SELECT ikey AS incident_group_key, source_table, id, src_ip, method, uri, query, status_code, score, verdict AS verdict_hint, merged AS merged_row_count, "
+        f"first_id AS first_log_id, last_id AS last_log_id, {joined('srcs')} AS merged_source_tables, {joined('reasons')} AS reason_hints, request_id, error_link_id, {MS} FROM inc"
+    )
+    q["incident_members"] = inc_q("SELECT ikey AS incident_group_key, source_table, id FROM keyed")
+    dash = lambda x: f"CASE WHEN {ident(x)} = '' THEN '-' ELSE {ident(x)} END AS {x}"
+    q["incident_groups"] = inc_q(
+        f"SELECT ikey AS incident_group_key, merged AS merged_row_count, src_ip, method, uri, status_code, verdict AS verdict_hint, {dash('request_id')}, "
+        f"{dash('error_link_id')}, {joined('srcs')} AS source_tables, {MS} FROM inc"
+    )
+    counts = [
+        ("selected_source_rows", "judged", "count(*)"), ("total_exported_rows", "judged", "count(*)"),
+        ("filtered_out_rows", "left_out", "count(*)"), ("candidate_rows_before_dedup", "cand", "count(*)"),
+        ("candidate_rows", "inc", "count(*)"), ("distinct_incident_candidates", "inc", "count(*)"),
+        ("candidate_duplicate_rows_removed", "inc", "(SELECT count(*) FROM cand) - count(*)"),
+        ("filtered_out_non_aggregated_rows", "through", "count(*)"), ("noise_group_count", "ngrp", "count_if(n >= 3)"),
+        ("supporting_events", "sup", "count(*)"), ("false_positive_review_candidates", "review", "count(*)"),
+        ("probing_sequence_summaries", "bursts", "count(*)"),
+    ]
+    q["stage_counts"] = inc_q(
+        " UNION ALL ".join(f"SELECT {s(n)} AS counter, {v} AS value FROM {t}" for n, t, v in counts), NOISE, review(), SUPPORT, BURSTS
+    )
+    q["ip_risk"] = risk_with + (
+        f"SELECT src_ip, total_requests, benign_count, suspicious_count, sqli_count, xss_count, total_score, max_score, final_verdict, sample_reasons, "
+        f"{half_even('total_score * 100', 'total_requests')} AS average_hundredths FROM ips"
+    )
+    ded_cols = (
+        f"dkey AS dedup_key, ref AS incident_ref, dups AS duplicate_count, {joined('dsrcs')} AS source_tables, 'manual_review' AS recommended_actions, "
+        f"{flag('known')} AS known_asset, src_ip, uri, score, v AS verdict, sev AS severity, 'low' AS confidence, ci AS candidate_index"
+    )
+    q["triage_dedup"] = tri_q(f"SELECT {ded_cols} FROM ded")
+    top = """
+fact AS (SELECT src_ip, 'verdict' AS fact, v AS value, rk FROM ded UNION ALL SELECT src_ip, 'uri', uri, rk FROM ded UNION ALL SELECT src_ip, 'action', 'manual_review', rk FROM ded),
+fcount AS (SELECT src_ip, fact, value, count(*) AS n, min(rk) AS f FROM fact GROUP BY ALL),
+top3 AS (SELECT *, row_number() OVER (PARTITION BY src_ip, fact ORDER BY n DESC, f) AS place FROM fcount QUALIFY place <= 3),
+byip AS (SELECT src_ip, count(*) AS incident_count, max(sevrank) AS sr, max(sev ORDER BY sevrank) AS x_, bool_or(known) AS known FROM ded GROUP BY src_ip),
+rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
+    top = top.replace("max(sev ORDER BY sevrank) AS x_, ", "arg_max(sev, sevrank) AS msev, ")
+    tops = ", ".join(
+        f"(SELECT coalesce(string_agg(value, ',' ORDER BY place), '') FROM top3 t WHERE t.src_ip = b.src_ip AND fact = {s(f)}) AS {n}"
+        for f, n in (("verdict", "top_verdicts"), ("uri", "top_uris"), ("action", "top_actions"))
+    )
+    q["triage_by_ip"] = tri_q(
+        f"SELECT b.src_ip, incident_count, raw AS raw_row_count, msev AS max_severity, 'low' AS max_confidence, {tops}, {flag('known')} AS known_asset "
+        "FROM byip b JOIN rawip r ON r.src_ip = b.src_ip", top
+    )
+    q["triage_distributions"] = tri_q(
+        " UNION ALL ".join(
+            f"SELECT {s(d)} AS distribution, {x} AS value, count(*) AS count FROM ded GROUP BY ALL"
+            for d, x in (("verdicts", "v"), ("severities", "sev"), ("source_tables", "source_table"))
+        ) + " UNION ALL SELECT 'recommended_actions', 'manual_review', count(*) FROM ded"
+    )
+    share = "shr AS (SELECT noise AS category, count(*) AS count, (sum(count(*)) OVER ())::BIGINT AS total FROM left_out GROUP BY noise)"
+    share_cols = f"SELECT category, count, total, {half_even('count * 1000', 'total')} AS share FROM shr"
+    q["noise_share"] = judged_q(share_cols, share)
+    q["recon_share"] = judged_q(share_cols + " WHERE category IN ('low_signal_fuzzing', 'low_signal_dir_probe')", share)
+    q["known_asset_matches"] = tri_q("SELECT src_ip, count(*) AS incident_count FROM ded WHERE known GROUP BY src_ip")
+    # joins
+    q["supporting_events"] = inc_q(
+        f"SELECT source_table, id, {MS}, src_ip, method, uri, query, status_code, response_body_bytes, request_id, {joined('hints')} AS reason_hints, "
+        "tkey AS temporal_context_key, n AS nearby_candidate_count FROM sup", SUPPORT
+    )
+    q["incident_evidence"] = tri_q(
+        "SELECT dkey AS dedup_key, 1 AS found_by, md5(log_text) AS log_md5, user_agent AS evidence_agent, len(reasons) AS hints FROM ded"
+    )
+    q["known_assets"] = req_q(f"SELECT id, src_ip, {flag(f'src_ip IN ({_ASSETS})')} AS known_asset FROM req")
+    q["notable_lookup"] = tri_q(
+        "SELECT CASE WHEN ci % 4 = 0 THEN ref || '?' ELSE ref END AS incident_ref, request_id, "
+        + ", ".join(f"CASE WHEN ci % 4 <> 0 THEN {n} END AS {n}" for n in ("uri", "status_code", "score")) + " FROM ded WHERE ci % 2 = 0"
+    )
+    q["error_correlation"] = req_q(
+        "SELECT a.id, a.request_id, b.id AS error_id, b.error_link_id AS error_row_link_id, b.log_text AS error_text "
+        "FROM req a JOIN req b ON a.request_id = b.request_id AND a.source_table = 'security' AND b.source_table = 'error' AND a.request_id <> ''",
+        "security,error",
+    )
+    # windows and top-k
+    q["incident_representative"] = inc_q(f"SELECT ikey AS incident_group_key, source_table, id, duration_us, {MS} FROM inc")
+    q["probing_bursts"] = with_(LOG, canon(ALL), BURSTS) + "SELECT * FROM bursts"
+    q["incident_rank"] = tri_q("SELECT rk AS rank, ref AS incident_ref, sev AS severity, score FROM ded WHERE rk <= 100")
+    q["triage_representative"] = tri_q(f"SELECT dkey AS dedup_key, source_table, id AS log_id, score, {MS} FROM ded")
+    q["top3_per_ip"] = tri_q("SELECT src_ip, fact, place, value, n FROM top3", top)
+    q["top_candidates"] = inc_q(f"SELECT ikey AS incident_group_key, score, {MS}, ci AS candidate_index FROM idx WHERE ci < 50")
+    q["top_noise"] = judged_q(
+        "SELECT noise AS noise_category, src_ip, uri, method, status_code, user_agent, n AS count FROM ngrp WHERE n >= 3 "
+        "ORDER BY n DESC, noise DESC, src_ip DESC, uri, method, status_code, user_agent LIMIT 8", NOISE
+    )
+
+    def short(x: str, n: int) -> str:
+        f = rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+        return f"CASE WHEN len({f}) <= {n} THEN {f} ELSE rtrim(left({f}, {n - 3})) || '...' END"
+
+    q["top_incidents"] = tri_q(
+        f"SELECT rk AS rank, ref AS incident_ref, v AS verdict, sev AS severity, score, src_ip, uri, dups AS duplicate_count, {short('user_agent', 160)} AS user_agent, "
+        f"{short('request_text', 180)} AS raw_request, {short('log_text', 280)} AS raw_log_excerpt, {joined('reasons')} AS reason_hints, {flag('known')} AS known_asset FROM ded WHERE rk <= 12"
+    )
+    q["top_ips"] = tri_q(
+        "SELECT b.src_ip, incident_count, raw AS raw_row_count, msev AS max_severity FROM byip b JOIN rawip r ON r.src_ip = b.src_ip "
+        "ORDER BY sr DESC, incident_count DESC, b.src_ip LIMIT 8", top
+    )
+    q["top_risky_ips"] = risk_with + (
+        "SELECT src_ip, total_score, sqli_count, xss_count, max_score, final_verdict FROM ips ORDER BY total_score DESC, sqli_count DESC, xss_count DESC, max_score DESC, src_ip LIMIT 20"
+    )
+    q["top_risky_requests"] = risk_with + "SELECT id AS log_id, src_ip, score, verdict FROM risk ORDER BY score DESC, log_time DESC, id LIMIT 10"
+    q["context_caps"] = inc_q(
+        "(SELECT 'burst' AS kind, src_ip || '|' || start_ms AS item FROM bursts ORDER BY request_count DESC, distinct_path_count DESC, start_ms DESC, src_ip LIMIT 10) "
+        "UNION ALL (SELECT 'supporting', source_table || '|' || id FROM sup ORDER BY n DESC, log_time DESC, pos, id LIMIT 20) "
+        "UNION ALL (SELECT 'review', source_table || '|' || id FROM review ORDER BY pos, log_time, id LIMIT 20) "
+        "UNION ALL (SELECT 'error', ci::VARCHAR FROM idx WHERE ci % 9 IN (4, 7, 8) ORDER BY ci LIMIT 5)", NOISE, review(), SUPPORT, BURSTS
+    )
+    q["distinct_paths"] = with_(LOG, canon(ALL), BURSTS) + "SELECT ip AS src_ip, count(DISTINCT path) AS paths FROM pr GROUP BY ip"
+    # model tables
+    q["triage_requests"] = inc_q(
+        "SELECT ci AS candidate_index, '2026-04-01 15:00:00' AS window_start, '2026-04-02 15:00:00' AS window_end_exclusive, ikey AS incident_group_key, source_table, "
+        "id AS log_id, src_ip, uri, query AS query_string, score, verdict AS verdict_hint, merged AS merged_row_count, "
+        f"{joined('list_transform(ids, lambda x_: x_::VARCHAR)')} AS merged_log_ids, least(8, len(reasons)) AS hints, least(1200, len(trim(log_text))) AS excerpt_length FROM idx"
+    )
+    q["rule_triage"] = tri_q(
+        "SELECT ci AS candidate_index, ikey AS incident_group_key, score, verdict AS verdict_hint, v AS verdict, sev AS severity, 'low' AS confidence, "
+        "least(8, len(reasons)) AS evidence, 'manual_review' AS recommended_actions FROM res"
+    )
+    enum = ", ".join(s(v) for v in rules.VERDICTS)
+    q["validate_responses"] = tri_q(
+        "SELECT ci AS candidate_index, " + joined(
+            f"[CASE WHEN v NOT IN ({enum}) THEN 'verdict' END, CASE WHEN len(reasons) = 0 THEN 'evidence_fields' END, 'recommended_actions_value']"
+        ) + " AS violations, 0 AS valid FROM res"
+    )
+    q["parse_responses"] = tri_q(
+        f"SELECT ci AS candidate_index, CASE WHEN ci % 9 IN (2, 5) THEN 'outer_object' ELSE 'direct' END AS strategy, CASE verdict {_ENUM} ELSE 'inconclusive' END AS verdict, "
+        "CASE WHEN ci % 9 = 6 THEN 'extreme' ELSE sev END AS severity, 'low' AS confidence, 1 AS false_positive_possible, 'saw \"}\" in ' || uri AS reasoning_summary, "
+        "least(8, len(reasons)) AS evidence, 'review_raw_log' AS recommended_actions FROM res WHERE ci % 9 IN (0, 1, 2, 3, 5, 6)"
+    )
+    # streams
+    q["stream_candidates"] = judged_q(f"SELECT source_table, id, score, verdict AS verdict_hint, {joined('reasons')} AS reason_hints FROM cand")
+    q["stream_noise_windows"] = judged_q(
+        "SELECT (epoch_ms(log_time) // 120000) * 120000 AS window_start_ms, noise AS noise_category, count(*) AS count FROM left_out GROUP BY ALL"
+    )
+    return q
