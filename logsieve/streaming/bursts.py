@@ -1,7 +1,8 @@
 """Probing bursts on a stream: one open burst per address, emitted when it closes.
 
-The state of an address is one small row per distinct (path, status, content type,
-size) of the open burst, so a flood of equal probes adds counts and no rows.
+The state of an address is one small row per distinct (millisecond, path) that is not
+yet covered by a closed burst, with a count: equal probes add to a count, not rows, and
+everything older than the watermark is gone.
 """
 
 from collections.abc import Iterator
@@ -14,7 +15,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from logsieve import rules
 from logsieve.operators.bursts import GAP, probes
 
-OUTPUT = "src_ip string, start_ms bigint, end_ms bigint, request_count bigint, distinct_path_count bigint"
+OUTPUT = (
+    "src_ip string, start_ms bigint, end_ms bigint, request_count bigint, "
+    "distinct_path_count bigint"
+)
+
+
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    names = [n.split()[0] for n in OUTPUT.split(", ")]
+    kinds = {n: object if n == "src_ip" else "int64" for n in names}
+    return pd.DataFrame(rows, columns=names).astype(kinds)
 
 
 class OpenBurst(StatefulProcessor):
@@ -40,7 +50,7 @@ class OpenBurst(StatefulProcessor):
                 lowest = int(ms) if lowest is None else min(lowest, int(ms))
         if lowest is not None:
             self._set_first(lowest)
-        yield pd.DataFrame({n.split()[0]: [] for n in OUTPUT.split(", ")})
+        yield _table([])
 
     def _set_first(self, ms: int) -> None:
         if self.first.exists():
@@ -65,14 +75,8 @@ class OpenBurst(StatefulProcessor):
         total = sum(n for _, _, n in covered)
         paths = {p for _, p, _ in covered}
         if total >= rules.BURST_MIN_REQUESTS and len(paths) >= rules.BURST_MIN_PATHS:
-            yield pd.DataFrame(
-                {
-                    "src_ip": [key[0]],
-                    "start_ms": [start],
-                    "end_ms": [max(m for m, _, _ in covered)],
-                    "request_count": [total],
-                    "distinct_path_count": [len(paths)],
-                }
+            yield _table(
+                [(key[0], start, max(m for m, _, _ in covered), total, len(paths))]
             )
 
     def close(self) -> None:

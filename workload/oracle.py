@@ -527,7 +527,6 @@ def ident(x: str) -> str:
 
 
 _SECOND = local("log_time", "%Y-%m-%dT%H:%M:%S", "+0900")
-_FP = "||".join([""])
 _PARTS = ", ".join(
     [norm(x) for x in ("src_ip", "method", "uri", "query", "request_text")]
     + ["status_code", "verdict", _SECOND]
@@ -881,7 +880,7 @@ def all_queries() -> dict[str, str]:
         f"CASE noise {_NOTE} ELSE {s(rules.NOISE_NOTE_DEFAULT)} END AS note FROM ngrp WHERE n >= 3", NOISE
     )
     q["noise_passed_through"] = judged_q("SELECT source_table, id, noise AS noise_category FROM through", NOISE)
-    q["noise_breakdown"] = with_(LOG, canon("security"), texts(), hits(), scored()) + (
+    q["noise_breakdown"] = judged_q(
         "SELECT noise AS category, count(*) AS count FROM left_out GROUP BY noise"
     )
     q["incidents"] = inc_q(
