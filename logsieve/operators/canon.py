@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logsieve import rules
 from logsieve.functions import paths as P
 from logsieve.functions import text as T
+from logsieve.functions.stage import hold
 
 
 def _present(df: DataFrame, names) -> list[Column]:
@@ -51,7 +52,7 @@ def canon(df: DataFrame, source: str, position: int = 0) -> DataFrame:
     """One source table to canonical rows. ``position`` is its place in the run."""
     if source not in rules.SOURCES:
         raise ValueError(f"unknown source table: {source}")
-    base = df.select(
+    return df.select(
         F.lit(source).alias("source_table"),
         F.lit(position).alias("source_position"),
         _present(df, ["id"])[0].try_cast("bigint").alias("id"),
@@ -77,8 +78,6 @@ def canon(df: DataFrame, source: str, position: int = 0) -> DataFrame:
         _text(df, "error_link_id").alias("error_link_id"),
         _text(df, "raw_log").alias("log_text"),
     )
-    target = P.request_target(F.col("raw_request"))
-    return base.withColumn("target", target)
 
 
 def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame:
@@ -94,4 +93,5 @@ def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame
     for position, name in enumerate(names):
         part = canon(tables[name], name, position)
         out = part if out is None else out.unionByName(part)
-    return out
+    # The border keeps later projections from being copied into every part of the union.
+    return hold(out, {"target": P.request_target(F.col("raw_request"))})

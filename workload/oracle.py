@@ -1019,4 +1019,7 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
     q["stream_noise_windows"] = judged_q(
         "SELECT (epoch_ms(log_time) // 120000) * 120000 AS window_start_ms, noise AS noise_category, count(*) AS count FROM left_out GROUP BY ALL"
     )
+    q["stream_bursts"] = with_(LOG, canon(ALL), BURSTS) + (
+        "SELECT src_ip, start_ms, end_ms, request_count, distinct_path_count FROM bursts"
+    )
     return q

@@ -5,6 +5,7 @@ and joined, so that any engine can compare them.
 """
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -936,15 +937,34 @@ def report_input(spark, d):
 
 
 def _request_folder(spark, d):
-    """Canonical requests as files in time order, for use as a stream."""
+    """Canonical requests as a stream source: files written in time order, each later one
+    holding later requests, and at the end one much later probe that closes every window.
+
+    The files of one time span may come in any order, so that span is the allowed lateness.
+    """
     path = store.scratch_path(spark, "requests")
     rows = requests(spark, d, ALL)
-    rows.repartitionByRange(8, "log_time").write.parquet(path)
-    return rows.schema, path
+    first, last = rows.agg(F.min("log_time"), F.max("log_time")).first()
+    cuts = [first + (last - first) * i / 4 for i in range(4)] + [None]
+    for start, end in zip(cuts, cuts[1:]):
+        part = rows.where(c("log_time") >= F.lit(start))
+        if end is not None:
+            part = part.where(c("log_time") < F.lit(end))
+        part.write.mode("append").parquet(path)
+    closing = rows.where(c("log_time") == F.lit(last)).limit(1).withColumns(
+        {
+            "log_time": F.lit(last + (last - first) + timedelta(days=1)),
+            "src_ip": F.lit("closing"), "uri": F.lit("/admin"), "method": F.lit("GET"),
+            "target": F.lit("/admin"), "raw_request": F.lit("GET /admin HTTP/1.1"),
+        }
+    )
+    closing.write.mode("append").parquet(path)
+    late = f"{int((last - first).total_seconds() / 4) + 1} seconds"
+    return rows.schema, path, late
 
 
 def _stream(spark, schema, path):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
 def _drain(spark, df, name, keep=None):
@@ -960,19 +980,19 @@ def _drain(spark, df, name, keep=None):
 
 @query
 def stream_candidates(spark, d):
-    schema, path = _request_folder(spark, d)
+    schema, path, late = _request_folder(spark, d)
     found = score.candidates(score.judge(_stream(spark, schema, path)))
-    got = _drain(spark, found, "stream-candidates")
+    got = _drain(spark, found, "stream-candidates").where("src_ip != 'closing'")
     return got.select(*ROW, "score", "verdict_hint", joined("reason_hints"))
 
 
 @query
 def stream_noise_windows(spark, d):
-    """Windows of the streamed left-out rows; those still open at the end are added."""
-    schema, path = _request_folder(spark, d)
+    """Counted on the stream itself, with a watermark; the closing row ends all windows."""
+    schema, path, late = _request_folder(spark, d)
     left = score.filtered(score.judge(_stream(spark, schema, path)))
-    rows = _drain(spark, left.select("log_time", "noise_category"), "stream-left")
-    return ingest.noise_windows(rows).select(ms("window_start"), "noise_category", "count")
+    got = _drain(spark, ingest.noise_windows(left, late), "stream-windows")
+    return got.select(ms("window_start"), "noise_category", "count")
 
 
 @query
@@ -983,8 +1003,8 @@ def stream_bursts(spark, d):
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     try:
-        schema, path = _request_folder(spark, d)
-        found = stream_bursts_module.stream_bursts(_stream(spark, schema, path), "1 minute")
+        schema, path, late = _request_folder(spark, d)
+        found = stream_bursts_module.stream_bursts(_stream(spark, schema, path), late)
         return _drain(spark, found, "stream-bursts")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)

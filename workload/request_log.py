@@ -8,6 +8,7 @@ whether to broadcast it.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsieve.sources.store import materialize
 from workload import templates as W
 
 
@@ -22,7 +23,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_written: dict = {}
+
+
 def base_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log as a stored table, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = materialize(derive_log(spark, sf_dir), "request-log")
+    return _written[key]
+
+
+def derive_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     n_pages = pages.count()  # read from the file footers
