@@ -61,23 +61,26 @@ class OpenBurst(StatefulProcessor):
         self.handle.registerTimer(ms + GAP)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        start = self.first.get()[0]
+        """Emit every burst that ended before the watermark; keep the first open one."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((ms, path, n) for (ms, path), (n,) in self.seen.iterator())
         self.first.clear()
-        covered, later = [], None
-        for (ms, path), (n,) in list(self.seen.iterator()):
-            if ms <= start + GAP:
-                covered.append((ms, path, n))
-                self.seen.removeKey((ms, path))
-            else:
-                later = ms if later is None else min(later, ms)
-        if later is not None:
-            self._set_first(later)
-        total = sum(n for _, _, n in covered)
-        paths = {p for _, p, _ in covered}
-        if total >= rules.BURST_MIN_REQUESTS and len(paths) >= rules.BURST_MIN_PATHS:
-            yield _table(
-                [(key[0], start, max(m for m, _, _ in covered), total, len(paths))]
-            )
+        closed, at = [], 0
+        while at < len(waiting):
+            start = waiting[at][0]
+            if start + GAP > watermark:
+                self._set_first(start)
+                break
+            total, paths, end = 0, set(), start
+            while at < len(waiting) and waiting[at][0] <= start + GAP:
+                end, path, n = waiting[at]
+                self.seen.removeKey((end, path))
+                total += n
+                paths.add(path)
+                at += 1
+            if total >= rules.BURST_MIN_REQUESTS and len(paths) >= rules.BURST_MIN_PATHS:
+                closed.append((key[0], start, end, total, len(paths)))
+        yield _table(closed)
 
     def close(self) -> None:
         pass
