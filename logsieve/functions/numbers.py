@@ -11,5 +11,5 @@ def rounded_ratio(top: Column, bottom: Column, decimals: int) -> Column:
     whole = F.floor(scaled / bottom)
     whole = F.when(whole * bottom > scaled, whole - 1).otherwise(whole)
     rest = scaled - whole * bottom
-    up = (rest * 2 > bottom) | ((rest * 2 == bottom) & (whole % 2 == 1))
+    up = (rest * 2 > bottom) | ((rest * 2 == bottom) & (whole % 2 != 0))
     return F.when(bottom > 0, (whole + up.cast("int")) / scale).otherwise(F.lit(0.0))

@@ -362,17 +362,15 @@ CANDIDATE_COLUMNS = [
 
 def candidates(judged: DataFrame) -> DataFrame:
     """Requests worth a closer look, with their reasons."""
-    return (
-        judged.where("verdict_hint is not null")
-        .withColumns(
-            {
-                "reason_hints": reason_hints(),
-                "embedded_attack_hint": embedded_attack(),
-                "uri": T.first_text(c("uri"), F.lit("-")),
-            }
-        )
-        .select(*CANDIDATE_COLUMNS)
-    )
+    found = judged.where("verdict_hint is not null")
+    return hold(
+        found,
+        {
+            "reason_hints": reason_hints(),
+            "embedded_attack_hint": embedded_attack(),
+            "uri": T.first_text(c("uri"), F.lit("-")),
+        },
+    ).select(*CANDIDATE_COLUMNS)
 
 
 FILTERED_COLUMNS = [

@@ -49,12 +49,10 @@ def test_bursts_match_a_plain_loop(spark, seed):
         raw.append((f"ip{rnd.choice([1, 1, 1, 2])}", at, rnd.choice(PROBES[:7])))
     rows = [row(i, p, t, src_ip=ip) for i, (ip, t, p) in enumerate(raw, 1)]
     start = F.unix_millis("start") / 1000
-    base = row(0, "/")[1].timestamp()
     got = bursts.probing_bursts(requests(spark, rows)).select(
         "src_ip", start.alias("s"), (F.unix_millis("end") / 1000).alias("e"), "request_count"
     ).collect()
     zone = min(r.s for r in got) - min(b[1] for b in brute_bursts(raw))
-    del base
     assert sorted((r.src_ip, r.s - zone, r.e - zone, r.request_count) for r in got) == (
         brute_bursts(raw)
     )
@@ -71,6 +69,14 @@ def test_walk_carries_over_batches():
     assert got == [0, 120_001, 240_002]  # 240 002 is 120 001 ms after the second start
 
 
+def split(spark, rows):
+    """Left-out rows and incidents, written."""
+    judged = score.judge(requests(spark, rows))
+    left = store.materialize(score.filtered(judged), "left")
+    found = store.materialize(score.candidates(judged), "found")
+    return left, store.materialize(incidents.incidents(found), "incidents")
+
+
 def _attack(i, at, **other):
     return row(i, "/search?q=%27%20or%201=1--", at, **other)
 
@@ -83,9 +89,8 @@ def test_supporting_window_edges_and_unknown_time(spark):
         row(6, "/search?q=from", log_time=None), row(7, "/other?q=from", 500),
         row(8, "/search?q=from", 500, src_ip="10.0.0.2"),
     ]
-    judged = score.judge(requests(spark, rows))
-    inc = incidents.incidents(score.candidates(judged))
-    got = nearby.supporting_events(score.filtered(judged), inc).collect()
+    left, inc = split(spark, rows)
+    got = nearby.supporting_events(left, inc).collect()
     assert sorted(r.id for r in got) == [2, 4, 6]
     assert {r.nearby_candidate_count for r in got} == {1}
 
@@ -100,9 +105,7 @@ def test_supporting_counts_match_all_pairs(spark):
         uri = rnd.choice(["/search", "/search/a", "/search/a%253Fb"])
         make = rnd.random() < 0.3
         rows.append(row(i, uri + ("?q=%27%20or%201=1--" if make else "?q=from"), at, **extra))
-    judged = score.judge(requests(spark, rows))
-    inc = incidents.incidents(score.candidates(judged))
-    left = score.filtered(judged)
+    left, inc = split(spark, rows)
     got = {r.id: r for r in nearby.supporting_events(left, inc).collect()}
     strong = score.high_signal_sqli(inc).select(
         "uri", "log_time", "status_code", "response_body_bytes"
