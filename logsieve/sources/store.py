@@ -1,29 +1,64 @@
-"""Written intermediate tables in the shared folder of the cluster."""
+"""Written intermediate tables in the folder that all executors share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_base: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    found = tempfile.mkdtemp(prefix="logsieve-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The session's own folder below ``spark.checkpoint.dir``, or below the warehouse if unset."""
+    app = spark.sparkContext.applicationId
+    if app not in _base:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        _base[app] = f"{top.rstrip('/')}/logsieve-{uuid.uuid4().hex[:12]}"
+    return _base[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read many times: cuts the lineage without losing it to an executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once, read many times: cuts the lineage without losing it to an executor.
+
+    The write's own shuffle files go when it ends; nothing reads them afterwards.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one written table or folder, wherever Spark's file systems keep it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete everything this session has written here."""
+    app = spark.sparkContext.applicationId
+    _written.pop(app, None)
+    if base := _base.pop(app, None):
+        remove(spark, base)
