@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, fingerprints, langid, mixing, quality, urls
+from logsieve.llm import chat, decontam, fingerprints, langid, linededup, mixing, near, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,19 @@ placed as (
 select doc_id, size, source_size, target, ((whole + case when start + size / 2.0 < rest then 1 else 0 end) * size)::bigint as taken
 from placed
 """
+
+
+@query
+def op10_near_duplicates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return near.near_duplicates(docs, n=3, percent=85).drop("text_hash")
+
+
+@query
+def op1_benchmark_decontamination(spark, d):
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
+
+
+@query
+def op2_line_dedup(spark, d):
+    return linededup.dedup(table(spark, d, "documents").select("doc_id", "text"))

@@ -16,6 +16,7 @@ STEP = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 U64 = np.uint64
 
 
@@ -57,9 +58,15 @@ def _slices(buf: bytes) -> Iterator[bytes]:
         at = end
 
 
-def hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after the other, and where each text's begin (and end)."""
-    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+def hashes(texts: Sequence[str | None], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and where each text's begin (and end).
+
+    plain: all letters are lower-cased and ASCII punctuation separates words, as white space does.
+    """
+    if plain:
+        parts = [(t or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN) for t in texts]
+    else:
+        parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64) if parts else np.zeros(0, np.int64)
     words, places, base = [], [], 0
     for piece in _slices(b"\n".join([*parts, b""])):
