@@ -163,7 +163,10 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | No
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | None = None, **bounds: int) -> DataFrame:
     """The rows of docs that the sample keeps, with their columns."""
     ratio, share = fit(docs, labels, seed, **bounds)
-    scored = perturbed(docs.withColumn("_all", F.struct(*docs.columns)), ratio, seed)
+    rest = F.struct(*[n for n in docs.columns if n not in ("doc_id", "text")], F.lit(1).alias("_one"))
+    scored = perturbed(docs.select("doc_id", "text", rest.alias("_rest")), ratio, seed)
     light = store.materialize(scored.select("score"), "weights")
     least = kth_largest(light, "score", round((share if keep is None else keep) * light.where("score is not null").count()))
-    return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select("_all.*")
+    return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(
+        *[F.col(n if n in ("doc_id", "text") else f"_rest.{n}") for n in docs.columns]
+    )
