@@ -176,8 +176,8 @@ def deal(docs: DataFrame, frequent: Frequent, scale: Scale, buckets: int, traini
             bucket = np.where(j >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
             order = np.argsort((bucket << U64(44)) | (mix(w) >> U64(20)), kind="stable")
             h, w, doc, bucket = h[order].view(np.int64), w[order].view(np.int64), doc[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+            cuts = [*np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist(), len(bucket)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 yield _row(bucket=int(bucket[a]), kind=PAIRS, base=base, w=w[a:z], h=h[a:z], n=doc[a:z])
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())

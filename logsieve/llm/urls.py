@@ -57,7 +57,7 @@ def entropy(text: Column) -> Column:
     """Bits per character."""
     n = F.greatest(F.length(text), F.lit(1))
     chars = F.array_distinct(F.split(text, ""))
-    share = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(c) / n)
+    share = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
     parts = F.filter(share, lambda p: p > 0)
     return F.coalesce(-F.aggregate(parts, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0))
 
