@@ -20,6 +20,8 @@ from logsieve.sources import store
 
 SAMPLES = 32
 LEVELS = 512
+#: Characters of text in one partition: what a task groups by term must fit its memory.
+PART = 4_000_000
 _NONE = -(1 << 63)
 
 
@@ -79,7 +81,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """key columns k, h, their number of rows m, and of the document before: prev_k, prev_h, prev_n.
+    """key columns k, h, their number of rows m and characters n, and of the document before: prev_k, prev_h, prev_n.
 
     By doc_id (null first), then by text hash; the first follows the last. Rows with equal doc_id
     and text share a key. Only ids and lengths are sorted, in ranges, never all in one task.
@@ -95,7 +97,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     before = placed.select(
         (F.col("pos") % max(total, 1) + 1).alias("pos"), F.col("k").alias("prev_k"), F.col("h").alias("prev_h"), F.col("n").alias("prev_n")
     )
-    return placed.join(before, "pos").select("k", "h", "m", "prev_k", "prev_h", "prev_n")
+    return placed.join(before, "pos").select("k", "h", "m", "n", "prev_k", "prev_h", "prev_n")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -112,13 +114,15 @@ def edited_pairs(docs: DataFrame, order: DataFrame) -> DataFrame:
     edited: the last half of the text replaced by the start of the next document, or of itself
     where an equal row follows. The texts are shuffled once by key, their starts once more.
     """
-    rows = keyed(docs).join(order, ["k", "h"])
+    chars = order.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART))
+    rows = keyed(docs).repartition(parts, "k", "h").join(order.drop("n").repartition(parts, "k", "h"), ["k", "h"])
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1))))
     rows = rows.withColumn("n", F.length("text"))
     heads = rows.where("i = 1").select(
         F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.col("k").alias("next_k"), F.col("h").alias("next_h"),
         F.left("text", F.floor(F.col("prev_n") / 2).cast("int")).alias("head"),
-    )
+    ).repartition(parts, "k", "h")
     half = F.floor(F.col("n") / 2).cast("int")
     both = rows.select("k", "h", "i", "m", "doc_id", "n", "text").join(heads, ["k", "h"])
     more = F.col("i") < F.col("m")
