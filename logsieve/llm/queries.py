@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, decontam, fingerprints, langid, linededup, mixing, near, quality, urls
+import corpus_pipeline
+from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +118,12 @@ def op1_benchmark_decontamination(spark, d):
 @query
 def op2_line_dedup(spark, d):
     return linededup.dedup(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_lm_scoring(spark, d):
+    scored = lm.score(table(spark, d, "documents").select("doc_id", "text"), remainder(7) != 2)
+    return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
