@@ -14,9 +14,22 @@ from pyspark.sql import types as ST
 from logsieve import rules
 
 
+def widen(pattern: str) -> str:
+    """White space in the fixed patterns includes U+001C to U+001F, which Java's class lacks."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        inside = token == "[" or inside and token != "]"
+        if token == r"\s":
+            token = r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]"
+        out.append(token)
+        i += len(pattern[i : i + 2]) if pattern[i] == "\\" else 1
+    return "".join(out)
+
+
 def rx(pattern: str) -> str:
     """Case-insensitive, Unicode classes, and ``.`` stops only at newline."""
-    return "(?idU)" + pattern
+    return "(?idU)" + widen(pattern)
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -76,31 +89,13 @@ def join_distinct(parts: Column) -> Column:
     )
 
 
-def cap(c: Column) -> Column:
-    return F.left(c, F.lit(rules.DECODE_MAX_CHARS))
-
-
-def decode_depths(raw: Column) -> tuple[Column, Column, Column]:
-    """The text as logged and up to two further decodes.
-
-    A depth is NULL when it adds nothing, so later pattern tests skip it.
-    """
-    d0 = F.nullif(cap(raw_text(raw)), F.lit(""))
-    return d0, _next_depth(d0), _next_depth(_next_depth(d0))
-
-
-def _next_depth(current: Column) -> Column:
-    return F.nullif(cap(url_decode(current)), current)
-
-
 @F.pandas_udf(ST.ArrayType(ST.StringType()))
 def unescape_html(texts: pd.Series) -> pd.Series:
     """HTML-unescape each member; NULL where the member has no numeric entity."""
-    limit = rules.DECODE_MAX_CHARS
     return texts.map(
         lambda items: None
         if items is None
-        else [None if t is None else html.unescape(t[:limit])[:limit] for t in items]
+        else [None if t is None else html.unescape(t) for t in items]
     )
 
 

@@ -18,13 +18,8 @@ MIXED_CASE_SCRIPT = r"<\s*(?!(?-i:script|SCRIPT)\b)script\b"
 
 def _attack_in_combined() -> Column:
     """Any attack hit in the whole text. Without one no single depth can have one."""
-    return (
-        T.any_of(
-            F.col(S.hit_column(fam, n))
-            for fam in S.ATTACK_FAMILIES
-            for n, _, _ in S.FAMILIES[fam]
-        )
-        | X.was_cut()
+    return T.any_of(
+        F.col(S.hit_column(fam, n)) for fam in S.ATTACK_FAMILIES for n, _, _ in S.FAMILIES[fam]
     )
 
 
@@ -73,7 +68,7 @@ def encoding_hints() -> list[Column]:
 
 def with_file_disclosure(df: DataFrame) -> DataFrame:
     """File-disclosure flags and points over all samples."""
-    sample = X.sample_text()
+    sample = F.col("combined")
     low = F.lower(sample)
     worth = T.contains_any(low, ["php", "convert.base64", "resource"]) | ~sample.rlike(
         r"^\p{ASCII}*\z"
@@ -83,7 +78,7 @@ def with_file_disclosure(df: DataFrame) -> DataFrame:
         return F.when(worth, T.matches(sample, _FILE[name])).otherwise(False)
 
     starts = T.any_of(
-        F.coalesce(T.trim_all(c).rlike(r"(?iU)^resource\s*="), F.lit(False))
+        F.coalesce(T.trim_all(c).rlike(T.rx(r"^resource\s*=")), F.lit(False))
         for c in X.depth_texts(0, 1, 2)
     )
     df = df.withColumns(
@@ -178,7 +173,7 @@ def _xss_hints_of(sample: Column) -> Column:
 
 def xss_context_hints() -> Column:
     """Ordered XSS hints. The decoded query speaks first, then the whole text."""
-    sample = X.sample_text()
+    sample = F.col("combined")
     entity_script = F.coalesce(T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False))
     logged_entity = T.has_entity(F.col("query_raw")) | T.has_entity(F.col("target"))
     reach = T.matches(sample, rules.BROWSER_DATA_ACCESS) & (
@@ -228,7 +223,7 @@ XSS_STRUCTURE = [
 
 
 def xss_structure() -> dict[str, Column]:
-    sample = X.sample_text()
+    sample = F.col("combined")
     patterns = {
         "script_tag": SCRIPT_TAG,
         "mixed_case_script_tag": MIXED_CASE_SCRIPT,

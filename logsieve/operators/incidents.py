@@ -13,7 +13,6 @@ from logsieve.functions import text as T
 from logsieve.sources.store import materialize
 
 c = F.col
-INLINE_IDS = 1000
 
 
 def local_second(ts: Column) -> Column:
@@ -133,39 +132,21 @@ def incident_members(candidates: DataFrame) -> DataFrame:
     return with_incident_key(candidates).select("incident_group_key", "source_table", "id")
 
 
-def with_log_ids(
-    incidents: DataFrame, members: DataFrame, inline_limit: int = INLINE_IDS
-) -> DataFrame:
-    """Adds ``merged_log_ids`` to incidents of at most ``inline_limit`` rows.
-
-    Larger incidents get NULL there; all their ids are in ``incident_members``.
-    """
-    small = incidents.where(c("merged_row_count") <= inline_limit).select("incident_group_key")
-    ids = (
-        members.where(c("id").isNotNull() & (c("id") != 0))
-        .join(small, "incident_group_key")
-        .groupBy("incident_group_key")
-        .agg(F.array_sort(F.collect_set("id")).alias("merged_log_ids"))
-    )
-    return incidents.join(ids, "incident_group_key", "left")
-
-
 def top_candidates(incidents: DataFrame, limit: int | None = None) -> DataFrame:
     """Best score first, newest first; ties in order of arrival."""
     out = incidents.orderBy(c("score").desc(), c("log_time").desc(), "first_arrival")
     return out.limit(limit) if limit else out
 
 
-def with_candidate_index(incidents: DataFrame) -> DataFrame:
-    """Adds the place of each incident in ``top_candidates`` order, from 0.
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Adds each row's place in the order of the sorted table df, from 0.
 
-    A distributed sort is written with its partition number and row number; only the
-    row counts per partition are added up, so no task sees all incidents.
+    The distributed sort is written with its partition number and row number; only the
+    row counts per partition are added up, so no task sees all rows.
     """
     low_bits = (1 << 33) - 1
     placed = materialize(
-        top_candidates(incidents)
-        .withColumn("part", F.spark_partition_id())
+        df.withColumn("part", F.spark_partition_id())
         .withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit(low_bits))),
         "ranked",
     )
@@ -175,9 +156,14 @@ def with_candidate_index(incidents: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    return placed.join(offsets, "part").withColumn(
-        "candidate_index", c("offset") + c("row")
-    ).drop("part", "row", "offset")
+    return placed.join(offsets, "part").withColumn(name, c("offset") + c("row")).drop(
+        "part", "row", "offset"
+    )
+
+
+def with_candidate_index(incidents: DataFrame) -> DataFrame:
+    """Adds the place of each incident in ``top_candidates`` order, from 0."""
+    return with_place(top_candidates(incidents), "candidate_index")
 
 
 def incident_groups(incidents: DataFrame) -> DataFrame:
@@ -192,12 +178,35 @@ def incident_groups(incidents: DataFrame) -> DataFrame:
     )
 
 
+def _per_request_id(rows: DataFrame, prefix: str, *more: Column) -> DataFrame:
+    name = "log" if prefix == "request" else prefix
+    return (
+        rows.withColumn("request_id", T.identifier(c("request_id")))
+        .where(c("request_id") != "")
+        .groupBy("request_id")
+        .agg(
+            F.count("*").alias(f"{prefix}_count"), F.min("id").alias(f"first_{name}_id"),
+            F.max("id").alias(f"last_{name}_id"), *more,
+        )
+    )
+
+
 def error_correlation(requests: DataFrame, errors: DataFrame) -> DataFrame:
-    """Requests with the error rows that share their request id."""
-    right = errors.where(c("request_id") != "").select(
-        "request_id",
-        c("id").alias("error_id"),
-        c("error_link_id").alias("error_row_link_id"),
-        c("log_text").alias("error_text"),
-    )
-    return requests.where(c("request_id") != "").join(right, "request_id", "inner")
+    """Request ids that both requests and errors carry, with counts and bounds of either side.
+
+    Each side is one row per id before the join, so a repeated id makes no pairs; the
+    rows behind it are those of ``correlation_members``.
+    """
+    links = F.count_distinct(F.nullif(T.identifier(c("error_link_id")), F.lit("")))
+    return _per_request_id(requests, "request").join(
+        _per_request_id(errors, "error", links.alias("error_link_count")), "request_id"
+    )
+
+
+def correlation_members(requests: DataFrame, errors: DataFrame) -> DataFrame:
+    """request_id, source_table, id of every row behind ``error_correlation``."""
+    shared = error_correlation(requests, errors).select("request_id")
+    both = requests.select("request_id", "source_table", "id").unionByName(
+        errors.select("request_id", "source_table", "id")
+    )
+    return both.withColumn("request_id", T.identifier(c("request_id"))).join(shared, "request_id")

@@ -9,6 +9,7 @@ from pyspark.sql import types as ST
 
 from logsieve import rules
 from logsieve.functions import text as T
+from logsieve.functions.stage import hold
 
 c = F.col
 
@@ -27,10 +28,10 @@ LOG_EXCERPT = 1200
 def triage_requests(
     incidents: DataFrame, start: str = "", end_exclusive: str = "", max_hints: int = 8
 ) -> DataFrame:
-    """One request record per incident (with ``candidate_index`` and ``merged_log_ids``)."""
+    """One request record per incident; the ids of its rows are in ``incident_members``."""
     names = [
         "source_table", "incident_group_key", "merged_row_count", "merged_source_tables",
-        "merged_log_ids", "log_id", "log_time", "src_ip", "method", "uri", "query_string",
+        "first_log_id", "last_log_id", "log_id", "log_time", "src_ip", "method", "uri", "query_string",
         "status_code", "score", "verdict_hint", "reason_hints", "request_id", "error_link_id",
         "raw_request", "user_agent", "referer", "duration_us", "ttfb_us",
         "response_body_bytes", "resp_content_type", "raw_request_target",
@@ -56,42 +57,44 @@ def triage_requests(
     )
 
 
-def request_json(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("request_json", F.to_json("candidate"))
-
-
-def _find_object(text: str) -> tuple[str, str]:
-    """(strategy, JSON object text); strategy is empty when there is no valid object."""
-    body = text.strip()
-    if body.startswith("```"):
-        lines = body.splitlines()[1:]
-        if lines and lines[-1].strip() == "```":
-            lines.pop()
-        body = "\n".join(lines).strip()
-    try:
-        if isinstance(json.loads(body), dict):
-            return "direct", body
-    except ValueError:
-        pass
-    at = body.find("{")
-    if at >= 0:
+# A fenced block: its first line, the content, and the closing line if there is one.
+FENCE = r"(?s)\A```[^\n]*(?:\n(.*?))?(?:\n[ \t]*```[ \t]*)?\z"
+#: What is wrong with an answer that gives no object, by ``strategy``.
+ERRORS = {
+    "empty": ("empty_output", "no output text"),
+    "other_root": ("unexpected_error", "JSON root is not an object"),
+    "none": ("json_decode_error", "no JSON object found"),
+}
+
+
+def _object_in(body: str) -> tuple[str, str]:
+    """(strategy, JSON object text): the whole text, or the object at its first brace."""
+    read = json.JSONDecoder().raw_decode
+    whole = None
+    for at in dict.fromkeys((0, max(body.find("{"), 0))):
         try:
-            _, end = json.JSONDecoder().raw_decode(body, at)
-            return "outer_object", body[at:end]
+            value, end = read(body, at)
         except ValueError:
-            pass
-    return "", ""
+            continue
+        if isinstance(value, dict):
+            return ("direct" if (at, end) == (0, len(body)) else "outer_object"), body[at:end]
+        whole = whole or end == len(body)
+    return ("other_root" if whole else "none"), ""
 
 
 @F.pandas_udf(FOUND)
 def find_object(texts: pd.Series) -> pd.DataFrame:
-    found = [_find_object(t or "") for t in texts]
+    found = [_object_in(t) if t else ("empty", "") for t in texts]
     return pd.DataFrame(found, columns=["strategy", "json_text"])
 
 
 def read_answers(answers: DataFrame) -> DataFrame:
-    """Adds ``strategy`` (direct, outer_object or empty) and the typed answer fields."""
-    found = answers.withColumn("found", find_object(F.coalesce("output_text", F.lit(""))))
+    """Adds ``strategy`` (direct, outer_object or a key of ``ERRORS``) and the typed answer fields.
+
+    The text is unfenced by a built-in expression and passes the search for its object once.
+    """
+    body = T.trim_all(F.regexp_replace(T.raw_text(c("output_text")), FENCE, "$1"))
+    found = hold(answers, {"found": find_object(body)})
     parsed = found.withColumn("answer", F.from_json("found.json_text", ANSWER_SCHEMA))
     return parsed.select(
         *answers.columns, c("found.strategy").alias("strategy"), "answer.*"
@@ -100,16 +103,24 @@ def read_answers(answers: DataFrame) -> DataFrame:
 
 def parse_responses(answers: DataFrame) -> DataFrame:
     """Answers that contain a JSON object."""
-    return read_answers(answers).where("strategy != ''")
+    return read_answers(answers).where(~c("strategy").isin(list(ERRORS)))
 
 
 def triage_errors(answers: DataFrame) -> DataFrame:
-    """Answers that do not, with a typed reason and an excerpt."""
-    empty = F.coalesce("output_text", F.lit("")) == ""
-    kind = F.when(empty, F.lit("empty_output")).otherwise(F.lit("json_decode_error"))
-    return read_answers(answers).where("strategy = ''").select(
-        "candidate_index",
-        kind.alias("error_type"),
+    """Answers that do not, with a typed reason and an excerpt; absent columns of the record are NULL."""
+    def named(name: str) -> Column:
+        return (c(name) if name in answers.columns else F.lit(None).cast("string")).alias(name)
+
+    def of_kind(place: int) -> Column:
+        return F.element_at(
+            F.create_map(*[F.lit(v) for k, x in ERRORS.items() for v in (k, x[place])]),
+            c("strategy"),
+        )
+
+    bad = read_answers(answers).where(c("strategy").isin(list(ERRORS)))
+    return bad.select(
+        "candidate_index", named("request_id"), named("model"), of_kind(0).alias("error_type"),
+        of_kind(1).alias("error_message"), named("response_id"),
         F.left(F.coalesce("output_text", F.lit("")), F.lit(ERROR_EXCERPT)).alias(
             "raw_response_excerpt"
         ),

@@ -287,7 +287,7 @@ def reason_hints() -> Column:
                 for cond, text in pairs]
 
     xss_worth = T.contains_any(
-        F.lower(X.sample_text()),
+        F.lower(c("combined")),
         ["script", "on", "document.cookie", "storage", "location", "fetch", "new", "sendbeacon"],
     ) | ~c("combined").rlike(r"^\p{ASCII}*\z")
     embedded = embedded_attack()

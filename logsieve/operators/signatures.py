@@ -44,7 +44,7 @@ NEEDS = {
     "event_handler": [["on"], ["="]],
     "alert_call": [["alert"]],
     "document_cookie": [["document.cookie"]],
-    "dotdot_slash": [["..", "%2e%2e"]],
+    "dotdot_slash": [["..", "%2e%2e", "%252e%252e"]],
     "etc_passwd": [["/etc/passwd", "win.ini"]],
     "pipe_exec": [["|"]],
     "semicolon_exec": [[";"]],
@@ -75,7 +75,7 @@ def hit(
     plain, wide = low, text
     if name == "sql_comment" and skip_entities:
         plain, wide = T.without_entities(low), T.without_entities(text)
-    fast = F.when(_worth(name, low), plain.rlike("(?d)" + pattern)).otherwise(False)
+    fast = F.when(_worth(name, low), plain.rlike("(?d)" + T.widen(pattern))).otherwise(False)
     slow = T.matches(wide, pattern)
     return F.coalesce(F.when(low.isNotNull(), fast).otherwise(slow), F.lit(False))
 

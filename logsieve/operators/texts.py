@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve import rules
 from logsieve.functions import text as T
 from logsieve.functions.stage import hold
 
@@ -12,15 +11,15 @@ DEPTHS = ["q0", "q1", "q2", "t0", "t1", "t2"]
 
 def with_decode_depths(df: DataFrame) -> DataFrame:
     """Adds q0..q2 for the query and t0..t2 for the request target."""
-    q0 = F.nullif(T.cap(F.col("query_raw")), F.lit(""))
-    t0 = F.nullif(T.cap(F.col("target")), F.lit(""))
+    q0 = F.nullif(F.col("query_raw"), F.lit(""))
+    t0 = F.nullif(F.col("target"), F.lit(""))
     df = df.withColumns({"q0": q0, "t0": t0})
     for depth in ("1", "2"):
         prev = str(int(depth) - 1)
         df = df.withColumns(
             {
                 f"{kind}{depth}": F.nullif(
-                    T.cap(T.url_decode(F.col(kind + prev))), F.col(kind + prev)
+                    T.url_decode(F.col(kind + prev)), F.col(kind + prev)
                 )
                 for kind in ("q", "t")
             }
@@ -71,23 +70,6 @@ def with_texts(df: DataFrame) -> DataFrame:
     return with_combined_text(with_entity_forms(with_decode_depths(df)))
 
 
-def was_cut() -> Column:
-    """Was the query or target longer than the decode cap?"""
-    limit = rules.DECODE_MAX_CHARS
-    return (F.length("query_raw") > limit) | (F.length("target") > limit)
-
-
-def sample_text() -> Column:
-    """One text standing for "any of the samples".
-
-    Every sample is part of ``combined``, apart from a query or target that was
-    cut at the cap; those are set off by a NUL no expression can span.
-    """
-    return F.when(
-        was_cut(), F.concat_ws("\n\x00\n", F.col("combined"), F.col("q0"), F.col("t0"))
-    ).otherwise(F.col("combined"))
-
-
 def depth_texts(*depths: int) -> list[Column]:
     return [F.col(f"{kind}{d}") for d in depths for kind in ("q", "t")]
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logsieve import rules
 from logsieve.functions import text as T
-from logsieve.operators.incidents import priority
+from logsieve.operators.incidents import priority, with_place
 
 c = F.col
 
@@ -156,6 +156,13 @@ def rank_order() -> list[Column]:
     ]
 
 
+def ranked(deduped: DataFrame) -> DataFrame:
+    """All incidents with their rank, from 1."""
+    return with_place(deduped.orderBy(*rank_order()), "_place").withColumn(
+        "rank", c("_place") + 1
+    ).drop("_place")
+
+
 def top_incidents(deduped: DataFrame, incidents: DataFrame, limit: int = 12) -> DataFrame:
     """The highest ranked incidents with the evidence behind them."""
     top = deduped.orderBy(*rank_order()).limit(limit)

@@ -52,7 +52,7 @@ def _local(text: str, tz: ZoneInfo) -> datetime:
 
 
 def scan_recent(
-    df: DataFrame, as_of, hours: int = 24, limit: int | None = 5000
+    df: DataFrame, as_of, hours: int = 24, limit: int | None = None
 ) -> DataFrame:
     """The last hours before ``as_of``, newest first, with the columns risk scoring needs."""
     names = [

@@ -167,9 +167,29 @@ def test_hot_incident_keeps_all_members(spark):
     inc, members = incidents.incidents(found), incidents.incident_members(found)
     assert members.count() == 59
     assert inc.first().merged_row_count == 59
-    short = incidents.with_log_ids(inc, members, inline_limit=10).first()
-    full = incidents.with_log_ids(inc, members).first()
-    assert short.merged_log_ids is None and full.merged_log_ids == list(range(1, 60))
+    assert (inc.first().first_log_id, inc.first().last_log_id) == (1, 59)
+
+
+def test_errors_of_a_request_make_no_pairs(spark):
+    from logsieve.operators import canon
+
+    made = [row(i, "/x", request_id=rid) for i, rid in enumerate(["hot"] * 50 + ["-", "-", "null", None, "n/a", "one"])]
+    both = [canon.canon(table(spark, made), "security"), canon.canon(table(spark, made[:51] + made[-1:]), "error")]
+    got = {r.request_id: r for r in incidents.error_correlation(*both).collect()}
+    assert set(got) == {"hot", "one"}
+    assert (got["hot"].request_count, got["hot"].error_count, got["hot"].first_log_id, got["hot"].last_error_id) == (50, 50, 0, 49)
+    assert incidents.correlation_members(*both).count() == 102
+
+
+def test_ranks_are_dense(spark):
+    from logsieve.operators import triage
+
+    inc = incidents.with_candidate_index(incidents.incidents(score.candidates(score.judge(requests(
+        spark, [_attack(i, i, duration_us=i * 100_000, request_id=f"r{i}") for i in range(1, 40)])))))
+    deduped = triage.triage_dedup(triage.rule_triage(inc))
+    got = triage.ranked(deduped).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 40))
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
 
 
 def test_candidate_index_is_dense(spark):

@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import BROWSER, requests, row
+from pyspark.sql import functions as F
 
 from logsieve.operators import score
 
@@ -125,3 +126,64 @@ def test_static_asset_only_in_access(spark):
     security = score.judge(requests(spark, rows)).first()
     assert access.noise_category == "static_asset"
     assert security.noise_category == "benign_normal_search"
+
+
+def _one_text_of(pattern):
+    """A text that the alternatives of a fixed pattern match, one for each top-level part."""
+    return {
+        "dotdot_slash": ["../", "..\\\\", "%2e%2e%2f", "%2e%2e/", "..%2f", "%252e%252e%252f"],
+        "etc_passwd": ["/etc/passwd", "win.ini"],
+        "union_select": ["union select", "union\x1cselect"],
+        "or_true": ["' or 1=1", "%27 or a=b", "or\x1d'1'='1'"],
+        "and_true": ["and 1=1"],
+        "sql_comment": ["--", "#", "/*"],
+        "sleep_func": ["sleep(", "sleep ("],
+        "benchmark_func": ["benchmark("],
+        "waitfor_delay": ["waitfor delay"],
+        "information_schema": ["information_schema"],
+        "select_from": ["select a from b"],
+        "drop_table": ["drop table"],
+        "insert_into": ["insert into"],
+        "update_set": ["update a set b"],
+        "delete_from": ["delete\x1ffrom"],
+        "quote_termination": ["' or", "%27 union", "';", "'--"],
+        "script_tag": ["<script", "<\x1escript"],
+        "img_onerror": ["<img src=x onerror="],
+        "svg_onload": ["<svg onload="],
+        "javascript_uri": ["javascript:"],
+        "event_handler": ["onclick="],
+        "alert_call": ["alert("],
+        "document_cookie": ["document.cookie"],
+        "pipe_exec": ["|whoami", "| id"],
+        "semicolon_exec": [";cat", "; curl"],
+        "subshell": ["$(id)", "`id`"],
+    }[pattern]
+
+
+def test_prefilters_let_every_alternative_through(spark):
+    """The cheap substring tests never hide a match of the plain pattern."""
+    from logsieve.functions import text as T
+    from logsieve.operators import signatures as S
+
+    for family, found in S.FAMILIES.items():
+        for name, pattern, _ in found:
+            if name not in S.NEEDS:
+                continue
+            df = spark.createDataFrame([(t,) for t in _one_text_of(name)], "x string")
+            x = F.col("x")
+            for r in df.select("x", S.hit(family, name, x, S.ascii_lower(x)).alias("hit"), T.matches(x, pattern).alias("plain")).collect():
+                assert r.plain and r.hit, (name, r.x)
+
+
+def test_white_space_of_patterns_is_wide():
+    from logsieve.functions import text as T
+
+    assert T.widen(r"a\s+[^\s>]\\s") == r"a[\s\x1c-\x1f]+[^\s\x1c-\x1f>]\\s"
+
+
+def test_payload_behind_a_long_prefix_is_found(spark):
+    from logsieve.operators import score
+
+    deep = "?q=" + "a" * 6000 + "%2527%2520union%2520select%25201"
+    got = score.judge(requests(spark, [row(1, "/search" + deep)])).select("hit_sqli_union_select", "q2").first()
+    assert got.q2.endswith("union select 1") and got.hit_sqli_union_select

@@ -4,6 +4,8 @@ Written from the rules, row by row and without the shortcuts of the Spark side:
 are tested one by one, near events are found by a plain join, bursts by recursion.
 """
 
+import re
+
 from logsieve import rules
 from workload import templates as W
 
@@ -19,6 +21,9 @@ COMMENT = PATTERN["sqli", "sql_comment"]
 QUOTE_END = PATTERN["sqli", "quote_termination"]
 
 
+_CLASS = re.compile(r"(\[\^\\s[^\]]*\])")
+
+
 def s(v) -> str:
     if v is None:
         return "NULL"
@@ -26,7 +31,11 @@ def s(v) -> str:
 
 
 def rx(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, {s('(?i)' + pattern)})"
+    # RE2's white space lacks U+000B and U+001C to U+001F
+    more = r"\x0b\x1c-\x1f"
+    wide = pattern.replace(r"[^\s", r"[^\s" + more)
+    wide = "".join(part if k % 2 else part.replace(r"\s", rf"[\s{more}]") for k, part in enumerate(_CLASS.split(wide)))
+    return f"regexp_matches({x}, {s('(?i)' + wide)})"
 
 
 def dec(x: str) -> str:
@@ -756,7 +765,7 @@ def all_queries() -> dict[str, str]:
     q["scan_local_day"] = log_q(f"SELECT id, {MS}, src_ip FROM log2 WHERE {day.format('2026-04-02 15:00:00')}")
     q["scan_recent"] = log_q(
         f"SELECT id, {MS}, src_ip, method, raw_request, uri, query_string, status_code, duration_us, ttfb_us, req_content_type "
-        "FROM log2 WHERE log_time >= TIMESTAMP '2026-04-02 12:00:00' - INTERVAL 24 HOUR ORDER BY log_time DESC, id LIMIT 5000"
+        "FROM log2 WHERE log_time >= TIMESTAMP '2026-04-02 12:00:00' - INTERVAL 24 HOUR"
     )
     order = "error,security,access"
     q["scan_sources"] = req_q(f"SELECT source_table, pos AS source_position, id, src_ip, {MS} FROM req", order)
@@ -951,17 +960,19 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
     q["known_assets"] = req_q(f"SELECT id, src_ip, {flag(f'src_ip IN ({_ASSETS})')} AS known_asset FROM req")
     q["notable_lookup"] = tri_q(
         "SELECT CASE WHEN ci % 4 = 0 THEN ref || '?' ELSE ref END AS incident_ref, request_id, "
-        + ", ".join(f"CASE WHEN ci % 4 <> 0 THEN {n} END AS {n}" for n in ("uri", "status_code", "score")) + " FROM ded WHERE ci % 2 = 0"
+        + ", ".join(f"CASE WHEN ci % 4 <> 0 THEN {n} END AS {n}" for n in ("uri", "status_code", "score")) + " FROM ded"
     )
     q["error_correlation"] = req_q(
-        "SELECT a.id, a.request_id, b.id AS error_id, b.error_link_id AS error_row_link_id, b.log_text AS error_text "
-        "FROM req a JOIN req b ON a.request_id = b.request_id AND a.source_table = 'security' AND b.source_table = 'error' AND a.request_id <> ''",
+        f"SELECT request_id, a.n AS request_count, a.lo AS first_log_id, a.hi AS last_log_id, b.n AS error_count, b.lo AS first_error_id, b.hi AS last_error_id, "
+        f"b.links AS error_link_count FROM (SELECT {ident('request_id')} AS request_id, count(*) AS n, min(id) AS lo, max(id) AS hi FROM req "
+        f"WHERE source_table = 'security' GROUP BY 1) a JOIN (SELECT {ident('request_id')} AS request_id, count(*) AS n, min(id) AS lo, max(id) AS hi, "
+        f"count(DISTINCT nullif({ident('error_link_id')}, '')) AS links FROM req WHERE source_table = 'error' GROUP BY 1) b USING (request_id) WHERE request_id <> ''",
         "security,error",
     )
     # windows and top-k
     q["incident_representative"] = inc_q(f"SELECT ikey AS incident_group_key, source_table, id, duration_us, {MS} FROM inc")
     q["probing_bursts"] = with_(LOG, canon(ALL), BURSTS) + "SELECT * FROM bursts"
-    q["incident_rank"] = tri_q("SELECT rk AS rank, ref AS incident_ref, sev AS severity, score FROM ded WHERE rk <= 100")
+    q["incident_rank"] = tri_q("SELECT rk AS rank, ref AS incident_ref, sev AS severity, score FROM ded")
     q["triage_representative"] = tri_q(f"SELECT dkey AS dedup_key, source_table, id AS log_id, score, {MS} FROM ded")
     q["top3_per_ip"] = tri_q("SELECT src_ip, fact, place, value, n FROM top3", top)
     q["top_candidates"] = inc_q(f"SELECT ikey AS incident_group_key, score, {MS}, ci AS candidate_index FROM idx WHERE ci < 50")
@@ -997,7 +1008,7 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
     q["triage_requests"] = inc_q(
         "SELECT ci AS candidate_index, '2026-04-01 15:00:00' AS window_start, '2026-04-02 15:00:00' AS window_end_exclusive, ikey AS incident_group_key, source_table, "
         "id AS log_id, src_ip, uri, query AS query_string, score, verdict AS verdict_hint, merged AS merged_row_count, "
-        f"{joined('list_transform(ids, lambda x_: x_::VARCHAR)')} AS merged_log_ids, least(8, len(reasons)) AS hints, least(1200, len(trim(log_text))) AS excerpt_length FROM idx"
+        "first_id AS first_log_id, last_id AS last_log_id, least(8, len(reasons)) AS hints, least(1200, len(trim(log_text))) AS excerpt_length FROM idx"
     )
     q["rule_triage"] = tri_q(
         "SELECT ci AS candidate_index, ikey AS incident_group_key, score, verdict AS verdict_hint, v AS verdict, sev AS severity, 'low' AS confidence, "
@@ -1014,6 +1025,18 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
         "CASE WHEN ci % 9 = 6 THEN 'extreme' ELSE sev END AS severity, 'low' AS confidence, 1 AS false_positive_possible, 'saw \"}\" in ' || uri AS reasoning_summary, "
         "least(8, len(reasons)) AS evidence, 'review_raw_log' AS recommended_actions FROM res WHERE ci % 9 IN (0, 1, 2, 3, 5, 6)"
     )
+    kind = "CASE WHEN ci % 9 = 8 THEN {} WHEN ci % 18 = 7 THEN {} ELSE {} END"
+    plain = (
+        f"to_json({{'verdict': CASE verdict {_ENUM} ELSE 'inconclusive' END, 'severity': sev, 'confidence': 'low', 'false_positive_possible': true, "
+        "'reasoning_summary': 'saw \"}\" in ' || uri, 'evidence_fields': list_sort(reasons)[1:8], 'recommended_actions': ['review_raw_log']})"
+    )
+    excerpt = f"left(CASE WHEN ci % 9 = 8 THEN '' WHEN ci % 18 = 7 THEN '[1, 2]' WHEN ci % 9 = 7 THEN 'no object at all' ELSE left({plain}::VARCHAR, len({plain}::VARCHAR) - 5) END, 1500)"
+    q["triage_errors"] = tri_q(
+        "SELECT ci AS candidate_index, request_id, 'rules' AS model, 'resp-' || ci AS response_id, "
+        + kind.format("'empty_output'", "'unexpected_error'", "'json_decode_error'") + " AS error_type, "
+        + kind.format("'no output text'", "'JSON root is not an object'", "'no JSON object found'") + " AS error_message, "
+        f"len({excerpt}) AS excerpt_length, left({excerpt}, 10) AS excerpt_start FROM res WHERE ci % 9 IN (4, 7, 8)"
+    )
     # streams
     q["stream_candidates"] = judged_q(f"SELECT source_table, id, score, verdict AS verdict_hint, {joined('reasons')} AS reason_hints FROM cand")
     q["stream_noise_windows"] = judged_q(

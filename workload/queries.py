@@ -705,11 +705,10 @@ def known_assets(spark, d):
 
 @query
 def notable_lookup(spark, d):
-    """Every second incident reference, half of them spoilt, looked up again."""
+    """Every incident reference, a quarter of them spoilt, looked up again."""
     run = run_of(spark, d)
-    odd = c("candidate_index") % 2 == 0
     spoilt = c("candidate_index") % 4 == 0
-    items = run.deduped.where(odd).select(
+    items = run.deduped.select(
         F.when(spoilt, F.concat(c("incident_ref"), F.lit("?"))).otherwise(c("incident_ref"))
         .alias("incident_ref"),
         "request_id",
@@ -724,7 +723,10 @@ def error_correlation(spark, d):
     out = incidents.error_correlation(
         canon.canon(src["security"], "security"), canon.canon(src["error"], "error")
     )
-    return out.select("id", "request_id", "error_id", "error_row_link_id", "error_text")
+    return out.select(
+        "request_id", "request_count", "first_log_id", "last_log_id", "error_count",
+        "first_error_id", "last_error_id", "error_link_count",
+    )
 
 
 # --------------------------------------------------------------- 2.6 windows
@@ -757,9 +759,9 @@ def probing_bursts(spark, d):
 
 @query
 def incident_rank(spark, d):
-    """Ranks of the leading hundred incidents."""
-    top = triage.top_incidents(run_of(spark, d).deduped, run_of(spark, d).incidents, 100)
-    return top.select("rank", "incident_ref", "severity", "score")
+    return triage.ranked(run_of(spark, d).deduped).select(
+        "rank", "incident_ref", "severity", "score"
+    )
 
 
 @query
@@ -856,16 +858,14 @@ def distinct_paths(spark, d):
 @query
 def triage_requests(spark, d):
     run = run_of(spark, d)
-    full = incidents.with_log_ids(run.incidents, run.members)
-    out = responses.triage_requests(full, DAY_START, DAY_END)
+    out = responses.triage_requests(run.incidents, DAY_START, DAY_END)
     f = "candidate."
     return out.select(
         "candidate_index", "window_start", "window_end_exclusive",
         *[c(f + n).alias(n) for n in (
             "incident_group_key", "source_table", "log_id", "src_ip", "uri", "query_string",
-            "score", "verdict_hint", "merged_row_count",
+            "score", "verdict_hint", "merged_row_count", "first_log_id", "last_log_id",
         )],
-        joined(c(f + "merged_log_ids"), "merged_log_ids"),
         F.size(f + "reason_hints").alias("hints"),
         F.length(f + "raw_log_excerpt").alias("excerpt_length"),
     )
@@ -878,7 +878,8 @@ def _answers(run: TriageRun) -> DataFrame:
         F.struct(
             "verdict", "severity", "confidence", "false_positive_possible",
             F.concat(F.lit('saw "}" in '), c("uri")).alias("reasoning_summary"),
-            "evidence_fields", "recommended_actions",
+            F.slice(F.array_sort("reason_hints"), 1, 8).alias("evidence_fields"),
+            "recommended_actions",
         )
     )
     i = c("candidate_index") % 9
@@ -890,10 +891,15 @@ def _answers(run: TriageRun) -> DataFrame:
         .when(i == 4, F.substring(plain, F.lit(1), F.length(plain) - 5))
         .when(i == 5, F.concat(F.lit("["), plain, F.lit("]")))
         .when(i == 6, F.regexp_replace(plain, '"severity":"[a-z]+"', '"severity":"extreme"'))
+        .when(c("candidate_index") % 18 == 7, F.lit("[1, 2]"))
         .when(i == 7, F.lit("no object at all"))
         .otherwise(F.lit(""))
     )
-    return r.select("candidate_index", body.alias("output_text"))
+    return r.select(
+        "candidate_index", "request_id", F.lit("rules").alias("model"),
+        F.concat(F.lit("resp-"), c("candidate_index")).alias("response_id"),
+        body.alias("output_text"),
+    )
 
 
 @query
@@ -915,7 +921,11 @@ def validate_responses(spark, d):
 
 @query
 def triage_errors(spark, d):
-    return responses.triage_errors(_answers(run_of(spark, d)))
+    out = responses.triage_errors(_answers(run_of(spark, d)))
+    excerpt = c("raw_response_excerpt")
+    return out.withColumns(
+        {"excerpt_length": F.length(excerpt), "excerpt_start": F.left(excerpt, F.lit(10))}
+    ).drop("raw_response_excerpt")
 
 
 @query
