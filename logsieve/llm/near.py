@@ -247,7 +247,8 @@ def confirm(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
 
     def with_text(rows: DataFrame) -> DataFrame:
         own = [c for c in rows.columns if c != "size"]
-        return rows.select(own).join(texts, ["doc_id", "text_hash"]).dropDuplicates(own)
+        # by one strategy at every size, so that small inputs show what large ones need
+        return rows.select(own).join(texts.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(own)
 
     links = [store.materialize(_compare(with_text(parted), ["clump", "chunk"], n, percent), "confirmed")]
     wide = store.materialize(parted.where("chunks > 1").drop("chunk", "chunks"), "wide-clumps")
