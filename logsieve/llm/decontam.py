@@ -174,4 +174,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     bad = contaminated(docs, items, least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     bad = store.materialize(bad, "contaminated")
     hit = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
-    return docs.join(bad, hit, "left_anti")
+    return docs.join(bad.hint("merge"), hit, "left_anti")

@@ -128,7 +128,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     other = places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "places")
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_d"]) & (docs["text_hash"] == other["_h"]), how).drop("_d", "_h")
+    # by one strategy at every size, so that small inputs show what large ones need
+    return docs.join(other.hint("merge"), docs["doc_id"].eqNullSafe(other["_d"]) & (docs["text_hash"] == other["_h"]), how).drop("_d", "_h")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

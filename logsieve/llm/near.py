@@ -323,6 +323,6 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, trees: int = TREES)
     """The rows of docs without near-duplicates: of each component the document with the least doc_id, once."""
     found = near_duplicates(docs, n, percent, trees).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    kept = named.join(found.where("_id is not null").distinct(), (F.col("doc_id") == F.col("_id")) & (named["_hash"] == found["_hash"]), "left_semi")
+    kept = named.join(found.where("_id is not null").distinct().hint("merge"), (F.col("doc_id") == F.col("_id")) & (named["_hash"] == found["_hash"]), "left_semi")
     once = kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
     return once.unionByName(docs.where("doc_id is null"))
