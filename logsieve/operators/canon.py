@@ -80,6 +80,28 @@ def canon(df: DataFrame, source: str, position: int = 0) -> DataFrame:
     )
 
 
+def within(df: DataFrame, start=None, end=None) -> DataFrame:
+    """Stored rows with ``start <= time < end``; the bounds reach the scan of typed columns.
+
+    The time of a row is ``log_time``, else ``created_at``; rows without one are outside.
+    """
+    if start is None and end is None:
+        return df
+
+    def inside(time: Column) -> Column:
+        low = F.lit(True) if start is None else time >= F.lit(start).cast("timestamp")
+        high = F.lit(True) if end is None else time < F.lit(end).cast("timestamp")
+        return low & high
+
+    names = [n for n in ("log_time", "created_at") if n in df.columns]
+    if any(df.schema[n].dataType.typeName() == "string" for n in names) or not names:
+        return df.where(inside(_time(df)))
+    out = inside(F.col(names[0]))
+    if len(names) == 2:
+        out = out | (F.col(names[0]).isNull() & inside(F.col(names[1])))
+    return df.where(out)
+
+
 def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame:
     """Canonical rows of the wanted tables, in the caller's order, without duplicates."""
     names = wanted.split(",") if isinstance(wanted, str) else list(wanted)

@@ -18,7 +18,7 @@ from logsieve.operators.score import high_signal_sqli
 
 c = F.col
 KEY = ["src_ip", "kind", "key"]
-UNKNOWN = -1  # stands for "no time"
+UNKNOWN = -(1 << 60)  # stands for "no time", before any timestamp
 MINIMA = ["min_status", "min_size", "min_positive"]
 MAXIMA = ["max_status", "max_size", "max_positive"]
 

@@ -58,7 +58,7 @@ def triage_requests(
 
 
 # A fenced block: its first line, the content, and the closing line if there is one.
-FENCE = r"(?s)\A```[^\n]*(?:\n(.*?))?(?:\n[ \t]*```[ \t]*)?\z"
+FENCE = r"(?s)\A```[^\n]*(?:\n(.*?))??(?:\n[ \t]*```[ \t]*)?\z"
 #: What is wrong with an answer that gives no object, by ``strategy``.
 ERRORS = {
     "empty": ("empty_output", "no output text"),

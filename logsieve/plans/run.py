@@ -25,8 +25,11 @@ class TriageRun:
         min_repeat: int = rules.MIN_REPEAT,
         known_assets=(),
         triage_mode: str = "faithful",
+        start=None,
+        end=None,
     ):
-        self.tables = tables
+        """``start``, ``end``: only requests of that time are read (end exclusive)."""
+        self.tables = {n: canon.within(df, start, end) for n, df in tables.items()}
         self.sources = sources
         self.min_score = min_score
         self.min_repeat = min_repeat
@@ -37,6 +40,16 @@ class TriageRun:
     def requests(self) -> DataFrame:
         return canon.select_sources(self.tables, self.sources)
 
+    @cached_property
+    def exported(self) -> DataFrame:
+        """One row for each row of all tables of the export, selected or not."""
+        out = None
+        for df in self.tables.values():
+            out = df.select(F.lit(1).alias("one")) if out is None else out.unionByName(
+                df.select(F.lit(1).alias("one"))
+            )
+        return out
+
     @cached_property
     def judged(self) -> DataFrame:
         return score.judge(self.requests, self.min_score)
@@ -138,9 +151,9 @@ class TriageRun:
         parts = [
             long(
                 split,
-                [(n, c(n)) for n in split.columns]
-                + [("total_exported_rows", c("selected_source_rows"))],
+                [(n, c(n)) for n in split.columns],
             ),
+            one("total_exported_rows", self.exported),
             long(
                 merged,
                 [
