@@ -16,6 +16,12 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
 
 
+def stream_kinds(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """New lines with their ``kind``, from folders ``kind=access``, ``kind=security``, ``kind=error``."""
+    reader = spark.readStream.schema("value string, kind string")
+    return reader.option("maxFilesPerTrigger", files_per_batch).text(path)
+
+
 def stream_ingest(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Typed rows of one log kind from a folder of files."""
     return logs.PARSERS[source](stream_lines(spark, path))
@@ -33,6 +39,16 @@ def batch_writer(path: str, fmt: str = "parquet"):
     return write
 
 
+def tables_writer(path: str, kinds=tuple(logs.PARSERS), fmt: str = "parquet"):
+    """Sink that parses each kind's lines and writes its table; safe to repeat like ``batch_writer``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for kind in kinds:
+            rows = logs.PARSERS[kind](batch.where(F.col("kind") == kind).select("value"))
+            batch_writer(f"{path}/{kind}", fmt)(rows, batch_id)
+
+    return write
+
+
 def start(
     rows: DataFrame, sink, checkpoint: str, once: bool = True, every: str = "2 seconds"
 ) -> StreamingQuery:

@@ -718,9 +718,6 @@ def all_queries() -> dict[str, str]:
         f"FROM log2 WHERE NOT ({bad})"
     )
     q["ingest_access"] = q["stream_ingest"] = log_q(acc)
-    q["stream_replay"] = log_q(
-        f"SELECT {MS}, src_ip AS client_ip, raw_request, status_code FROM log2 WHERE NOT ({bad})"
-    )
     nul = ", ".join(
         f"NULL AS {n}" for n in (
             "peer_ip", "in_bytes", "out_bytes", "total_bytes", "keepalive_count", "connection_status",
@@ -744,8 +741,10 @@ def all_queries() -> dict[str, str]:
         f"'unknown' AS attack_label, 0.0::DOUBLE AS risk_score, 0 AS is_suspicious, 1 AS resp_html_baseline_match, md5({line}) AS raw_log_md5 "
         f"FROM log2 WHERE NOT ({bad})"
     )
-    q["stream_flush"] = log_q(
-        f"SELECT {sec_time}, request_id, src_ip, method, status_code FROM log2 WHERE NOT ({bad})"
+    q["stream_flush"] = q["stream_replay"] = log_q(
+        f"SELECT 'security' AS source, {sec_time}, request_id, src_ip FROM log2 WHERE NOT ({bad}) "
+        f"UNION ALL SELECT 'access', {MS}, NULL, src_ip FROM log2 WHERE NOT ({bad}) "
+        f"UNION ALL SELECT 'error', {MS}, request_id, src_ip FROM log2 WHERE NOT ({bad})"
     )
     q["ingest_error"] = log_q(
         f"SELECT {MS}, error_link_id, request_id, 'core' AS module_name, 'error' AS log_level, src_ip, src_ip AS peer_ip, "
@@ -785,7 +784,7 @@ def all_queries() -> dict[str, str]:
         "SELECT source_table, id, src_ip, method, uri, query, request_text, status_code, response_body_bytes, duration_us, ttfb_us, "
         f"req_content_type, resp_content_type, user_agent, referer, request_id, error_link_id, {MS} FROM req", ALL
     )
-    page = r"regexp_replace(html, '[^\x20-\x7e]|%[89A-Fa-f][0-9A-Fa-f]', '', 'g')"
+    page = r"regexp_replace(html, '%[89A-Fa-f][0-9A-Fa-f]', '', 'g')"
     q["url_decode_tolerant"] = f"SELECT page_id, md5({norm(page)}) AS decoded_md5 FROM pages"
     rows = " UNION ALL ".join(
         f"SELECT source_table, id, {s(name)} AS field, {d} AS depth, {k}{d} AS text FROM ty WHERE {k}{d} IS NOT NULL"

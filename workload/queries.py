@@ -7,6 +7,7 @@ and joined, so that any engine can compare them.
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,44 +130,54 @@ def stream_ingest(spark, d):
     return got.select(ms("log_time"), *[n for n in got.columns if n != "log_time"])
 
 
+def _kind_folder(spark, d) -> str:
+    """Lines of the three logs, each in its own folder."""
+    path, log = store.scratch_path(spark, "lines"), R.base_log(spark, d)
+    for name, make in (("security", L.security_lines), ("access", L.access_lines), ("error", L.error_lines)):
+        make(log).write.text(f"{path}/kind={name}")
+    return path
+
+
+def _flushed(spark, base: str) -> DataFrame:
+    """source, log_time, request_id and address of the rows of all three tables."""
+    out = None
+    for name, ip in (("security", "src_ip"), ("access", "client_ip"), ("error", "src_ip")):
+        rows = ingest.read_sink(spark, f"{base}/{name}")
+        rid = c("request_id") if name != "access" else F.lit(None).cast("string")
+        part = rows.select(F.lit(name).alias("source"), ms("log_time"), rid.alias("request_id"), c(ip).alias("src_ip"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def stream_flush(spark, d):
     """Three kinds in one stream of micro-batches; each batch writes its three tables."""
     base = store.scratch_path(spark, "flushed")
-    folder = _line_folder(spark, d, "security")
-
-    def sink(batch, batch_id):
-        for name in ("security", "access"):
-            parsed = logs.PARSERS[name](batch)
-            ingest.batch_writer(f"{base}/{name}")(parsed, batch_id)
-
-    q = ingest.start(
-        ingest.stream_lines(spark, folder, 4), sink, store.scratch_path(spark, "cp")
-    )
-    q.awaitTermination()
-    got = ingest.read_sink(spark, f"{base}/security")
-    return got.select(ms("log_time"), "request_id", "src_ip", "method", "status_code")
+    lines = ingest.stream_kinds(spark, _kind_folder(spark, d), 6)
+    ingest.start(lines, ingest.tables_writer(base), store.scratch_path(spark, "cp")).awaitTermination()
+    return _flushed(spark, base)
 
 
 @query
 def stream_replay(spark, d):
-    """The first attempt at a batch fails half way; the restart neither loses nor doubles."""
-    sink, cp = store.scratch_path(spark, "replayed"), store.scratch_path(spark, "cp")
-    folder = _line_folder(spark, d)
-    write = ingest.batch_writer(sink)
+    """The second batch fails between two of its tables; the restart neither loses nor doubles."""
+    base, cp = store.scratch_path(spark, "replayed"), store.scratch_path(spark, "cp")
+    folder, write = _kind_folder(spark, d), ingest.tables_writer(base)
 
     def failing(batch, batch_id):
+        if batch_id == 1:
+            ingest.tables_writer(base, list(logs.PARSERS)[:1])(batch, batch_id)
+            raise RuntimeError("sink lost between two tables")
         write(batch, batch_id)
-        raise RuntimeError("sink lost after the write")
 
     try:
-        ingest.start(ingest.stream_ingest(spark, "access", folder), failing, cp
-                     ).awaitTermination()
-    except Exception:
-        pass
-    ingest.start(ingest.stream_ingest(spark, "access", folder), write, cp).awaitTermination()
-    got = ingest.read_sink(spark, sink)
-    return got.select(ms("log_time"), "client_ip", "raw_request", "status_code")
+        ingest.start(ingest.stream_kinds(spark, folder, 6), failing, cp).awaitTermination()
+        raise AssertionError("the stream had no second batch")
+    except StreamingQueryException as e:
+        if "sink lost between two tables" not in str(e):
+            raise
+    ingest.start(ingest.stream_kinds(spark, folder, 6), write, cp).awaitTermination()
+    return _flushed(spark, base)
 
 
 def _utc(text: str) -> Column:
@@ -256,7 +267,8 @@ def canon_fields(spark, d):
 def url_decode_tolerant(spark, d):
     """All page texts, as they come, with their stray percent signs."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    text = F.regexp_replace("html", r"[^\x20-\x7e]|%[89A-Fa-f][0-9A-Fa-f]", "")
+    # escapes that are not UTF-8 are left to the tests: the check's engine refuses them
+    text = F.regexp_replace("html", r"%[89A-Fa-f][0-9A-Fa-f]", "")
     return pages.select("page_id", F.md5(T.norm(text)).alias("decoded_md5"))
 
 
