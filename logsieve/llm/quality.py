@@ -5,10 +5,15 @@ documents. A document's log weight is the log of the ratio of its probabilities
 Adding Gumbel noise and keeping the k largest samples k documents without replacement, each
 with a chance in proportion to its weight.
 
-N-grams are words and word pairs. Documents without words (null, empty, blank) have no weight
-and are never kept. Rows that tie with the k-th are kept with it, so repeated rows share their
-fate. Without good labels the weights are all 0 and the sample is uniform; without any label
-every document with words is kept. An empty table gives an empty result.
+N-grams are words and word pairs. A document's own n-grams are left out of the models that score
+it, so labelled documents are not favoured over unlabelled ones like them. Rare n-grams lean to a
+ratio of one (SMOOTH), and the log weight is tempered by the square root of the length (TEMPER),
+because the errors of a sum of many small ratios grow with it.
+
+Documents without words (null, empty, blank) have no weight and are never kept. Rows that tie with
+the k-th are kept with it, so repeated rows share their fate. Without good labels the weights are all
+0 and the sample is uniform; without any label every document with words is kept. An empty table gives
+an empty result.
 """
 
 import math
@@ -26,6 +31,8 @@ from logsieve.sources import store
 DIM = 1 << 18
 #: The target model learns from so many labelled good documents at most, chosen by hash.
 MAX_TARGET = 20_000
+#: Imaginary n-grams in each bucket, shared between the models as all n-grams are; and the tempering.
+SMOOTH, TEMPER = 100, 30
 #: Rows of the last interval when the k-th value is looked for; more are split again.
 LAST = 4096
 U64 = np.uint64
@@ -46,7 +53,7 @@ def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
-        for b in batches:
+        for b in words.cut(batches):
             slot, doc = _slots(b.column("text").to_pylist(), dim)
             good = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
             raw += np.bincount(slot, minlength=dim)
@@ -58,33 +65,40 @@ def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return seen.groupBy("slot").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
-def log_ratios(counts: DataFrame, dim: int = DIM) -> np.ndarray:
-    """log p_target - log p_raw for each bucket; ``dim`` numbers reach the driver, whatever the corpus."""
-    n = np.zeros((2, dim))
-    got = counts.toArrow()
-    slot = got["slot"].to_numpy()
-    n[0, slot], n[1, slot] = got["n_target"].to_numpy(), got["n_raw"].to_numpy()
-    if not n[0].sum():
-        return np.zeros(dim)
-    raw = (n[1] + 1) / (n[1].sum() + dim)
-    # the target model backs off to the raw one, so unseen buckets cost by how much was seen
-    prior = dim / 4
-    return np.log((n[0] + prior * raw) / (n[0].sum() + prior)) - np.log(raw)
+class Model:
+    """Counts of both models by bucket; ``dim`` numbers each, whatever the corpus."""
 
+    def __init__(self, counts: DataFrame, dim: int = DIM):
+        self.raw, self.target = np.zeros(dim), np.zeros(dim)
+        got = counts.toArrow()
+        slot = got["slot"].to_numpy()
+        self.raw[slot], self.target[slot] = got["n_raw"].to_numpy(), got["n_target"].to_numpy()
+        self.share = self.target.sum() / max(1.0, self.raw.sum())
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs with n_grams and log_weight (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    def weigh(self, slot: np.ndarray, doc: np.ndarray, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of n-grams and log weight of each of the documents that the slots belong to."""
+        m, dim = len(is_target), len(self.raw)
+        n = np.bincount(doc, minlength=m)
+        if not self.share:
+            return n, np.zeros(m)
+        u, own = np.unique(doc * dim + slot, return_counts=True)
+        doc, slot = u // dim, u % dim
+        target = self.target[slot] - own * is_target[doc] + SMOOTH * self.share
+        ratio = target / (self.raw[slot] - own + SMOOTH) / self.share
+        return n, np.bincount(doc, weights=own * np.log(ratio), minlength=m) * TEMPER / np.sqrt(np.maximum(n, 1))
+
+
+def weigh(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, is_target, ...) with n_grams and log_weight (null without words)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
-        for b in batches:
-            slot, doc = _slots(b.column("text").to_pylist(), len(r))
-            n = np.bincount(doc, minlength=b.num_rows)
-            w = np.bincount(doc, weights=r[slot], minlength=b.num_rows)
+        for b in words.cut(batches):
+            slot, doc = _slots(b.column("text").to_pylist(), len(shared.value.raw))
+            good = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+            n, w = shared.value.weigh(slot, doc, good)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n), pa.array(np.where(n > 0, w, 0.0), mask=n == 0)],
-                names=[*b.schema.names, "n_grams", "log_weight"],
+                [*b.columns, pa.array(n), pa.array(w, mask=n == 0)], names=[*b.schema.names, "n_grams", "log_weight"]
             )
 
     own = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
@@ -118,28 +132,33 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, dim: int = DIM, max_target: int = MAX_TARGET) -> tuple[np.ndarray, float]:
-    """The log ratio of each bucket, and the share of good documents among the labelled.
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, dim: int = DIM, max_target: int = MAX_TARGET) -> tuple[Model, DataFrame, float]:
+    """Both models, the ids of the good documents learnt from, and the share of good ones among the labelled.
 
-    ``labels``: doc_id, quality, toxic; good is quality 1 and not toxic.
+    ``labels``: doc_id, quality; good is quality 1.
     """
-    good = F.coalesce((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), F.lit(False))
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n, n_good = judged.agg(F.count("*"), F.count(F.when(good, 1))).first()
-    ids = judged.where(good).select(F.col("doc_id").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target)
+    n, n_good = judged.agg(F.count("*"), F.count(F.when(F.col("quality") == 1, 1))).first()
+    ids = judged.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    ids = store.materialize(ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target), "good-ids")
+    counts = count_slots(mark(docs.select("doc_id", "text"), ids), dim)
+    return Model(counts, dim), ids, n_good / n if n else 1.0
+
+
+def mark(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with is_target: whether the target model learns from it."""
     # at most max_target ids, so this broadcast has a fixed bound
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
-    counts = count_slots(marked.select("text", F.col("_id").isNotNull().alias("is_target")), dim)
-    return log_ratios(counts, dim), n_good / n if n else 1.0
+    marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
+    return marked.select(*docs.columns, F.col("_id").isNotNull().alias("is_target"))
 
 
-def perturbed(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
+def perturbed(docs: DataFrame, model: Model, ids: DataFrame, seed: int = 0) -> DataFrame:
     """docs (doc_id, text, ...) with n_grams, log_weight and score, the weight with seeded Gumbel noise."""
-    docs = docs.drop("n_grams", "log_weight", "score", "kept")
+    docs = docs.drop("n_grams", "log_weight", "score", "kept", "is_target")
     seen = F.xxhash64(F.col("doc_id"), F.lit(seed), F.length("text"))
     u = (F.pmod(seen, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return weigh(docs, ratio).withColumn("score", F.col("log_weight") - F.log(-F.log(u)))
+    weighed = weigh(mark(docs, ids), model).drop("is_target")
+    return weighed.withColumn("score", F.col("log_weight") - F.log(-F.log(u)))
 
 
 def sample(scored: DataFrame, keep: float) -> DataFrame:
@@ -155,16 +174,16 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | No
 
     ``keep``: the share that is sampled; by default the share of good ones among the labels.
     """
-    ratio, share = fit(docs, labels, seed, **bounds)
-    light = perturbed(docs.select("doc_id", "text"), ratio, seed).drop("text")
+    model, ids, share = fit(docs, labels, seed, **bounds)
+    light = perturbed(docs.select("doc_id", "text"), model, ids, seed).drop("text")
     return sample(store.materialize(light, "weights"), share if keep is None else keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | None = None, **bounds: int) -> DataFrame:
     """The rows of docs that the sample keeps, with their columns."""
-    ratio, share = fit(docs, labels, seed, **bounds)
+    model, ids, share = fit(docs, labels, seed, **bounds)
     rest = F.struct(*[n for n in docs.columns if n not in ("doc_id", "text")], F.lit(1).alias("_one"))
-    scored = perturbed(docs.select("doc_id", "text", rest.alias("_rest")), ratio, seed)
+    scored = perturbed(docs.select("doc_id", "text", rest.alias("_rest")), model, ids, seed)
     light = store.materialize(scored.select("score"), "weights")
     least = kth_largest(light, "score", round((share if keep is None else keep) * light.where("score is not null").count()))
     return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(

@@ -7,6 +7,7 @@ are lower-cased. Equal words have equal hashes on every machine. Null texts have
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,13 @@ _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 U64 = np.uint64
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for what needs much memory for each row."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def count(text: Column) -> Column:
     """How many words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
