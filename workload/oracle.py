@@ -173,7 +173,8 @@ ev2 AS (
   FROM ev1),
 log AS (
   SELECT ev + 1 AS id, make_timestamp(({W.START_MS} + ev * 2000) * 1000) AS log_time,
-    CASE WHEN ev % 7 <> 0 THEN 'rq' || ev END AS request_id,
+    CASE WHEN ev % 7 = 0 THEN NULL WHEN ev % 53 = 2 THEN '-' WHEN ev % 59 = 3 THEN 'null' WHEN ev % 97 = 5 THEN 'rqhot'
+      WHEN ev % 50 = 11 THEN 'rqs' || (ev // 2000) ELSE 'rq' || ev END AS request_id,
     CASE WHEN ev % 11 = 0 THEN 'el' || ev END AS error_link_id,
     '10.1.' || ((ev // 6400) % 250) || '.' || (user_id % 6 + 1) AS src_ip, method,
     method || ' ' || path || qs || ' HTTP/1.1' AS raw_request,
@@ -736,18 +737,18 @@ def all_queries() -> dict[str, str]:
         || '" referer="' || coalesce(referer, '-') || '" user_agent="' || user_agent || '" resp_html_baseline_match="TRUE" note="say \\"hi\\" twice"'"""
     )
     q["ingest_security"] = log_q(
-        f"SELECT {sec_time}, request_id, error_link_id, 'main' AS vhost, src_ip, method, raw_request, uri, query_string, 'HTTP/1.1' AS protocol, "
+        f"SELECT {sec_time}, nullif(request_id, '-') AS request_id, error_link_id, 'main' AS vhost, src_ip, method, raw_request, uri, query_string, 'HTTP/1.1' AS protocol, "
         f"status_code, response_body_bytes, duration_us, ttfb_us, req_content_type, resp_content_type, referer, user_agent, {nul}, "
         f"'unknown' AS attack_label, 0.0::DOUBLE AS risk_score, 0 AS is_suspicious, 1 AS resp_html_baseline_match, md5({line}) AS raw_log_md5 "
         f"FROM log2 WHERE NOT ({bad})"
     )
     q["stream_flush"] = q["stream_replay"] = log_q(
-        f"SELECT 'security' AS source, {sec_time}, request_id, src_ip FROM log2 WHERE NOT ({bad}) "
+        f"SELECT 'security' AS source, {sec_time}, nullif(request_id, '-') AS request_id, src_ip FROM log2 WHERE NOT ({bad}) "
         f"UNION ALL SELECT 'access', {MS}, NULL, src_ip FROM log2 WHERE NOT ({bad}) "
-        f"UNION ALL SELECT 'error', {MS}, request_id, src_ip FROM log2 WHERE NOT ({bad})"
+        f"UNION ALL SELECT 'error', {MS}, nullif(request_id, '-'), src_ip FROM log2 WHERE NOT ({bad})"
     )
     q["ingest_error"] = log_q(
-        f"SELECT {MS}, error_link_id, request_id, 'core' AS module_name, 'error' AS log_level, src_ip, src_ip AS peer_ip, "
+        f"SELECT {MS}, error_link_id, nullif(request_id, '-') AS request_id, 'core' AS module_name, 'error' AS log_level, src_ip, src_ip AS peer_ip, "
         f"'File does not exist: ' || uri AS message FROM log2 WHERE NOT ({bad})"
     )
     q["ingest_rejects"] = log_q(

@@ -89,7 +89,11 @@ def derive_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = rows.select(
         (ev + 1).alias("id"),
         F.timestamp_millis(F.lit(W.START_MS) + ev * 2000).alias("log_time"),
-        F.when(ev % 7 != 0, F.concat(F.lit("rq"), ev)).alias("request_id"),
+        F.when(ev % 7 == 0, F.lit(None).cast("string"))
+        .when(ev % 53 == 2, F.lit("-")).when(ev % 59 == 3, F.lit("null"))
+        .when(ev % 97 == 5, F.lit("rqhot"))
+        .when(ev % 50 == 11, F.concat(F.lit("rqs"), F.floor(ev / 2000)))
+        .otherwise(F.concat(F.lit("rq"), ev)).alias("request_id"),
         F.when(ev % 11 == 0, F.concat(F.lit("el"), ev)).alias("error_link_id"),
         F.concat(
             F.lit("10.1."), F.floor(ev / 6400) % 250, F.lit("."), F.col("user_id") % 6 + 1
