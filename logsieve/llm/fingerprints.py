@@ -101,10 +101,10 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), k, h."""
+    """text (null: empty), k (doc_id, or the least number for null), h."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), F.xxhash64("doc_id", text).alias("h")
+        text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), F.xxhash64("doc_id", text).alias("h")
     )
 
 
@@ -112,7 +112,8 @@ def edited_pairs(docs: DataFrame, order: DataFrame) -> DataFrame:
     """k, h, i (which of equal rows), doc_id, n, text, edited, next_k, next_h.
 
     edited: the last half of the text replaced by the start of the next document, or of itself
-    where an equal row follows. The texts are shuffled once by key, their starts once more.
+    where an equal row follows. The texts are shuffled once by key, their starts once more: both uses of
+    the keyed texts read the same columns, so that Spark reuses the shuffle.
     """
     chars = order.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART))
@@ -124,11 +125,11 @@ def edited_pairs(docs: DataFrame, order: DataFrame) -> DataFrame:
         F.left("text", F.floor(F.col("prev_n") / 2).cast("int")).alias("head"),
     ).repartition(parts, "k", "h")
     half = F.floor(F.col("n") / 2).cast("int")
-    both = rows.select("k", "h", "i", "m", "doc_id", "n", "text").join(heads, ["k", "h"])
+    both = rows.select("k", "h", "i", "m", "n", "text").join(heads, ["k", "h"])
     more = F.col("i") < F.col("m")
     tail = F.when(more, F.left("text", half)).otherwise(F.col("head"))
     return both.select(
-        "k", "h", "i", "doc_id", "n", "text", F.concat(F.left("text", F.col("n") - half), tail).alias("edited"),
+        "k", "h", "i", F.when(F.col("k") != _NONE, F.col("k")).alias("doc_id"), "n", "text", F.concat(F.left("text", F.col("n") - half), tail).alias("edited"),
         F.when(more, F.col("k")).otherwise(F.col("next_k")).alias("next_k"),
         F.when(more, F.col("h")).otherwise(F.col("next_h")).alias("next_h"),
     )
