@@ -38,12 +38,18 @@ K = 5
 HOT = 512
 START, END = U64(0x5354415254), U64(0x454E44)
 #: Tokens of one block of texts, and of one bucket.
-BLOCK, BUCKET = 1_000_000, 1_500_000
+BLOCK, BUCKET = 500_000, 1_500_000
+#: Entries of one row of the model or of sums, and bytes of one Arrow batch: what a task holds besides its bucket.
+ROW_LEN, BATCH = 200_000, 8 << 20
+#: Counts of a document's pairs by r, in one number; a larger count takes several entries.
+BITS = 12
+DIGIT = 1 << BITS
 L64 = pa.list_(pa.int64())
-ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, ids array<long>, size array<long>, s array<double>, b array<double>, known array<long>, k array<long>"
+ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, ids array<long>, size array<long>, s array<double>, b array<double>, s4 array<float>, b4 array<float>, known array<long>, k array<long>"
 FIELDS = pa.schema([
     ("bucket", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("w", L64), ("h", L64), ("n", L64), ("ids", L64), ("size", L64),
-    ("s", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("known", L64), ("k", L64),
+    ("s", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("s4", pa.list_(pa.float32())), ("b4", pa.list_(pa.float32())),
+    ("known", L64), ("k", L64),
 ])
 #: Kinds of rows: pairs of a bucket in the model, a block's documents, a block's pairs, sums for documents, pairs not seen.
 MODEL, DOCS, PAIRS, SUMS, UNSEEN = range(5)
@@ -60,6 +66,34 @@ def _row(**x) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([x], schema=FIELDS)
 
 
+def _rows(cuts: list[int], /, **x) -> Iterator[pa.RecordBatch]:
+    """Rows for the parts between cuts; numbers are repeated, arrays are cut."""
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield _row(**{k: v[a:z] if isinstance(v, np.ndarray) else v for k, v in x.items()})
+
+
+def _even(n: int) -> list[int]:
+    return [*range(0, n, ROW_LEN), n]
+
+
+def _at_words(w: np.ndarray) -> list[int]:
+    """Cuts between different words of a sorted array, ROW_LEN apart or a little more."""
+    new = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1, [len(w)]])
+    return np.unique(np.concatenate([new[np.searchsorted(new, _even(len(w))[:-1])], [len(w)]])).tolist()
+
+
+def _packed(at: np.ndarray, n: np.ndarray, m: int) -> Iterator[np.ndarray]:
+    """How many of each of m documents' pairs occur 1 to K times, as digits; several numbers if counts are large."""
+    low = n <= K
+    k = np.bincount(at[low] * K + n[low] - 1, minlength=m * K).reshape(m, K)
+    while True:
+        part = np.minimum(k, DIGIT - 1)
+        yield part @ (DIGIT ** np.arange(K))
+        k = k - part
+        if not k.any():
+            return
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of about BLOCK tokens."""
     for b in batches:
@@ -165,12 +199,13 @@ def deal(docs: DataFrame, frequent: Frequent, scale: Scale, buckets: int, traini
                 own = np.where(n > K, np.log10(np.maximum(n * (n / (n + 1.0)), 1e-300)), own)
             else:
                 own = own + np.where(n > 0, 0.0, hot.backoff[i[both]])
-            k = np.bincount(d[n <= K] * K + n[n <= K] - 1, minlength=m * K) if training else np.zeros(0, np.int64)
             s = per(own + _history(c, w[both])) - np.log10(max(1, hot.count[hot.find(np.array([START]))[0]]))
             yield _row(
                 bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), kind=DOCS, base=base, ids=b.column("doc_id").to_pylist(),
-                size=np.bincount(doc, minlength=m), s=s, b=per(np.log10(sc.p(c))), known=np.bincount(d[c > 0], minlength=m), k=k,
+                size=np.bincount(doc, minlength=m), s=s, b=per(np.log10(sc.p(c))), known=np.bincount(d[c > 0], minlength=m),
             )
+            for k in _packed(d, n, m) if training else ():
+                yield _row(bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), kind=SUMS, base=base, ids=base + np.arange(m), k=k)
             rest = ~both
             h, w, doc, j = h[rest], w[rest], doc[rest], j[rest]
             bucket = np.where(j >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
@@ -197,7 +232,7 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
         hot, sc = shared.value
         for (bucket,), t in _groups(batches, ["bucket"]):
             kind = t.column("kind").to_numpy()
-            docs = t.filter(pa.array(kind == DOCS))
+            docs = t.filter(pa.array((kind == DOCS) | (kind == SUMS)))
             if docs.num_rows:
                 yield from docs.to_batches()
             pairs = t.filter(pa.array(kind == PAIRS))
@@ -212,7 +247,10 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
                 u, first, back, n = np.unique(p, return_index=True, return_inverse=True, return_counts=True)
                 cold, where, count = np.unique(w, return_inverse=True, return_counts=True)
                 c = np.where(j >= 0, hot.count[j], count[where])
-                yield _row(bucket=bucket, kind=MODEL, w=w[first].view(np.int64), h=h[first].view(np.int64), n=n)
+                order = np.argsort(w[first], kind="stable")
+                mw, mh = w[first][order], h[first][order]
+                # a word's pairs stay in one row, so that its count can be read from there
+                yield from _rows(_at_words(mw), bucket=bucket, kind=MODEL, w=mw.view(np.int64), h=mh.view(np.int64), n=n[order])
                 n = n[back]
                 s = np.where(n <= K, np.log10(n), np.log10(n * (n / (n + 1.0))))
             else:
@@ -231,14 +269,16 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
                 s = np.log10(np.where(n > 0, sc.kept(np.maximum(n, 1)), sc.p(c))) + np.where((n == 0) & (i >= 0), hot.backoff[i], 0.0)
                 lost = (n == 0) & (i < 0)
                 if lost.any():
-                    yield _row(bucket=bucket, kind=UNSEEN, h=h[lost].view(np.int64), ids=doc[lost])
+                    yield from _rows(_even(int(lost.sum())), bucket=bucket, kind=UNSEEN, h=h[lost].view(np.int64), ids=doc[lost])
             ids, at = np.unique(doc, return_inverse=True)
             per = lambda x: np.bincount(at, weights=x, minlength=len(ids))  # noqa: E731, B023
-            k = np.bincount(at[n <= K] * K + n[n <= K] - 1, minlength=len(ids) * K) if training else []
-            yield _row(
-                bucket=bucket, kind=SUMS, ids=ids, s=per(s + _history(c, w)), b=per(np.log10(sc.p(c))),
-                known=per((c > 0).astype(float)).astype(np.int64), k=k,
-            )
+            sums = {"s4": per(s + _history(c, w)).astype(np.float32), "b4": per(np.log10(sc.p(c))).astype(np.float32)}
+            if training:  # all tokens are known
+                for k in _packed(at, n, len(ids)):
+                    yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, k=k, **sums)
+                    sums = {}
+            else:
+                yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, known=per((c > 0).astype(float)).astype(np.int64), **sums)
 
     # a bucket's rows follow each other, the model's first
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ROW)
@@ -252,7 +292,7 @@ def backoff(model: DataFrame, unigrams: DataFrame, frequent: Frequent, scale: Sc
         hot, sc = shared.value
         for b in batches:
             for r in range(b.num_rows):
-                w, h, n = (b.column(x)[r].values.to_numpy() for x in ("w", "h", "n"))
+                w, h, n = (b.column(x)[r].values.to_numpy(zero_copy_only=False) for x in ("w", "h", "n"))
                 w = w.view(U64)
                 cold, where = np.unique(w, return_inverse=True)
                 count, j = np.bincount(where, weights=n), hot.find(w)
@@ -277,6 +317,16 @@ def backoff(model: DataFrame, unigrams: DataFrame, frequent: Frequent, scale: Sc
 
 def score(docs: DataFrame, training: F.Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text), learnt from those in training."""
+    conf, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(size)
+    conf.set(size, str(BATCH))
+    try:
+        return _score(docs, training)
+    finally:
+        conf.set(size, before)
+
+
+def _score(docs: DataFrame, training: F.Column) -> DataFrame:
     light = docs.select(
         F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
         F.coalesce(training, F.lit(False)).alias("training"),
@@ -306,29 +356,28 @@ def score(docs: DataFrame, training: F.Column) -> DataFrame:
     judged = store.materialize(tally(asked, buckets, frequent, scale, False), "lm-held-out")
     lost = judged.where(F.col("kind") == UNSEEN).select(F.inline(F.arrays_zip("h", "ids"))).groupBy("h", "ids").agg(F.count("*").alias("n"))
     backed = lost.join(weights, "h").groupBy(F.col("ids").alias("row")).agg(F.sum(F.col("n") * F.col("value")).alias("s"))
-    logs = F.array(*[F.lit(float(np.log10(d))) for d in scale.discount[1:]])
+    logs = [float(np.log10(d)) for d in scale.discount[1:]]
     seen = _summed(learnt, logs)
     unseen = _summed(judged, None, backed)
     both = seen.withColumn("n_known", F.col("n_tokens")).unionByName(unseen)
     return both.select("doc_id", "n_tokens", "n_known", F.lit(scale.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _summed(rows: DataFrame, logs: F.Column | None, more: DataFrame | None = None) -> DataFrame:
+def _summed(rows: DataFrame, logs: list[float] | None, more: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score from DOCS and SUMS rows."""
     docs = rows.where(F.col("kind") == DOCS)
     row = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.col("base") + i)
     sums = rows.where(F.col("kind") == SUMS)
 
-    def long(df: DataFrame, ids: F.Column, *names: F.Column) -> DataFrame:
-        at = F.sequence(F.lit(0), F.size("ids") - 1)
-        ks = F.transform(at, lambda i: F.slice("k", i * K + 1, F.lit(K)))
-        cols = [ids.alias("row"), F.col("s"), F.col("b"), F.col("known"), ks.alias("k"), *names]
-        return df.select(F.inline(F.arrays_zip(*cols)))
-
-    own = long(docs, row, F.col("ids").alias("doc_id"), F.col("size"))
-    rest = long(sums, F.col("ids"))
-    extra = F.lit(0.0) if logs is None else F.aggregate(F.zip_with("k", logs, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    flat = own.drop("doc_id", "size").unionByName(rest).select("row", (F.col("s") + extra).alias("s"), "b", "known")
+    own = docs.select(F.inline(F.arrays_zip(row.alias("row"), F.col("ids").alias("doc_id"), "size", "s", "b", "known")))
+    digits = [F.shiftrightunsigned("k", BITS * i).bitwiseAND(DIGIT - 1) for i in range(K)]
+    extra = F.lit(0.0) if logs is None else sum((digits[i] * logs[i] for i in range(K)), F.lit(0.0))
+    zero = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    given = lambda name, kind: F.coalesce(F.col(name), F.array().cast(f"array<{kind}>"))
+    parts = [("s4", "float", "s"), ("b4", "float", "b"), ("known", "bigint", "known"), ("k", "bigint", "k")]
+    rest = sums.select(F.inline(F.arrays_zip(F.col("ids").alias("row"), *[given(n, t).alias(to) for n, t, to in parts])))
+    rest = rest.select("row", (zero("s") + F.coalesce(extra, F.lit(0.0))).alias("s"), zero("b").alias("b"), F.coalesce("known", F.lit(0)).alias("known"))
+    flat = own.select("row", "s", "b", "known").unionByName(rest)
     if more is not None:
         flat = flat.unionByName(more.select("row", "s", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("known")))
     total = flat.groupBy("row").agg(F.sum("s").alias("score"), F.sum("b").alias("base_score"), F.sum("known").alias("n_known"))
