@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case and without ASCII punctuation. Of every WINDOW neighbouring
-n-grams of a test item the one that the fewest documents hold is a seed, so each run of
-n + WINDOW - 1 words that a document shares with an item holds a seed. Where seeds of an item occur in a
-document, the words around them are aligned with the whole item; the score is the best local
-alignment's, as a share of a perfect copy's.
+Words are compared in lower case and without ASCII punctuation. All n-grams of a test item are
+seeds, so each run of n words that a document shares with an item is one; none is thinned out for
+being common. Where seeds of an item occur in a document, the words around them are aligned with
+the whole item, unless too few of its words are there for any alignment to reach the least score;
+the score is the best local alignment's, as a share of a perfect copy's.
 
 Bit tables of fixed size tell which n-grams of a document may be seeds; an equality join then finds
 the items exactly. Items with fewer words than n are never found. Null and empty texts have no
@@ -22,7 +22,7 @@ from logsieve.llm import words
 from logsieve.llm.words import U64
 from logsieve.sources import store
 
-N, WINDOW = 4, 4
+N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 #: Slots of the bit tables; at most so many numbers are collected, however many items there are.
@@ -63,32 +63,6 @@ def _maybe(h: np.ndarray, at: np.ndarray, n: int, table: np.ndarray) -> tuple[np
     return grams[place][whole], place[whole], text[whole]
 
 
-def frequencies(docs: DataFrame, table: np.ndarray, n: int = N) -> DataFrame:
-    """gram, n_docs for all n-grams of docs (text) that the table may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.cut(batches):
-            h, at = words.hashes(b.column("text").to_pylist(), plain=True)
-            g, _, text = _maybe(h, at, n, shared.value)
-            each = np.unique(np.stack([g, text.astype(U64)], 1), axis=0)[:, 0] if len(g) else g
-            g, count = np.unique(each, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(count)], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
-
-
-def seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """item_id, gram: the rarest of every WINDOW neighbouring grams (of an item with fewer, the rarest)."""
-    long = items.select("item_id", F.posexplode("grams").alias("pos", "gram")).join(counts, "gram", "left")
-    ranked = long.select("item_id", F.struct(F.coalesce("n_docs", F.lit(0)), "gram").alias("g"), "pos")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "g"))), lambda x: x["g"])
-    of_item = ranked.groupBy("item_id").agg(in_order.alias("gs"))
-    last = F.greatest(F.size("gs") - WINDOW, F.lit(0))
-    least = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice("gs", i + 1, F.lit(WINDOW)))["gram"])
-    return of_item.select("item_id", F.explode(F.array_distinct(least)).alias("gram"))
-
-
 def regions(docs: DataFrame, table: np.ndarray, reach: int, n: int = N) -> DataFrame:
     """doc_id, text_hash, first (place of the first word), grams, words of the parts of docs around possible seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -135,14 +109,16 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int
     """doc_id, text_hash, item_id, score, first_word, end_word of every document and item whose alignment scores at least ``least``."""
     light = docs.select("doc_id", "text")
     own = store.materialize(item_grams(items, n), "items")
-    grams = store.materialize(own.select(F.explode("grams").alias("gram")).distinct(), "item-grams")
-    counts = store.materialize(frequencies(light, slots(grams), n).join(grams, "gram"), "gram-counts")
-    chosen = store.materialize(seeds(own, counts), "seeds")
+    seeds = own.select("item_id", F.explode(F.array_distinct("grams")).alias("gram")).distinct()
+    seeds = store.materialize(seeds, "seeds")
     reach = own.agg(F.max(F.size("words"))).first()[0] or 0
-    near = store.materialize(regions(light, slots(chosen), reach, n).withColumn("region", F.xxhash64("doc_id", "text_hash", "first")), "regions")
-    hits = near.select("region", F.explode("grams").alias("gram")).join(chosen, "gram").select("region", "item_id").distinct()
+    near = store.materialize(regions(light, slots(seeds), reach, n).withColumn("region", F.xxhash64("doc_id", "text_hash", "first")), "regions")
+    hits = near.select("region", F.explode("grams").alias("gram")).join(seeds, "gram").select("region", "item_id").distinct()
     pairs = hits.join(near.drop("grams"), "region").join(own.select("item_id", F.col("words").alias("item")), "item_id")
 
+    # words that are missing match nowhere, so pairs that go here can't reach the least score
+    pairs = pairs.where(F.size("item") - F.size(F.array_except("item", "words")) >= F.lit(least) * F.size("item"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

@@ -156,6 +156,22 @@ def test_edited_passages_are_found(spark):
     assert decontam.keep_clean(df, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("every", [4, 5, 6, 7])
+def test_copies_with_evenly_spread_edits_are_found(spark, every):
+    """The broken n-grams are in no document, the whole ones in others too."""
+    rng = random.Random(every)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([16, 24, 40, 59])]
+    docs = [(i, " ".join(t for _, t in items)) for i in range(100, 105)]
+    for i, text in items:
+        copy = [w if k % every != every - 1 else f"new{k}" for k, w in enumerate(text.split())]
+        docs.append((i, " ".join([*(f"a{k}" for k in range(80)), *copy, *(f"b{k}" for k in range(80))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench).collect()}
+    assert {k for k in got if k[0] < 100} == {(i, i) for i, _ in items}
+    assert all(got[i, j] == 1 for i in range(100, 105) for j, _ in items)
+
+
 def test_alignment_equals_the_textbook_one():
     rng = np.random.default_rng(5)
     for _ in range(40):
