@@ -1,7 +1,7 @@
 """Quality by importance resampling (DSIR): two hashed n-gram models and a Gumbel top-k.
 
-The target model counts n-grams of labelled good documents, the raw model those of all
-documents. A document's log weight is the log of the ratio of its probabilities under both.
+The target model counts n-grams of labelled good documents that are not toxic, the raw model those
+of all documents. A document's log weight is the log of the ratio of its probabilities under both.
 Adding Gumbel noise and keeping the k largest samples k documents without replacement, each
 with a chance in proportion to its weight.
 
@@ -10,6 +10,13 @@ it, so labelled documents are not favoured over unlabelled ones like them. Rare
 ratio of one (SMOOTH), and the log weight is tempered by the square root of the length (TEMPER),
 because the errors of a sum of many small ratios grow with it.
 
+Toxic documents read like others but for single words, which a sum over all n-grams hides. So buckets of
+words and of their parts that are much more frequent in documents labelled toxic than in those labelled
+not toxic are markers; a document is toxic if the log-odds of its markers, by the square root of its
+length, exceed what all but CLEAN_LOSS of the documents labelled not toxic have. Toxic documents have no
+score and are never kept. A label without a value for toxic counts as not toxic for the target and is
+left out here; without toxic labels nothing is toxic.
+
 Documents without words (null, empty, blank) have no weight and are never kept. Rows that tie with
 the k-th are kept with it, so repeated rows share their fate. Without good labels the weights are all
 0 and the sample is uniform; without any label every document with words is kept. An empty table gives
@@ -21,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.llm import words
@@ -33,6 +40,9 @@ DIM = 1 << 18
 MAX_TARGET = 20_000
 #: Imaginary n-grams in each bucket, shared between the models as all n-grams are; and the tempering.
 SMOOTH, TEMPER = 100, 30
+#: Markers of toxic documents: buckets, bytes of a part of a word, labelled documents that have it at least, log-odds
+#: at least, and the share of documents labelled not toxic that may be lost. MAX_TARGET of each kind are learnt from.
+TOXIC_DIM, PART, LEAST_DOCS, LEAST_ODDS, CLEAN_LOSS = 1 << 20, 5, 3, math.log(8), 0.01
 #: Rows of the last interval when the k-th value is looked for; more are split again.
 LAST = 4096
 U64 = np.uint64
@@ -65,6 +75,82 @@ def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return seen.groupBy("slot").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
+def _parts(text: list, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word and each PART bytes of a word (of those that known has), the text it belongs to, and how many each text has."""
+    h, at = words.hashes(text, plain=True)
+    slots, docs = [(h % U64(TOXIC_DIM)).astype(np.int64)], [np.repeat(np.arange(len(text)), np.diff(at))]
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass").translate(words._PLAIN) for t in text]
+    ends, base = np.cumsum([len(x) + 1 for x in raw], dtype=np.int64), 0
+    for piece in words._slices(b"\n".join([*raw, b""])):
+        buf = np.frombuffer(piece, np.uint8)
+        n = max(0, len(buf) - PART + 1)
+        g, gap = np.zeros(n, U64), np.zeros(n, bool)
+        for k in range(PART):
+            g = g * U64(words._BASE) + buf[k : k + n].astype(U64)
+            gap |= words._SPACE[buf[k : k + n]]
+        place = np.flatnonzero(~gap)
+        slot = (words.mix(g[place]) % U64(TOXIC_DIM)).astype(np.int64)
+        if known is not None:
+            place, slot = place[known[slot]], slot[known[slot]]
+        slots.append(slot)
+        docs.append(np.searchsorted(ends, place + base, "right"))
+        base += len(buf)
+    slot, doc = np.concatenate(slots), np.concatenate(docs)
+    if known is not None:
+        slot, doc = slot[known[slot]], doc[known[slot]]
+    each = np.unique(doc * TOXIC_DIM + slot)
+    return each % TOXIC_DIM, each // TOXIC_DIM, np.array([len(x) for x in raw], np.int64)
+
+
+class Toxic:
+    """Labelled documents, toxic ones and others, by bucket; TOXIC_DIM numbers each, whatever the corpus."""
+
+    def __init__(self, labelled: DataFrame):
+        """labelled: doc_id, text, toxic (1, or 0)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((2, TOXIC_DIM), np.int64)
+            for b in words.cut(batches):
+                slot, doc, _ = _parts(b.column("text").to_pylist())
+                toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+                n += np.bincount(toxic[doc] * TOXIC_DIM + slot, minlength=2 * TOXIC_DIM).reshape(2, TOXIC_DIM)
+            k = np.flatnonzero(n[1])
+            yield pa.RecordBatch.from_pydict({"slot": k, "clean": n[0][k], "toxic": n[1][k]})
+            rest = np.flatnonzero((n[1] == 0) & (n[0] > 0))
+            yield pa.RecordBatch.from_pydict({"slot": rest, "clean": n[0][rest], "toxic": n[1][rest]})
+
+        self.least = math.inf
+        self.n = dict(labelled.groupBy("toxic").count().collect())
+        self.clean, self.toxic = np.zeros(TOXIC_DIM, np.int32), np.zeros(TOXIC_DIM, np.int32)
+        if self.n.get(1) and self.n.get(0):
+            counts = labelled.select("text", "toxic").mapInArrow(run, "slot long, clean long, toxic long").groupBy("slot")
+            got = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"toxic >= {LEAST_DOCS}").toArrow()
+            slot = got["slot"].to_numpy()
+            self.clean[slot], self.toxic[slot] = got["clean"].to_numpy(), got["toxic"].to_numpy()
+            clean = toxic_weight(labelled.where("toxic = 0").select("text", "toxic"), self).select("toxic_weight")
+            self.least = max(0.0, kth_largest(clean, "toxic_weight", 1 + int(CLEAN_LOSS * self.n[0])))
+
+    def weigh(self, text: list, own: np.ndarray) -> np.ndarray:
+        """Weight of the markers of each text. own: 1 and 0 for those that were learnt from as toxic or not, else -1."""
+        slot, doc, length = _parts(text, self.toxic >= LEAST_DOCS)
+        toxic, clean = self.toxic[slot] - (own[doc] == 1), self.clean[slot] - (own[doc] == 0)
+        odds = np.log((toxic + 0.5) / (self.n.get(1, 0) + 1) * (self.n.get(0, 0) + 1) / (clean + 0.5))
+        odds[(toxic < LEAST_DOCS) | (odds < LEAST_ODDS)] = 0
+        return np.bincount(doc, weights=odds, minlength=len(text)) / np.sqrt(np.maximum(length, 1))
+
+
+def toxic_weight(docs: DataFrame, model: Toxic) -> DataFrame:
+    """docs (text, toxic, ...) with toxic_weight."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.cut(batches):
+            own = b.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
+            yield b.append_column("toxic_weight", pa.array(shared.value.weigh(b.column("text").to_pylist(), own)))
+
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", toxic_weight double")
+
+
 class Model:
     """Counts of both models by bucket; ``dim`` numbers each, whatever the corpus."""
 
@@ -74,6 +160,7 @@ class Model:
         slot = got["slot"].to_numpy()
         self.raw[slot], self.target[slot] = got["n_raw"].to_numpy(), got["n_target"].to_numpy()
         self.share = self.target.sum() / max(1.0, self.raw.sum())
+        self.bad: Toxic | None = None
 
     def weigh(self, slot: np.ndarray, doc: np.ndarray, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of n-grams and log weight of each of the documents that the slots belong to."""
@@ -89,7 +176,7 @@ class Model:
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, is_target, ...) with n_grams and log_weight (null without words)."""
+    """docs (text, is_target, toxic, ...) with n_grams, log_weight (null without words) and is_toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +184,16 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
             slot, doc = _slots(b.column("text").to_pylist(), len(shared.value.raw))
             good = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
             n, w = shared.value.weigh(slot, doc, good)
+            toxic = np.zeros(len(n), bool)
+            if (bad := shared.value.bad) and bad.least < math.inf:
+                own = b.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
+                toxic = bad.weigh(b.column("text").to_pylist(), own) > bad.least
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n), pa.array(w, mask=n == 0)], names=[*b.schema.names, "n_grams", "log_weight"]
+                [*b.columns, pa.array(n), pa.array(w, mask=n == 0), pa.array(toxic)], names=[*b.schema.names, "n_grams", "log_weight", "is_toxic"]
             )
 
     own = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{own}, n_grams long, log_weight double")
+    return docs.mapInArrow(run, f"{own}, n_grams long, log_weight double, is_toxic boolean")
 
 
 def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
@@ -133,38 +224,57 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, dim: int = DIM, max_target: int = MAX_TARGET) -> tuple[Model, DataFrame, float]:
-    """Both models, the ids of the good documents learnt from, and the share of good ones among the labelled.
+    """Both models, the ids of the labelled documents learnt from, and the share of good ones among the labelled.
 
-    ``labels``: doc_id, quality; good is quality 1.
+    ``labels``: doc_id, quality, toxic; good is quality 1 and not toxic (null: not toxic).
     """
     judged = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n, n_good = judged.agg(F.count("*"), F.count(F.when(F.col("quality") == 1, 1))).first()
-    ids = judged.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    ids = store.materialize(ids.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target), "good-ids")
-    counts = count_slots(mark(docs.select("doc_id", "text"), ids), dim)
-    return Model(counts, dim), ids, n_good / n if n else 1.0
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    n, n_good = judged.agg(F.count("*"), F.count(F.when(good, 1))).first()
+    by_id = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    known = by_id.agg(F.coalesce(F.max(good), F.lit(False)).alias("good"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+
+    def chosen(which: Column) -> DataFrame:
+        return known.where(which).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target).select("_id")
+
+    good_ids = chosen(F.col("good")).withColumns({"good": F.lit(True), "toxic": F.lit(None).cast("int")})
+    kinds = [chosen(F.col("toxic") == k).withColumns({"good": F.lit(False), "toxic": F.lit(k)}) for k in (0, 1)]
+    ids = good_ids.unionByName(kinds[0]).unionByName(kinds[1]).groupBy("_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
+    ids = store.materialize(ids, "label-ids")
+    marked = mark(docs.select("doc_id", "text"), ids)
+    model = Model(count_slots(marked, dim), dim)
+    labelled = store.materialize(marked.where("toxic is not null").select("doc_id", "text", "toxic"), "labelled")
+    model.bad = Toxic(labelled)
+    store.release(labelled)
+    return model, ids, n_good / n if n else 1.0
 
 
 def mark(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with is_target: whether the target model learns from it."""
-    # at most max_target ids, so this broadcast has a fixed bound
+    """docs with is_target and toxic: whether the target model learns from it, and as what (1, 0 or null) the markers do."""
+    # at most three times max_target ids, so this broadcast has a fixed bound
     marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
-    return marked.select(*docs.columns, F.col("_id").isNotNull().alias("is_target"))
+    return marked.select(*docs.columns, F.coalesce("good", F.lit(False)).alias("is_target"), "toxic")
 
 
 def perturbed(docs: DataFrame, model: Model, ids: DataFrame, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text, ...) with n_grams, log_weight and score, the weight with seeded Gumbel noise."""
-    docs = docs.drop("n_grams", "log_weight", "score", "kept", "is_target")
+    """docs (doc_id, text, ...) with n_grams, log_weight and score, the weight with seeded Gumbel noise (null if toxic)."""
+    docs = docs.drop("n_grams", "log_weight", "score", "kept", "is_target", "toxic", "is_toxic")
     seen = F.xxhash64(F.col("doc_id"), F.lit(seed), F.length("text"))
     u = (F.pmod(seen, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    weighed = weigh(mark(docs, ids), model).drop("is_target")
-    return weighed.withColumn("score", F.col("log_weight") - F.log(-F.log(u)))
+    weighed = weigh(mark(docs, ids), model).drop("is_target", "toxic")
+    score = F.when(~F.col("is_toxic"), F.col("log_weight") - F.log(-F.log(u)))
+    return weighed.withColumn("score", score).drop("is_toxic")
+
+
+def least_kept(scored: DataFrame, keep: float) -> float | None:
+    """The least score among the share ``keep`` of the rows with a weight; of all rows with a score if they are fewer."""
+    weighed, with_score = scored.agg(F.count("log_weight"), F.count("score")).first()
+    return kth_largest(scored, "score", min(round(keep * weighed), with_score))
 
 
 def sample(scored: DataFrame, keep: float) -> DataFrame:
-    """scored with kept: true for the share ``keep`` of the rows with a score that has the largest ones."""
-    total = scored.where(F.col("score").isNotNull()).count()
-    least = kth_largest(scored, "score", round(keep * total))
+    """scored with kept: true for the share ``keep`` of the rows with a weight that has the largest scores."""
+    least = least_kept(scored, keep)
     kept = F.lit(False) if least is None else F.coalesce(F.col("score") >= F.lit(least), F.lit(False))
     return scored.withColumn("kept", kept)
 
@@ -184,8 +294,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | N
     model, ids, share = fit(docs, labels, seed, **bounds)
     rest = F.struct(*[n for n in docs.columns if n not in ("doc_id", "text")], F.lit(1).alias("_one"))
     scored = perturbed(docs.select("doc_id", "text", rest.alias("_rest")), model, ids, seed)
-    light = store.materialize(scored.select("score"), "weights")
-    least = kth_largest(light, "score", round((share if keep is None else keep) * light.where("score is not null").count()))
+    light = store.materialize(scored.select("log_weight", "score"), "weights")
+    least = least_kept(light, share if keep is None else keep)
     return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(
         *[F.col(n if n in ("doc_id", "text") else f"_rest.{n}") for n in docs.columns]
     )

@@ -89,6 +89,24 @@ def test_sample_rejects_junk_and_keeps_good(spark):
     assert {r.doc_id for r in rows_kept.collect()} == kept and rows_kept.first().score == "x"
 
 
+def test_toxic_documents_are_not_kept(spark):
+    """Good prose with a few bad words, by labels of half of the documents."""
+    rng = random.Random(7)
+    good, bad = [f"w{i}" for i in range(200)], ["bazzog", "grimblat", "skorvex"]
+    rows = []
+    for i in range(600):
+        text = prose(rng, good).split()
+        if i % 6 < 2:
+            text[3:3] = rng.sample(bad, 2)
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, None if i % 20 == 2 else int(i % 6 < 2)) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.resample(df, labels).collect()}
+    assert not any(got[i] for i in got if i % 6 < 2)
+    assert sum(got.values()) >= 390
+    assert {r.doc_id for r in quality.keep_good(df, labels).collect()} == {i for i in got if got[i]}
+
+
 def test_sample_follows_the_weights(spark):
     """Gumbel noise: without any difference in weight the sample is uniform, and ties stay together."""
     df = spark.createDataFrame([(i, "same text") for i in range(1000)] + [(7, "same text")] * 3, "doc_id long, text string")
