@@ -1,14 +1,15 @@
-"""Line dedup with content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ROLL lines ends a chunk after about every EVERY lines;
-a line of LONG or more words is a chunk by itself. Both depend on the lines alone, so lines put in before a
-repeated passage shift nothing. Chunks of two or more lines, or of LONG or more words, that occur
-more than once anywhere are removed but for their first occurrence (least doc_id, null first, then
-text hash, then place), after their bytes were compared: chunks are grouped by their whole text.
-
-Lines end with a newline; chunks without a word stay. Null texts stay null, empty ones empty, and a
-text of which all chunks go becomes empty. Rows that repeat doc_id and text count as one document and are
-treated alike. An empty table gives an empty result.
+"""Line dedup: runs of lines that occur more than once.
+
+A run of two or more neighbouring lines with a word among them, or of one line of LONG or more words,
+that occurs more than once anywhere is removed but for its first occurrence (least doc_id, null first, then
+text hash, then place). Whatever the length of a run, its smallest parts that are runs themselves (pairs of
+lines with a word, and what lies between them; long lines) repeat with it and cover it, so only those are
+compared: by hash, then by their bytes. A line goes if any repeated part that is not the first holds it.
+So the first occurrence of each different line stays, and a run that overlaps its own copy keeps its start.
+
+Lines end with a newline; of the blank lines at the edge of a run at most one goes with it. Null texts stay
+null, empty ones empty, and a text of which all lines go becomes empty. Rows that repeat doc_id and text
+count as one document and are treated alike. An empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -19,31 +20,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from logsieve.llm.words import U64, mix
+from logsieve.llm.words import U64
 from logsieve.sources import store
 
-ROLL, EVERY, LONG = 2, 2, 50
+LONG = 50
 
 
 def chunks(text: str) -> list[tuple[str, int, int]]:
-    """The text's chunks in order: text without the last newline, number of lines, number of words."""
-    lines = text.split("\n")
-    h = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], U64)
-    rolled = h.copy()
-    for k in range(1, ROLL):
-        rolled[k:] += mix(h[:-k] + U64(k))
-    ends = (mix(rolled) % U64(EVERY) == 0).tolist()
-    n = [len(x.split()) for x in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
-        if ends[i] or n[i] >= LONG or i + 1 == len(lines) or n[i + 1] >= LONG:
-            out.append(("\n".join(lines[first : i + 1]), i + 1 - first, sum(n[first : i + 1])))
-            first = i + 1
-    return out
+    """The text's lines in order, as what is removed or left: text without the newline, 1, number of words."""
+    return [(x, 1, len(x.split())) for x in text.split("\n")]
 
 
 def eligible(lines: int, words: int) -> bool:
-    return words > 0 and (lines > 1 or words >= LONG)
+    """Whether lines can make up a repeated run, as parts of one if they are single and short."""
+    return lines > 0 and words > 0
+
+
+def parts(text: str) -> list[tuple[str, int, int]]:
+    """The smallest runs of the text: their text, first line and the line after the last."""
+    own = chunks(text)
+    out, last = [], None
+    for i, (_, _, n) in enumerate(own):
+        if not n:
+            continue
+        if n >= LONG:
+            out.append((i, i + 1))
+        if last is not None:
+            out.append((last, i + 1))
+            if last + 1 < i:
+                out += [(last, last + 2), (i - 1, i + 1)]
+        elif i:
+            out.append((i - 1, i + 1))
+        last = i
+    if last is not None and last + 1 < len(own):
+        out.append((last, last + 2))
+    return [("\n".join(x for x, _, _ in own[a:z]), a, z) for a, z in out]
 
 
 def _hash(chunk: str) -> int:
@@ -56,28 +67,28 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, place, hash of all eligible chunks of docs (doc_id, text_hash, text)."""
+    """doc_id, text_hash, place, hash of all parts of docs (doc_id, text_hash, text)."""
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("hash", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, th, text in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text_hash", "text")), strict=True):
-                rows += [(doc, th, i, _hash(c)) for i, (c, n, w) in enumerate(chunks(text or "")) if eligible(n, w)]
+                rows += [(doc, th, i, _hash(c)) for i, (c, _, _) in enumerate(parts(text or ""))]
             yield _batch(rows, fields)
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, place int, hash long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """hash, chunk, doc_id, text_hash, place of the chunks at docs' places."""
+    """hash, chunk, doc_id, text_hash, place of the parts at docs' places."""
     fields = [("hash", pa.int64()), ("chunk", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, th, text, places in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text_hash", "text", "places")), strict=True):
-                own = chunks(text or "")
+                own = parts(text or "")
                 rows += [(_hash(own[i][0]), own[i][0], doc, th, i) for i in places]
             yield _batch(rows, fields)
 
@@ -85,7 +96,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame) -> DataFrame:
-    """docs with the chunks at their places (null: none) taken out of text, and n_lines, removed_lines, removed_chunks."""
+    """docs with the parts at their places (null: none) taken out of text, and n_lines, removed_lines, removed_chunks (stretches of lines)."""
     names = [n for n in docs.columns if n not in ("text", "places")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +106,10 @@ def _without(docs: DataFrame) -> DataFrame:
                 if not places:
                     rows.append((text, text.count("\n") + 1 if text else 0, 0, 0))
                     continue
-                own, gone = chunks(text), set(places)
-                left = "\n".join(c for i, (c, _, _) in enumerate(own) if i not in gone)
-                rows.append((left, sum(n for _, n, _ in own), sum(own[i][1] for i in gone), len(gone)))
+                own, at = chunks(text), parts(text)
+                gone = {k for i in places for k in range(at[i][1], at[i][2])}
+                left = "\n".join(c for k, (c, _, _) in enumerate(own) if k not in gone)
+                rows.append((left, len(own), len(gone), sum(k - 1 not in gone for k in gone)))
             new = _batch(rows, [("text", pa.string()), ("n_lines", pa.int64()), ("removed_lines", pa.int64()), ("removed_chunks", pa.int64())])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new.columns], names=[*names, *new.schema.names])
 
@@ -106,7 +118,7 @@ def _without(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, places of the chunks to remove from docs (doc_id, text_hash, text)."""
+    """doc_id, text_hash, places of the parts to remove from docs (doc_id, text_hash, text)."""
     at = F.struct("doc_id", "text_hash", "place")
     seen = store.materialize(occurrences(docs).withColumn("at", F.xxhash64("doc_id", "text_hash", "place")), "chunk-places")
     twice = seen.groupBy("hash").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a != b").select("hash")
@@ -133,7 +145,7 @@ def _joined(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the repeated chunks taken out of text, and n_lines, removed_lines, removed_chunks."""
+    """docs (doc_id, text, ...) with the repeated runs of lines taken out of text, and n_lines, removed_lines, removed_chunks."""
     docs = docs.drop("n_lines", "removed_lines", "removed_chunks", "text_hash", "places")
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     places = repeats(keyed.select("doc_id", "text_hash", "text"))

@@ -166,6 +166,35 @@ def test_line_dedup_equals_brute_force(spark):
     assert holders == [LONG]  # only the document without an id, which comes first, still has it
 
 
+def brute_runs(rows):
+    """Lines left of each text, by looking at every run of lines of every text."""
+    first, gone = {}, collections.defaultdict(set)
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                run, n = lines[a:z], len(" ".join(lines[a:z]).split())
+                edges = (run[:2], run[-2:])
+                if n and (z - a > 1 or n >= 50) and all(len(e) < 2 or any(x.split() for x in e) for e in edges):
+                    if first.setdefault(tuple(run), (i, a)) != (i, a):
+                        gone[i].update(range(a, z))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+def test_line_dedup_equals_brute_force_on_all_runs(spark):
+    """Passages of 2 to 6 lines of 27 words between other lines, and few lines in any order with blank ones."""
+    rng = random.Random(8)
+    passages = [["\n".join(f"passage{k} " + " ".join(f"x{rng.randrange(900)}" for _ in range(26)) for _ in range(n))] for k, n in enumerate([2, 2, 3, 4, 5, 6])]
+    rows = []
+    for i in range(60):
+        own = lambda: [f"own {rng.random()}" for _ in range(rng.randrange(4))]
+        few = [rng.choice(["a", "b c", "d", "", "", " ", LONG]) for _ in range(rng.randrange(9))]
+        rows.append((i, "\n".join([*own(), *rng.choice(passages), *own(), *few])))
+    got = {r.doc_id: r for r in linededup.dedup(table(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == brute_runs(rows)
+    assert sum("passage0 " in r.text for r in got.values()) == 1
+
+
 def test_boundaries_do_not_shift():
     body = [f"line {k}" for k in range(30)]
     a = {c for c, _, _ in linededup.chunks("\n".join(body))}
