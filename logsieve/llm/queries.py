@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, urls
+from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, tokencount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,4 +126,11 @@ def op8_lm_scoring(spark, d):
     return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
 
 
+@query
+def op12_token_counts(spark, d):
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
