@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, tokencount, urls
+from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, tokencount, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,4 +133,9 @@ def op12_token_counts(spark, d):
     return tokencount.count_tokens(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op13_embedding_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
