@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, quality, tokencount, urls, whitening
+from logsieve.llm import chat, decontam, fingerprints, langid, linededup, lm, mixing, near, prefixtrie, quality, tokencount, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,6 +126,11 @@ def op8_lm_scoring(spark, d):
     return scored.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), *scored.columns[1:])
 
 
+@query
+def op11_conversation_prefix_trie(spark, d):
+    return prefixtrie.trie(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 @query
 def op12_token_counts(spark, d):
     import public_tokenizers

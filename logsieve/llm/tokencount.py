@@ -93,13 +93,14 @@ def _text(value: bytes | None) -> str:
 
 def count_pretokens(docs: DataFrame, name: str) -> DataFrame:
     """pretoken, n over docs (text as binary)."""
+    most = HELD // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, found = _cutter(name), Counter()
         for b in batches:
             for value in b.column("text"):
                 found.update(cutter.cut(_text(value.as_py()))[0])
-                if len(found) > HELD // 4:
+                if len(found) > most:
                     yield _counts(found)
                     found = Counter()
         yield _counts(found)
@@ -124,7 +125,7 @@ def count_pieces(pretokens: DataFrame, name: str) -> DataFrame:
 def frequencies(docs: DataFrame, frequent: dict[str, int], name: str) -> DataFrame:
     """For each block of docs (doc_id, text as binary, row): a row of its documents with the tokens of special
     and frequent pre-tokens, and a row for each other pre-token with the documents that have it and how often."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared, most = docs.sparkSession.sparkContext.broadcast(frequent), HELD
 
     def block(docs_: list[tuple], rest: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
         base = docs_[0][0]
@@ -154,7 +155,7 @@ def frequencies(docs: DataFrame, frequent: dict[str, int], name: str) -> DataFra
                     else:
                         tokens += known * n
                 docs_.append((row, doc, len(raw or b""), tokens))
-                if held > HELD or len(docs_) > HELD // 10:
+                if held > most or len(docs_) > most // 10:
                     yield from block(docs_, rest)
                     docs_, rest, held = [], {}, 0
         if docs_:
