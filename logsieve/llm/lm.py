@@ -12,8 +12,9 @@ training tokens, N their number and V the number of different ones:
 so that p(. | h) sums to exactly one. The first history is a start mark, the last token an end mark.
 
 Pairs of very frequent words (each at least a HOT-th of all tokens: a table of fixed size) are scored where
-the texts are. All other pairs are dealt to buckets by the second word, those with a frequent second word by
-both words. A bucket's task counts its pairs, writes them as a part of the model table and sums, for
+the texts are. All other pairs are dealt to buckets by the second word, those whose second word makes up a KNOWN-th
+of all tokens or more (again a table of fixed size, with their counts) by both words, so no word fills a bucket. A
+bucket's task counts its pairs, a few words at a time, writes them as a part of the model table and sums, for
 each document, what its pairs add to the score. What depends on the history alone is split off:
 -log c(h) is added where h is the second word, and only pairs not seen in training are joined with the
 backoff table. So texts are never shuffled and each pair travels once.
@@ -35,20 +36,22 @@ from logsieve.llm.words import U64, mix
 from logsieve.sources import store
 
 K = 5
-HOT = 512
+HOT, KNOWN = 512, 1 << 16
 START, END = U64(0x5354415254), U64(0x454E44)
 #: Tokens of one block of texts, and of one bucket.
 BLOCK, BUCKET = 500_000, 1_500_000
+#: Parts of a bucket that are counted one after the other, by the hash of the second word.
+PARTS = 8
 #: Entries of one row of the model or of sums, and bytes of one Arrow batch: what a task holds besides its bucket.
 ROW_LEN, BATCH = 200_000, 8 << 20
 #: Counts of a document's pairs by r, in one number; a larger count takes several entries.
 BITS = 12
 DIGIT = 1 << BITS
 L64 = pa.list_(pa.int64())
-ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, ids array<long>, size array<long>, s array<double>, b array<double>, s4 array<float>, b4 array<float>, known array<long>, k array<long>"
+ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, ids array<long>, size array<long>, s array<double>, b array<double>, known array<long>, k array<long>"
 FIELDS = pa.schema([
     ("bucket", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("w", L64), ("h", L64), ("n", L64), ("ids", L64), ("size", L64),
-    ("s", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())), ("s4", pa.list_(pa.float32())), ("b4", pa.list_(pa.float32())),
+    ("s", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())),
     ("known", L64), ("k", L64),
 ])
 #: Kinds of rows: pairs of a bucket in the model, a block's documents, a block's pairs, sums for documents, pairs not seen.
@@ -82,10 +85,8 @@ def _at_words(w: np.ndarray) -> list[int]:
     return np.unique(np.concatenate([new[np.searchsorted(new, _even(len(w))[:-1])], [len(w)]])).tolist()
 
 
-def _packed(at: np.ndarray, n: np.ndarray, m: int) -> Iterator[np.ndarray]:
-    """How many of each of m documents' pairs occur 1 to K times, as digits; several numbers if counts are large."""
-    low = n <= K
-    k = np.bincount(at[low] * K + n[low] - 1, minlength=m * K).reshape(m, K)
+def _packed(k: np.ndarray) -> Iterator[np.ndarray]:
+    """How many of each document's pairs occur 1 to K times, as digits; several numbers if counts are large."""
     while True:
         part = np.minimum(k, DIGIT - 1)
         yield part @ (DIGIT ** np.arange(K))
@@ -117,8 +118,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Frequent:
     """The frequent words' counts and how often each follows each, at most (HOT + 2) squared numbers."""
 
-    def __init__(self, found: dict[int, int], n_docs: int):
-        count = {w & (1 << 64) - 1: n for w, n in found.items()} | {int(START): n_docs, int(END): n_docs}
+    def __init__(self, found: dict[int, int], n_docs: int, least: float = 0):
+        """found: counts of all words that are a KNOWN-th of all tokens; the frequent ones among them occur ``least`` times."""
+        known = {w & (1 << 64) - 1: n for w, n in found.items()} | {int(START): n_docs, int(END): n_docs}
+        self.known = np.array(sorted(known), U64)
+        self.known_count = np.array([known[int(w)] for w in self.known], np.int64)
+        count = {w: n for w, n in known.items() if n >= least or w in (int(START), int(END))}
         self.words = np.array(sorted(count), U64)
         self.count = np.array([count[int(w)] for w in self.words], np.int64)
         self.pairs = np.zeros((len(self.words), len(self.words)), np.int64)
@@ -129,6 +134,11 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         return np.where(self.words[at] == w, at, -1)
 
+    def counts(self, w: np.ndarray) -> np.ndarray:
+        """Count of each word, -1 for those that make up less than a KNOWN-th of all tokens."""
+        at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
+        return np.where(self.known[at] == w, self.known_count[at], -1)
+
 
 def count_frequent(docs: DataFrame, frequent: Frequent) -> np.ndarray:
     shared, size = docs.sparkSession.sparkContext.broadcast(frequent), len(frequent.words)
@@ -204,11 +214,12 @@ def deal(docs: DataFrame, frequent: Frequent, scale: Scale, buckets: int, traini
                 bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), kind=DOCS, base=base, ids=b.column("doc_id").to_pylist(),
                 size=np.bincount(doc, minlength=m), s=s, b=per(np.log10(sc.p(c))), known=np.bincount(d[c > 0], minlength=m),
             )
-            for k in _packed(d, n, m) if training else ():
+            low = n <= K
+            for k in _packed(np.bincount(d[low] * K + n[low] - 1, minlength=m * K).reshape(m, K)) if training else ():
                 yield _row(bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), kind=SUMS, base=base, ids=base + np.arange(m), k=k)
             rest = ~both
-            h, w, doc, j = h[rest], w[rest], doc[rest], j[rest]
-            bucket = np.where(j >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
+            h, w, doc = h[rest], w[rest], doc[rest]
+            bucket = np.where(hot.counts(w) >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
             order = np.argsort((bucket << U64(44)) | (mix(w) >> U64(20)), kind="stable")
             h, w, doc, bucket = h[order].view(np.int64), w[order].view(np.int64), doc[order], bucket[order]
             cuts = [*np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist(), len(bucket)]
@@ -224,9 +235,17 @@ def _flat(t: pa.Table, name: str, kind=np.int64) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of the asked keys (sorted keys), 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
 def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, training: bool) -> DataFrame:
     """For each bucket: its MODEL row (in training), SUMS for documents, and DOCS rows as they are; UNSEEN pairs (not in training)."""
-    shared = dealt.sparkSession.sparkContext.broadcast((frequent, scale))
+    shared, parts = dealt.sparkSession.sparkContext.broadcast((frequent, scale)), PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, sc = shared.value
@@ -235,50 +254,60 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
             docs = t.filter(pa.array((kind == DOCS) | (kind == SUMS)))
             if docs.num_rows:
                 yield from docs.to_batches()
-            pairs = t.filter(pa.array(kind == PAIRS))
+            pairs, model = (t.select(["base", "w", "h", "n"]).filter(pa.array(kind == k)) for k in (PAIRS, MODEL))
+            del t, docs
             w, h = _flat(pairs, "w").view(U64), _flat(pairs, "h").view(U64)
             if not len(w):
                 continue
-            each = [len(x) for x in pairs.column("w")]
+            each = pa.compute.list_value_length(pairs.column("w")).to_numpy()
             doc = _flat(pairs, "n") + np.repeat(pairs.column("base").to_numpy(), each)
-            p = _pair(w, h)
-            j = hot.find(w)
-            if training:
-                u, first, back, n = np.unique(p, return_index=True, return_inverse=True, return_counts=True)
-                cold, where, count = np.unique(w, return_inverse=True, return_counts=True)
-                c = np.where(j >= 0, hot.count[j], count[where])
-                order = np.argsort(w[first], kind="stable")
-                mw, mh = w[first][order], h[first][order]
-                # a word's pairs stay in one row, so that its count can be read from there
-                yield from _rows(_at_words(mw), bucket=bucket, kind=MODEL, w=mw.view(np.int64), h=mh.view(np.int64), n=n[order])
-                n = n[back]
-                s = np.where(n <= K, np.log10(n), np.log10(n * (n / (n + 1.0))))
-            else:
-                model = t.filter(pa.array(kind == MODEL))
-                mw, mh, mn = _flat(model, "w").view(U64), _flat(model, "h").view(U64), _flat(model, "n")
-                cold, where = np.unique(mw, return_inverse=True)
-                count = np.bincount(where, weights=mn, minlength=len(cold)).astype(np.int64)
-                at = np.minimum(np.searchsorted(cold, w), max(len(cold) - 1, 0))
-                c = np.where(j >= 0, hot.count[j], np.where(cold[at] == w, count[at], 0) if len(cold) else 0)
-                key = _pair(mw, mh)
-                order = np.argsort(key)
-                key, mn = key[order], mn[order]
-                at = np.minimum(np.searchsorted(key, p), max(len(key) - 1, 0))
-                n = np.where(key[at] == p, mn[at], 0) if len(key) else np.zeros(len(p), np.int64)
-                i = hot.find(h)
-                s = np.log10(np.where(n > 0, sc.kept(np.maximum(n, 1)), sc.p(c))) + np.where((n == 0) & (i >= 0), hot.backoff[i], 0.0)
-                lost = (n == 0) & (i < 0)
-                if lost.any():
-                    yield from _rows(_even(int(lost.sum())), bucket=bucket, kind=UNSEEN, h=h[lost].view(np.int64), ids=doc[lost])
-            ids, at = np.unique(doc, return_inverse=True)
-            per = lambda x: np.bincount(at, weights=x, minlength=len(ids))  # noqa: E731, B023
-            sums = {"s4": per(s + _history(c, w)).astype(np.float32), "b4": per(np.log10(sc.p(c))).astype(np.float32)}
+            mw, mh, mn = (_flat(model, k) for k in ("w", "h", "n"))
+            mw, mh = mw.view(U64), mh.view(U64)
+            del pairs, model
+            ids = np.unique(doc)
+            score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            of_count = np.zeros(len(ids) * K, np.int64)
+            # all pairs of a word are in one part, so that its count can be read from there
+            part, of_model = (mix(w + U64(2)) % U64(parts)).astype(np.int8), (mix(mw + U64(2)) % U64(parts)).astype(np.int8)
+            for k in range(parts):
+                mine = np.flatnonzero(part == k)
+                pw, ph, at = w[mine], h[mine], np.searchsorted(ids, doc[mine])
+                p, c = _pair(pw, ph), hot.counts(pw)
+                if training:
+                    u, first, back, n = np.unique(p, return_index=True, return_inverse=True, return_counts=True)
+                    cold, where, count = np.unique(pw, return_inverse=True, return_counts=True)
+                    c = np.where(c >= 0, c, count[where])
+                    order = np.argsort(pw[first], kind="stable")
+                    lw, lh = pw[first][order], ph[first][order]
+                    # a word's pairs stay in one row
+                    yield from _rows(_at_words(lw), bucket=bucket, kind=MODEL, w=lw.view(np.int64), h=lh.view(np.int64), n=n[order])
+                    n = n[back]
+                    s = np.where(n <= K, np.log10(n), np.log10(n * (n / (n + 1.0))))
+                    low = n <= K
+                    of_count += np.bincount(at[low] * K + n[low] - 1, minlength=len(ids) * K)
+                else:
+                    sub = of_model == k
+                    cold, where = np.unique(mw[sub], return_inverse=True)
+                    count = np.bincount(where, weights=mn[sub], minlength=len(cold)).astype(np.int64)
+                    c = np.where(c >= 0, c, _found(cold, count, pw))
+                    key = _pair(mw[sub], mh[sub])
+                    order = np.argsort(key)
+                    n = _found(key[order], mn[sub][order], p)
+                    i = hot.find(ph)
+                    s = np.log10(np.where(n > 0, sc.kept(np.maximum(n, 1)), sc.p(c))) + np.where((n == 0) & (i >= 0), hot.backoff[i], 0.0)
+                    lost = (n == 0) & (i < 0)
+                    if lost.any():
+                        yield from _rows(_even(int(lost.sum())), bucket=bucket, kind=UNSEEN, h=ph[lost].view(np.int64), ids=ids[at[lost]])
+                    known += np.bincount(at[c > 0], minlength=len(ids))
+                score += np.bincount(at, weights=s + _history(c, pw), minlength=len(ids))
+                base += np.bincount(at, weights=np.log10(sc.p(c)), minlength=len(ids))
+            sums = {"s": score, "b": base}
             if training:  # all tokens are known
-                for k in _packed(at, n, len(ids)):
-                    yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, k=k, **sums)
+                for digits in _packed(of_count.reshape(-1, K)):
+                    yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, k=digits, **sums)
                     sums = {}
             else:
-                yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, known=per((c > 0).astype(float)).astype(np.int64), **sums)
+                yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, known=known, **sums)
 
     # a bucket's rows follow each other, the model's first
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ROW)
@@ -295,8 +324,8 @@ def backoff(model: DataFrame, unigrams: DataFrame, frequent: Frequent, scale: Sc
                 w, h, n = (b.column(x)[r].values.to_numpy(zero_copy_only=False) for x in ("w", "h", "n"))
                 w = w.view(U64)
                 cold, where = np.unique(w, return_inverse=True)
-                count, j = np.bincount(where, weights=n), hot.find(w)
-                c = np.where(j >= 0, hot.count[j], count[where])
+                count, c = np.bincount(where, weights=n), hot.counts(w)
+                c = np.where(c >= 0, c, count[where])
                 u, back = np.unique(h, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(u), pa.array(np.bincount(back, weights=sc.p(c))), pa.array(np.bincount(back, weights=sc.kept(n)))], names=["h", "sp", "sd"]
@@ -335,9 +364,9 @@ def _score(docs: DataFrame, training: F.Column) -> DataFrame:
     unigrams = store.materialize(count_words(known.select("text", "size")), "lm-words")
     total = unigrams.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("w") == int(END), F.col("n")))).first()
     scale, n_docs = Scale(total[0] or 0, total[1]), total[2] or 0
-    # at most HOT words reach a HOT-th of all tokens
-    found = {r["w"]: r["n"] for r in unigrams.where(F.col("n") * HOT >= scale.n).collect()} if scale.n else {}
-    frequent = Frequent(found, n_docs)
+    # at most KNOWN words reach a KNOWN-th of all tokens, and HOT a HOT-th
+    found = {r["w"]: r["n"] for r in unigrams.where(F.col("n") * KNOWN >= scale.n).collect()} if scale.n else {}
+    frequent = Frequent(found, n_docs, scale.n / HOT)
     frequent.pairs = count_frequent(known.select("text", "size"), frequent)
     buckets = max(1, -(-scale.n // BUCKET))
     dealt = deal(known.select("doc_id", "text", "size"), frequent, scale, buckets, True)
@@ -374,7 +403,7 @@ def _summed(rows: DataFrame, logs: list[float] | None, more: DataFrame | None =
     extra = F.lit(0.0) if logs is None else sum((digits[i] * logs[i] for i in range(K)), F.lit(0.0))
     zero = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
     given = lambda name, kind: F.coalesce(F.col(name), F.array().cast(f"array<{kind}>"))
-    parts = [("s4", "float", "s"), ("b4", "float", "b"), ("known", "bigint", "known"), ("k", "bigint", "k")]
+    parts = [("s", "double", "s"), ("b", "double", "b"), ("known", "bigint", "known"), ("k", "bigint", "k")]
     rest = sums.select(F.inline(F.arrays_zip(F.col("ids").alias("row"), *[given(n, t).alias(to) for n, t, to in parts])))
     rest = rest.select("row", (zero("s") + F.coalesce(extra, F.lit(0.0))).alias("s"), zero("b").alias("b"), F.coalesce("known", F.lit(0)).alias("known"))
     flat = own.select("row", "s", "b", "known").unionByName(rest)
