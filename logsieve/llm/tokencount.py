@@ -3,13 +3,13 @@
 A byte-level tokenizer cuts a text into pre-tokens and merges bytes within each; no piece crosses a
 border between two. So a text's tokens are the sum over its pre-tokens of how many pieces each has:
 
-1. All texts are cut, and the distinct pre-tokens of all of them are counted.
-2. The library counts the pieces of each distinct pre-token once. No ids are kept.
-3. Every document's pre-token frequencies are joined with these counts and summed. At most FREQUENT
-   pre-tokens make up a FREQUENT-th of all occurrences or more; those of at most LONGEST bytes form a
-   table of bounded size that goes to every task. All others meet the counts in an equality join on the
-   pre-token: a block of texts sends each of them once, with its documents and frequencies, and no such
-   key can be hot unless it is longer than LONGEST bytes (then Spark splits the join's side).
+1. All texts are cut once. A block of neighbouring documents writes each of its different pre-tokens once, with the
+   documents that have it and how often. These frequencies are kept; the texts are not read again.
+2. The library counts the pieces of each distinct pre-token of the corpus once. No ids are kept.
+3. The frequencies are joined with these counts and summed by document. At most FREQUENT pre-tokens make up a
+   FREQUENT-th of all occurrences or more; those of at most LONGEST bytes form a table of bounded size that goes to
+   every task. All others meet the counts in a sorted equality join on the pre-token; there no key can be hot unless it
+   is longer than LONGEST bytes (then Spark splits the join's side).
 
 Special tokens of the tokenizer that stand in a text count as one token each and separate what is around
 them, as is the library's default. Texts with characters that the regular expressions here don't know
@@ -19,6 +19,7 @@ Null and empty texts have 0 bytes and 0 tokens. Every row gives one row, repeate
 other columns are left out. An empty table gives an empty result.
 """
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,17 +35,19 @@ from logsieve.sources import store
 
 #: Bounds of the table that goes to every task: its entries, and bytes of each.
 FREQUENT, LONGEST = 1 << 16, 256
-#: Entries (of a pre-token in a document) that a task holds before it writes them.
-HELD = 2_000_000
+#: Entries (of a pre-token in a document) and documents of a block. Entries are written as place << 16 | frequency,
+#: so a block has at most 65536 documents; a larger frequency takes several entries.
+HELD, DOCS = 2_000_000, 1 << 16
+MOST = (1 << 16) - 1
 #: Fixed values of byte-level pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT, _UNKNOWN = regex.compile(PATTERN), regex.compile(r"\p{Cn}")
-I64, L32 = pa.int64(), pa.list_(pa.int32())
+I64 = pa.int64()
 FIELDS = pa.schema([
-    ("pretoken", pa.string()), ("base", I64), ("at", L32), ("n", L32),
+    ("pretoken", pa.string()), ("base", I64), ("n", I64), ("entries", pa.binary()),
     ("doc_id", pa.list_(I64)), ("n_bytes", pa.list_(I64)), ("n_tokens", pa.list_(I64)),
 ])
-ROW = "pretoken string, base long, at array<int>, n array<int>, doc_id array<long>, n_bytes array<long>, n_tokens array<long>"
+ROW = "pretoken string, base long, n long, entries binary, doc_id array<long>, n_bytes array<long>, n_tokens array<long>"
 
 
 class Cutter:
@@ -91,27 +94,6 @@ def _text(value: bytes | None) -> str:
     return (value or b"").decode("utf-8", "replace")
 
 
-def count_pretokens(docs: DataFrame, name: str) -> DataFrame:
-    """pretoken, n over docs (text as binary)."""
-    most = HELD // 4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, found = _cutter(name), Counter()
-        for b in batches:
-            for value in b.column("text"):
-                found.update(cutter.cut(_text(value.as_py()))[0])
-                if len(found) > most:
-                    yield _counts(found)
-                    found = Counter()
-        yield _counts(found)
-
-    return docs.select("text").mapInArrow(run, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-
-
-def _counts(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), I64)], names=["pretoken", "n"])
-
-
 def count_pieces(pretokens: DataFrame, name: str) -> DataFrame:
     """pretokens (pretoken, n) with pieces."""
 
@@ -122,67 +104,93 @@ def count_pieces(pretokens: DataFrame, name: str) -> DataFrame:
     return pretokens.mapInArrow(run, "pretoken string, n long, pieces long")
 
 
-def frequencies(docs: DataFrame, frequent: dict[str, int], name: str) -> DataFrame:
-    """For each block of docs (doc_id, text as binary, row): a row of its documents with the tokens of special
-    and frequent pre-tokens, and a row for each other pre-token with the documents that have it and how often."""
-    shared, most = docs.sparkSession.sparkContext.broadcast(frequent), HELD
-
-    def block(docs_: list[tuple], rest: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
-        base = docs_[0][0]
-        ids, size, tokens = ([d[k] for d in docs_] for k in (1, 2, 3))
-        yield pa.RecordBatch.from_pylist([{"base": base, "doc_id": ids, "n_bytes": size, "n_tokens": tokens}], schema=FIELDS)
-        keys = list(rest)
+class Block:
+    """Pre-token frequencies of some neighbouring documents."""
+
+    def __init__(self, base: int):
+        self.base, self.index, self.docs = base, {}, []
+        self.ids, self.n, self.each = array("i"), array("q"), array("i")
+
+    def add(self, doc: int | None, size: int, found: Counter, special: int) -> None:
+        index = self.index
+        self.ids.extend([index.setdefault(k, len(index)) for k in found])
+        self.n.extend(found.values())
+        self.each.append(len(found))
+        self.docs.append((doc, size, special))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        ids, size, special = zip(*self.docs, strict=True)
+        yield pa.RecordBatch.from_pylist([{"base": self.base, "doc_id": ids, "n_bytes": size, "n_tokens": special}], schema=FIELDS)
+        at = np.repeat(np.arange(len(self.docs)), np.frombuffer(self.each, np.int32)) if self.docs else np.zeros(0, np.int64)
+        k, n = np.frombuffer(self.ids, np.int32), np.frombuffer(self.n, np.int64)
+        total = np.bincount(k, weights=n, minlength=len(self.index)).astype(np.int64)
+        times = (n + MOST - 1) // MOST
+        if (times > 1).any():
+            last = np.cumsum(times) - 1
+            k, at, rest = np.repeat(k, times), np.repeat(at, times), n - (times - 1) * MOST
+            n = np.full(len(k), MOST)
+            n[last] = rest
+        order = np.argsort(k, kind="stable")
+        entries = ((at[order] << 16) | n[order]).astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(k, minlength=len(self.index)))])
+        keys = list(self.index)
         for a in range(0, len(keys), 50_000):
-            each = [rest[k] for k in keys[a : a + 50_000]]
-            ends = np.concatenate([[0], np.cumsum([len(x) // 2 for x in each])]).astype(np.int32)
-            flat = np.array([x for e in each for x in e], np.int32).reshape(-1, 2)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(flat[:, k]))) for k in (0, 1)]
-            none = [pa.nulls(len(each), t) for t in FIELDS.types[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000], pa.string()), pa.array([base] * len(each), I64), *lists, *none], schema=FIELDS)
+            z = min(len(keys), a + 50_000)
+            own = entries[ends[a] : ends[z]].tobytes()
+            places = ((ends[a : z + 1] - ends[a]) * 4).astype(np.int32)
+            binary = pa.BinaryArray.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(own)])
+            none = [pa.nulls(z - a, t) for t in FIELDS.types[4:]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:z], pa.string()), pa.array([self.base] * (z - a), I64), pa.array(total[a:z]), binary, *none], schema=FIELDS)
+
+
+def frequencies(docs: DataFrame, name: str) -> DataFrame:
+    """For each block of docs (doc_id, text as binary, row): a row of its documents with the tokens of special strings,
+    and a row for each pre-token with how often it occurs and the documents that have it."""
+    held, most = HELD, DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, pieces = _cutter(name), shared.value
-        docs_, rest, held = [], {}, 0
+        cutter, block = _cutter(name), None
         for b in batches:
             for row, doc, value in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                if block is None:
+                    block = Block(row)
                 raw = value.as_py()
-                found, tokens = cutter.cut(_text(raw))
-                for k, n in found.items():
-                    known = pieces.get(k)
-                    if known is None:
-                        rest.setdefault(k, []).extend((len(docs_), n))
-                        held += 1
-                    else:
-                        tokens += known * n
-                docs_.append((row, doc, len(raw or b""), tokens))
-                if held > most or len(docs_) > most // 10:
-                    yield from block(docs_, rest)
-                    docs_, rest, held = [], {}, 0
-        if docs_:
-            yield from block(docs_, rest)
+                block.add(doc, len(raw or b""), *cutter.cut(_text(raw)))
+                if len(block.ids) > held or len(block.docs) >= most:
+                    yield from block.rows()
+                    block = None
+        if block:
+            yield from block.rows()
 
     return docs.mapInArrow(run, ROW)
 
 
 def sums(joined: DataFrame) -> DataFrame:
-    """base, at, tokens of joined (base, at, n, pieces): what the join found for each block's documents."""
+    """row, tokens of joined (base, entries, pieces), blocks one after the other: pieces times frequency, for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << 16, np.int64)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(total[at])], names=["row", "tokens"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            at, n = (b.column(k).flatten().to_numpy().astype(np.int64) for k in ("at", "n"))
-            each = pa.compute.list_value_length(b.column("at")).to_numpy()
-            tokens = n * np.repeat(b.column("pieces").to_numpy(), each)
-            base = np.repeat(b.column("base").to_numpy(), each)
-            # rows are numbered one after the other, so base + at is the row
-            u, back = np.unique(base + at, return_inverse=True)
-            total = np.zeros(len(u), np.int64)
-            np.add.at(total, back, tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total)], names=["row", "tokens"])
-
-    blocks = joined.sortWithinPartitions("base")
-    return blocks.mapInArrow(run, "row long, tokens long").groupBy("row").agg(F.sum("tokens").alias("tokens"))
+            base, pieces = b.column("base").to_numpy(), b.column("pieces").to_numpy()
+            for at in np.flatnonzero(np.diff(base, prepend=-1)).tolist():
+                last = at + int(np.searchsorted(base[at:] != base[at], True)) if (base[at:] != base[at]).any() else len(base)
+                if base[at] != now:
+                    if now is not None:
+                        yield out()
+                    now, total = int(base[at]), np.zeros(1 << 16, np.int64)
+                own = b.column("entries").slice(at, last - at)
+                entries = np.frombuffer(b"".join(own.to_pylist()), "<u4").astype(np.int64)
+                each = pa.compute.binary_length(own).to_numpy() // 4
+                total += np.bincount(entries >> 16, weights=(entries & MOST) * np.repeat(pieces[at:last], each), minlength=1 << 16).astype(np.int64)
+        if now is not None:
+            yield out()
+
+    return joined.mapInArrow(run, "row long, tokens long")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -194,17 +202,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     spark.sparkContext.addFile(tokenizer)
     name = tokenizer.rsplit("/", 1)[-1]
     light = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    known = store.materialize(count_pieces(count_pretokens(light, name), name), "pretokens")
+    parts = store.materialize(frequencies(light.withColumn("row", F.monotonically_increasing_id()), name), "pretoken-frequencies", compression="zstd")
+    found = parts.where("pretoken is not null").select("pretoken", "base", "n", "entries")
+    known = store.materialize(count_pieces(found.groupBy("pretoken").agg(F.sum("n").alias("n")), name), "pretokens")
     total = known.agg(F.sum("n")).first()[0] or 0
-    often = known.where((F.col("n") * FREQUENT >= total) & (F.octet_length("pretoken") <= LONGEST))
-    frequent = {r["pretoken"]: r["pieces"] for r in often.select("pretoken", "pieces").toLocalIterator()}
-    parts = store.materialize(frequencies(light.withColumn("row", F.monotonically_increasing_id()), frequent, name), "pretoken-frequencies")
-    rest = parts.where("pretoken is not null").select("pretoken", "base", "at", "n")
-    counts = known.where((F.col("n") * FREQUENT < total) | (F.octet_length("pretoken") > LONGEST)).select("pretoken", "pieces")
+    often = (F.col("n") * FREQUENT >= total) & (F.octet_length("pretoken") <= LONGEST)
+    # at most FREQUENT entries of at most LONGEST bytes
+    frequent = F.broadcast(known.where(often).select("pretoken", "pieces"))
+    near = found.join(frequent, "pretoken").select("base", "entries", "pieces")
     # by one strategy at every size, so that small inputs show what large ones need
-    found = sums(rest.join(counts.hint("merge"), "pretoken").select("base", "at", "n", "pieces"))
+    rest = found.join(frequent, "pretoken", "left_anti").drop("n").join(known.where(~often).drop("n").hint("merge"), "pretoken")
+    rest = rest.select("base", "entries", "pieces").sortWithinPartitions("base")
+    tokens = sums(near).unionByName(sums(rest)).groupBy("row").agg(F.sum("tokens").alias("tokens"))
     of_docs = parts.where("pretoken is null").select("base", F.posexplode(F.arrays_zip("doc_id", "n_bytes", "n_tokens")).alias("at", "d"))
     own = of_docs.select((F.col("base") + F.col("at")).alias("row"), "d.*")
-    both = own.join(found.hint("merge"), "row", "left")
     n = F.col("n_tokens") + F.coalesce("tokens", F.lit(0))
-    return both.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return own.join(tokens.hint("merge"), "row", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

@@ -115,7 +115,7 @@ def texts():
     rng = random.Random(3)
     odd = ["", " ", "\n\n \t x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "it's we'll I'VE", "x" * 5000, "é日本語 ß😀‍", "՘֋ a", "a\x00b", " " * 500 + "x", "12 345 ½", "�"]
     some = ["".join(rng.choice("ab cdé\n1.!'s語 ") for _ in range(rng.randrange(0, 200))) for _ in range(100)]
-    return [None, *odd, *some, "word " * 20000]
+    return [None, *odd, *some, "word " * 20000, "x!" * 70000]
 
 
 def test_token_counts_equal_the_library(spark, monkeypatch):
