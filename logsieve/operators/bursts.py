@@ -2,17 +2,11 @@
 
 A burst opens at a probe and takes every probe of the same address up to 120 s after
 its own start. Starts are more than 120 s apart, so a 120 s block holds at most one.
-The steps are: reduce probes to distinct milliseconds per address; cut addresses into
-islands at gaps of more than 120 s, seen from one row per block; walk each island once
-in time order to find the starts; give every probe its start by an equality join on the
-block; count. Only the walk is sequential. It streams over sorted distinct times with
-constant memory and works in parallel over islands.
+The steps are: reduce probes to distinct milliseconds per address; find the starts
+(``chains``, in parallel over chunks of a busy address); give every probe its start by an
+equality join on the block; count.
 """
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +14,7 @@ from logsieve import rules
 from logsieve.functions import paths as P
 from logsieve.functions import text as T
 from logsieve.functions.stage import hold, where_once
+from logsieve.operators import chains
 from logsieve.sources.store import materialize
 
 c = F.col
@@ -43,60 +38,6 @@ def probes(requests: DataFrame) -> DataFrame:
     )
 
 
-def islands(points: DataFrame) -> DataFrame:
-    """Block to island. One narrow row per address and 120 s block enters the window."""
-    blocks = points.groupBy("src_ip", "block").agg(
-        F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
-    )
-    order = Window.partitionBy("src_ip").orderBy("block")
-    opens = c("first_ms") - F.lag("last_ms").over(order) > GAP
-    new = F.when(F.coalesce(opens, F.lit(True)), c("block"))
-    island = F.max("opened").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        blocks.withColumn("opened", new)
-        .withColumn("island", island)
-        .select("src_ip", "block", "island")
-    )
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Burst starts from rows sorted by (address, island, time)."""
-    key, start = None, 0
-    for batch in batches:
-        if batch.empty:
-            continue
-        ips, isl, ms = (batch[n].to_numpy() for n in ("src_ip", "island", "ms"))
-        change = np.flatnonzero((ips[1:] != ips[:-1]) | (isl[1:] != isl[:-1])) + 1
-        found_ip, found_ms = [], []
-        for lo, hi in zip(np.r_[0, change], np.r_[change, len(ms)]):
-            times = ms[lo:hi]
-            at = 0
-            if key != (ips[lo], isl[lo]):
-                key, start = (ips[lo], isl[lo]), times[0]
-                found_ip.append(ips[lo])
-                found_ms.append(start)
-            while True:
-                at = np.searchsorted(times, start + GAP, side="right")
-                if at >= len(times):
-                    break
-                start = times[at]
-                found_ip.append(ips[lo])
-                found_ms.append(start)
-        if found_ms:
-            yield pd.DataFrame({"src_ip": found_ip, "start_ms": found_ms})
-
-
-def burst_starts(points: DataFrame) -> DataFrame:
-    walked = (
-        points.join(islands(points), ["src_ip", "block"])
-        .select("src_ip", "island", "ms")
-        .repartition("src_ip", "island")
-        .sortWithinPartitions("src_ip", "island", "ms")
-        .mapInPandas(_walk, "src_ip string, start_ms bigint")
-    )
-    return walked
-
-
 def assign_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Adds ``start_ms``: the start in the row's own block, else the one in the block before."""
     block = F.floor(c("start_ms") / GAP)
@@ -120,8 +61,17 @@ def assign_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
 def probing_bursts(requests: DataFrame) -> DataFrame:
     """One row per burst of at least three probes on at least three paths."""
     rows = materialize(probes(requests), "probes")  # narrow, few, and read three times
+    return summaries(with_starts(rows))
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Probes with the start of their burst, ``start_ms``."""
     points = rows.select("src_ip", "block", "ms").distinct()
-    assigned = assign_starts(rows, burst_starts(points))
+    return assign_starts(rows, chains.starts(points, GAP))
+
+
+def summaries(assigned: DataFrame) -> DataFrame:
+    """One row per burst of at least three probes on at least three paths."""
     html = (
         (c("status_code") == 200) & (c("content_type") == "text/html")
         & (c("response_body_bytes") > 0)
@@ -171,6 +121,7 @@ def probing_bursts(requests: DataFrame) -> DataFrame:
         (c("request_count") >= rules.BURST_MIN_REQUESTS)
         & (c("distinct_path_count") >= rules.BURST_MIN_PATHS)
     )
+    # Spark keeps the first few of each burst in every task before rows travel
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("first_seen"))
     first_paths = (
         values.where(is_path)
@@ -219,4 +170,20 @@ def probing_bursts(requests: DataFrame) -> DataFrame:
         F.when(repeated, c("top_size").cast("bigint")).alias("dominant_response_body_bytes"),
         F.when(repeated, c("top_size_rows")).alias("dominant_count"),
         hints.alias("reason_hints"),
+        F.lit(rules.BURST_NOTE).alias("interpretation_hint"),
+    )
+
+
+def burst_paths(requests: DataFrame) -> DataFrame:
+    """src_ip, start_ms, place, path: every distinct path of each burst, by first arrival."""
+    assigned = with_starts(materialize(probes(requests), "probes"))
+    key = ["src_ip", "start_ms"]
+    first = assigned.groupBy(*key, "path").agg(
+        F.count("*").alias("n"), F.min(F.struct("ms", "source_position", "id")).alias("arrival")
+    )
+    first = materialize(first, "burst-paths")
+    kept = first.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("paths")).where(
+        (c("n") >= rules.BURST_MIN_REQUESTS) & (c("paths") >= rules.BURST_MIN_PATHS)
     )
+    wanted = first.drop("n").join(kept.select(*key), key, "left_semi")
+    return chains.place_within(wanted, key, [c("arrival")]).select(*key, "place", "path")

@@ -1,106 +1,58 @@
-"""Probing bursts on a stream: one open burst per address, emitted when it closes.
+"""Probing bursts of a stream, with the whole record of the batch operator.
 
-The state of an address is one small row per distinct (millisecond, path) that is not
-yet covered by a closed burst, with a count: equal probes add to a count, not rows, and
-everything older than the watermark is gone.
-"""
+Each micro-batch adds its probes to those that are still open, finds the starts of all of them with the batch operator
+(a busy address in parallel chunks, see ``chains``), emits every burst that ended before the watermark and keeps the
+rest. The watermark is the latest time of any request less the allowed lateness; probes behind it are dropped and
+counted. A burst ends before the watermark only with its whole window, so no accepted probe can belong to it, and what
+is kept goes on as if nothing had been cut.
 
-from collections.abc import Iterator
+State is one table of open probes for each batch id, in the shared folder, and becomes valid with the batch's note
+(see ``commits``). A batch that is run again starts from the note before it and overwrites what it left, so bursts
+are neither lost nor doubled. No key has its own state in one task.
+"""
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from logsieve import rules
-from logsieve.operators.bursts import GAP, probes
-
-OUTPUT = (
-    "src_ip string, start_ms bigint, end_ms bigint, request_count bigint, "
-    "distinct_path_count bigint"
-)
-
-
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    names = [n.split()[0] for n in OUTPUT.split(", ")]
-    kinds = {n: object if n == "src_ip" else "int64" for n in names}
-    return pd.DataFrame(rows, columns=names).astype(kinds)
-
-
-class OpenBurst(StatefulProcessor):
-    """Waits out the allowed lateness, then walks the buffered times in order.
-
-    Times are kept per (millisecond, path) with a count. A timer fires once the
-    watermark is past the burst's end; what it covers is emitted and dropped.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "ms bigint, path string", "n bigint")
-        self.first = handle.getValueState("first", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        lowest = self.first.get()[0] if self.first.exists() else None
-        for pdf in rows:
-            counts = pdf.groupby(["ms", "path"]).size()
-            for (ms, path), n in counts.items():
-                at = (int(ms), path)
-                old = self.seen.getValue(at)[0] if self.seen.containsKey(at) else 0
-                self.seen.updateValue(at, (int(old) + int(n),))
-                lowest = int(ms) if lowest is None else min(lowest, int(ms))
-        if lowest is not None:
-            self._set_first(lowest)
-        yield _table([])
-
-    def _set_first(self, ms: int) -> None:
-        if self.first.exists():
-            if self.first.get()[0] == ms:
-                return
-            self.handle.deleteTimer(self.first.get()[0] + GAP)
-        self.first.update((ms,))
-        self.handle.registerTimer(ms + GAP)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Emit every burst that ended before the watermark; keep the first open one."""
-        watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((ms, path, n) for (ms, path), (n,) in self.seen.iterator())
-        self.first.clear()
-        closed, at = [], 0
-        while at < len(waiting):
-            start = waiting[at][0]
-            if start + GAP > watermark:
-                self._set_first(start)
-                break
-            total, paths, end = 0, set(), start
-            while at < len(waiting) and waiting[at][0] <= start + GAP:
-                end, path, n = waiting[at]
-                self.seen.removeKey((end, path))
-                total += n
-                paths.add(path)
-                at += 1
-            if total >= rules.BURST_MIN_REQUESTS and len(paths) >= rules.BURST_MIN_PATHS:
-                closed.append((key[0], start, end, total, len(paths)))
-        yield _table(closed)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_bursts(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Bursts of a stream of canonical requests. Rows later than ``late`` are dropped.
 
-    Needs the RocksDB state store provider.
-    """
-    rows = probes(requests).withColumn("event_time", F.timestamp_millis("ms")).withWatermark(
-        "event_time", late
-    )
-    return (
-        rows.select("src_ip", "ms", "path", "event_time")
-        .groupBy("src_ip")
-        .transformWithStateInPandas(
-            statefulProcessor=OpenBurst(),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
+from logsieve.operators import bursts
+from logsieve.sources import store
+from logsieve.streaming import commits
+
+c = F.col
+
+
+def tracker(path: str, late: str = "10 minutes"):
+    """Sink for ``foreachBatch`` over canonical requests: bursts below ``path/bursts``, open probes below ``path/open``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = commits.last_commit(spark, path, below=batch_id)
+        old, note = last or (None, {"watermark": None, "late_total": 0})
+        mark = note["watermark"]
+        clock, counted = Observation(), Observation()
+        timed = batch.observe(clock, F.max(F.unix_millis("log_time")).alias("latest"))
+        behind = F.lit(False) if mark is None else c("ms") < F.lit(mark)
+        rows = bursts.probes(timed).observe(counted, F.count_if(behind).alias("late")).where(~behind)
+        new = store.materialize(rows, "stream-probes")
+        waiting = new if old is None else new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/open/batch_id={old}"))
+        latest = clock.get["latest"]
+        reach = F.expr(f"interval {late}")
+        since = None if latest is None else spark.range(1).select(F.unix_millis(F.timestamp_millis(F.lit(latest)) - reach)).first()[0]
+        mark = max((x for x in (mark, since) if x is not None), default=None)
+        assigned = store.materialize(bursts.with_starts(waiting), "stream-starts")
+        closed = F.lit(False) if mark is None else c("start_ms") + bursts.GAP < F.lit(mark)
+        found = bursts.summaries(assigned.where(closed))
+        found.write.mode("overwrite").parquet(f"{path}/bursts/batch_id={batch_id}")
+        assigned.where(~closed).drop("start_ms").write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        commits.commit(spark, path, batch_id, {"watermark": mark, "late": counted.get["late"], "late_total": note["late_total"] + counted.get["late"]})
+        store.release(new, assigned)
+        if old is not None:  # this batch is run again from the one before it at most
+            earlier = commits.last_commit(spark, path, below=old)
+            if earlier is not None:
+                store.remove(spark, f"{path}/open/batch_id={earlier[0]}")
+
+    return write
+
+
+def read_bursts(spark: SparkSession, path: str) -> DataFrame:
+    return commits.read_committed(spark, path, "bursts")

@@ -2,13 +2,15 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import requests, row, table
 from pyspark.sql import functions as F
 
 from logsieve import rules
 from logsieve.functions.numbers import rounded_ratio
-from logsieve.operators import bursts, incidents, nearby, noise, score
+from logsieve.operators import bursts, chains, incidents, nearby, noise, score
 from logsieve.sources import store
 
 PROBES = [
@@ -58,15 +60,75 @@ def test_bursts_match_a_plain_loop(spark, seed):
     )
 
 
-def test_walk_carries_over_batches():
-    import pandas as pd
+def chain(times, gap):
+    out = []
+    for t in sorted(set(times)):
+        if not out or t > out[-1] + gap:
+            out.append(t)
+    return out
 
-    def frame(ms):
-        return pd.DataFrame({"src_ip": "a", "island": 0, "ms": ms})
 
-    got = [m for b in bursts._walk(iter([frame([0, 60_000]), frame([120_000, 120_001]),
-                                         frame([130_000, 240_002])])) for m in b.start_ms]
-    assert got == [0, 120_001, 240_002]  # 240 002 is 120 001 ms after the second start
+def test_walk_carries_over_batches():
+    def frame(ms, reach=None):
+        return pa.RecordBatch.from_pydict({"src_ip": ["a"] * len(ms), "chunk": [0] * len(ms), "ms": pa.array(ms, pa.int64()), "reach": pa.array([reach] * len(ms), pa.int64())})
+
+    def walked(*frames):
+        return [m for b in chains.walk(iter(frames), 120_000) for m in b.column("start_ms").to_pylist()]
+
+    rest = [frame([0, 60_000]), frame([120_000, 120_001]), frame([130_000, 240_002])]
+    assert walked(*rest) == [0, 120_001, 240_002]  # 240 002 is 120 001 ms after the second start
+    assert walked(frame([None], 60_000), *rest) == [120_000, 240_002]  # entered with a start at -60 000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_composed_steps_equal_the_chain(seed):
+    rnd, gap = random.Random(seed), 50
+    times, at = [], 0
+    for _ in range(300):
+        at += rnd.choice([1, 1, 2, 3, 30, 51, 200])
+        times.append(at)
+    cuts = sorted(rnd.sample(range(1, 300), 6))
+    parts = [np.array(times[a:z]) for a, z in zip([0, *cuts], [*cuts, 300], strict=True)]
+    held = chains.chunk_steps(parts[0], gap)
+    for p in parts[1:]:
+        held = chains.compose(held, chains.chunk_steps(p, gap), gap)
+    for reach in range(-10, times[0] + gap):
+        entered = [t for t in times if t > reach]
+        want = chain(entered, gap)[-1] + gap if entered else reach
+        assert chains.apply(*held, np.array([reach]))[0] == want
+
+
+def test_busy_address_is_walked_in_chunks(spark):
+    """One probe each millisecond over many chunks, sparse addresses beside it, three levels of composition."""
+    gap, rnd = 40, random.Random(3)
+    raw = [("busy", t) for t in range(5000, 9000)] + [("other", t) for t in rnd.sample(range(10_000), 700)] + [("one", 7)]
+    points = spark.createDataFrame(raw, "src_ip string, ms long").withColumn("block", F.floor(F.col("ms") / gap)).repartition(7)
+    got = sorted((r.src_ip, r.start_ms) for r in chains.starts(points, gap, chunk=100, fan=3).collect())
+    want = [(ip, t) for ip in {r[0] for r in raw} for t in chain([t for i, t in raw if i == ip], gap)]
+    assert got == sorted(want)
+    sizes = chains.starts(points, gap, chunk=10_000).count()
+    assert sizes == len(want)
+
+
+def test_places_in_groups_of_many_ranges(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, f"x{i}") for i in range(500)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o long, place_of string")
+    got = sorted((r.o, r.place) for r in chains.place_within(df, ["g"], [F.col("o")], rows=40).collect())
+    seen, want = {}, []
+    for g, o, _ in sorted(rows, key=lambda r: r[1]):
+        seen[g] = seen.get(g, 0) + 1
+        want.append((o, seen[g]))
+    assert got == want
+
+
+def test_all_paths_of_a_burst_are_in_order(spark):
+    rows = requests(spark, [row(i + 1, p, i) for i, p in enumerate([*PROBES, *PROBES[:3]])])
+    got = sorted((r.place, r.path) for r in bursts.burst_paths(rows).collect())
+    assert got == [(i, p.lower()) for i, p in enumerate(PROBES[:7], 1)]
+    assert [p for _, p in got] == bursts.probing_bursts(rows).collect()[0].sample_paths
+    assert bursts.burst_paths(requests(spark, [row(1, PROBES[0])])).collect() == []
 
 
 def split(spark, rows):

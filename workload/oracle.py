@@ -1003,7 +1003,9 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
         "UNION ALL (SELECT 'review', source_table || '|' || id FROM review ORDER BY pos, log_time, id LIMIT 20) "
         "UNION ALL (SELECT 'error', ci::VARCHAR FROM idx WHERE ci % 9 IN (4, 7, 8) ORDER BY ci LIMIT 5)", NOISE, review(), SUPPORT, BURSTS
     )
-    q["distinct_paths"] = with_(LOG, canon(ALL), BURSTS) + "SELECT ip AS src_ip, count(DISTINCT path) AS paths FROM pr GROUP BY ip"
+    q["distinct_paths"] = with_(LOG, canon(ALL), BURSTS) + (
+        "SELECT ip AS src_ip, b AS start_ms, row_number() OVER (PARTITION BY ip, b ORDER BY f) AS place, path FROM bpath SEMI JOIN bsum USING (ip, b)"
+    )
     # model tables
     q["triage_requests"] = inc_q(
         "SELECT ci AS candidate_index, '2026-04-01 15:00:00' AS window_start, '2026-04-02 15:00:00' AS window_end_exclusive, ikey AS incident_group_key, source_table, "
@@ -1042,7 +1044,5 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
     q["stream_noise_windows"] = judged_q(
         "SELECT (epoch_ms(log_time) // 120000) * 120000 AS window_start_ms, noise AS noise_category, count(*) AS count FROM left_out GROUP BY ALL"
     )
-    q["stream_bursts"] = with_(LOG, canon(ALL), BURSTS) + (
-        "SELECT src_ip, start_ms, end_ms, request_count, distinct_path_count FROM bursts"
-    )
+    q["stream_bursts"] = q["probing_bursts"]
     return q
