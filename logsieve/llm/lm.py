@@ -47,10 +47,13 @@ ROW_LEN, BATCH = 200_000, 8 << 20
 #: Counts of a document's pairs by r, in one number; a larger count takes several entries.
 BITS = 12
 DIGIT = 1 << BITS
+#: Rows whose sums one task adds up at a time.
+SPAN = 1 << 16
 L64 = pa.list_(pa.int64())
-ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, ids array<long>, size array<long>, s array<double>, b array<double>, known array<long>, k array<long>"
+ROW = "bucket int, kind int, base long, w array<long>, h array<long>, n array<long>, at array<int>, w4 array<int>, h4 array<int>, ids array<long>, size array<long>, s array<double>, b array<double>, known array<long>, k array<long>"
 FIELDS = pa.schema([
-    ("bucket", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("w", L64), ("h", L64), ("n", L64), ("ids", L64), ("size", L64),
+    ("bucket", pa.int32()), ("kind", pa.int32()), ("base", pa.int64()), ("w", L64), ("h", L64), ("n", L64),
+    ("at", pa.list_(pa.int32())), ("w4", pa.list_(pa.int32())), ("h4", pa.list_(pa.int32())), ("ids", L64), ("size", L64),
     ("s", pa.list_(pa.float64())), ("b", pa.list_(pa.float64())),
     ("known", L64), ("k", L64),
 ])
@@ -95,6 +98,13 @@ def _packed(k: np.ndarray) -> Iterator[np.ndarray]:
             return
 
 
+def _sum_rows(ids: np.ndarray, **x) -> Iterator[pa.RecordBatch]:
+    """SUMS rows for sorted row ids, cut so that each lies in one span; its first id is the row's base."""
+    cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(ids // SPAN, prepend=-1)), _even(len(ids))])).astype(int).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield from _rows([a, z], kind=SUMS, base=int(ids[a]) // SPAN * SPAN, ids=ids, **x)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of about BLOCK tokens."""
     for b in batches:
@@ -134,10 +144,15 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         return np.where(self.words[at] == w, at, -1)
 
-    def counts(self, w: np.ndarray) -> np.ndarray:
-        """Count of each word, -1 for those that make up less than a KNOWN-th of all tokens."""
+    def place(self, w: np.ndarray) -> np.ndarray:
+        """Place of each word among the known ones, -1 for those that make up less than a KNOWN-th of all tokens."""
         at = np.minimum(np.searchsorted(self.known, w), len(self.known) - 1)
-        return np.where(self.known[at] == w, self.known_count[at], -1)
+        return np.where(self.known[at] == w, at, -1)
+
+    def counts(self, w: np.ndarray) -> np.ndarray:
+        """Count of each word, -1 for those that aren't known."""
+        at = self.place(w)
+        return np.where(at >= 0, self.known_count[at], -1)
 
 
 def count_frequent(docs: DataFrame, frequent: Frequent) -> np.ndarray:
@@ -216,15 +231,20 @@ def deal(docs: DataFrame, frequent: Frequent, scale: Scale, buckets: int, traini
             )
             low = n <= K
             for k in _packed(np.bincount(d[low] * K + n[low] - 1, minlength=m * K).reshape(m, K)) if training else ():
-                yield _row(bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), kind=SUMS, base=base, ids=base + np.arange(m), k=k)
+                yield from _sum_rows(base + np.arange(m), bucket=int(mix(np.array([base], np.int64).view(U64))[0] % U64(buckets)), k=k)
             rest = ~both
             h, w, doc = h[rest], w[rest], doc[rest]
-            bucket = np.where(hot.counts(w) >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
-            order = np.argsort((bucket << U64(44)) | (mix(w) >> U64(20)), kind="stable")
-            h, w, doc, bucket = h[order].view(np.int64), w[order].view(np.int64), doc[order], bucket[order]
-            cuts = [*np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1)).tolist(), len(bucket)]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                yield _row(bucket=int(bucket[a]), kind=PAIRS, base=base, w=w[a:z], h=h[a:z], n=doc[a:z])
+            i, j = hot.place(h), hot.place(w)
+            bucket = np.where(j >= 0, _pair(w, h), mix(w + U64(1))) % U64(buckets)
+            short = (i >= 0) & (j >= 0)
+            # words of the known table travel as their places in it
+            for part, x, y, kind, names in ((short, j, i, np.int32, ("w4", "h4")), (~short, w.view(np.int64), h.view(np.int64), np.int64, ("w", "h"))):
+                mine = np.flatnonzero(part)
+                mine = mine[np.lexsort((mix(x[mine].astype(np.int64).view(U64)) if kind is np.int64 else x[mine], bucket[mine]))]
+                x, y, at, to = x[mine].astype(kind), y[mine].astype(kind), doc[mine].astype(np.int32), bucket[mine]
+                cuts = [*np.flatnonzero(np.diff(to.astype(np.int64), prepend=-1)).tolist(), len(to)]
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    yield _row(bucket=int(to[a]), kind=PAIRS, base=base, at=at[a:z], **{names[0]: x[a:z], names[1]: y[a:z]})
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(run, ROW)
@@ -254,13 +274,17 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
             docs = t.filter(pa.array((kind == DOCS) | (kind == SUMS)))
             if docs.num_rows:
                 yield from docs.to_batches()
-            pairs, model = (t.select(["base", "w", "h", "n"]).filter(pa.array(kind == k)) for k in (PAIRS, MODEL))
+            pairs, model = (t.select(["base", "w", "h", "n", "at", "w4", "h4"]).filter(pa.array(kind == k)) for k in (PAIRS, MODEL))
             del t, docs
-            w, h = _flat(pairs, "w").view(U64), _flat(pairs, "h").view(U64)
-            if not len(w):
+            if not pairs.num_rows:
                 continue
-            each = pa.compute.list_value_length(pairs.column("w")).to_numpy()
-            doc = _flat(pairs, "n") + np.repeat(pairs.column("base").to_numpy(), each)
+            long_ = pairs.column("w").is_valid()
+            wide, short = pairs.filter(long_), pairs.filter(pa.compute.invert(long_))
+            w, h = (np.concatenate([_flat(wide, k).view(U64), hot.known[_flat(short, f"{k}4", np.int32)]]) for k in ("w", "h"))
+            doc = np.concatenate([
+                _flat(x, "at") + np.repeat(x.column("base").to_numpy(), pa.compute.list_value_length(x.column("at")).to_numpy()) for x in (wide, short)
+            ])
+            del wide, short
             mw, mh, mn = (_flat(model, k) for k in ("w", "h", "n"))
             mw, mh = mw.view(U64), mh.view(U64)
             del pairs, model
@@ -304,10 +328,10 @@ def tally(dealt: DataFrame, buckets: int, frequent: Frequent, scale: Scale, trai
             sums = {"s": score, "b": base}
             if training:  # all tokens are known
                 for digits in _packed(of_count.reshape(-1, K)):
-                    yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, k=digits, **sums)
+                    yield from _sum_rows(ids, bucket=bucket, k=digits, **sums)
                     sums = {}
             else:
-                yield from _rows(_even(len(ids)), bucket=bucket, kind=SUMS, ids=ids, known=known, **sums)
+                yield from _sum_rows(ids, bucket=bucket, known=known, **sums)
 
     # a bucket's rows follow each other, the model's first
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, ROW)
@@ -396,16 +420,37 @@ def _summed(rows: DataFrame, logs: list[float] | None, more: DataFrame | None =
     """doc_id, n_tokens, n_known, base_score, score from DOCS and SUMS rows."""
     docs = rows.where(F.col("kind") == DOCS)
     row = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.col("base") + i)
-    sums = rows.where(F.col("kind") == SUMS)
-
     own = docs.select(F.inline(F.arrays_zip(row.alias("row"), F.col("ids").alias("doc_id"), "size", "s", "b", "known")))
-    digits = [F.shiftrightunsigned("k", BITS * i).bitwiseAND(DIGIT - 1) for i in range(K)]
-    extra = F.lit(0.0) if logs is None else sum((digits[i] * logs[i] for i in range(K)), F.lit(0.0))
-    zero = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-    given = lambda name, kind: F.coalesce(F.col(name), F.array().cast(f"array<{kind}>"))
-    parts = [("s", "double", "s"), ("b", "double", "b"), ("known", "bigint", "known"), ("k", "bigint", "k")]
-    rest = sums.select(F.inline(F.arrays_zip(F.col("ids").alias("row"), *[given(n, t).alias(to) for n, t, to in parts])))
-    rest = rest.select("row", (zero("s") + F.coalesce(extra, F.lit(0.0))).alias("s"), zero("b").alias("b"), F.coalesce("known", F.lit(0)).alias("known"))
+    of_digits = np.array(logs if logs is not None else [0.0] * K)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of all parts of a span, which follow each other."""
+        now, total = None, np.zeros((4, SPAN))
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(total[3])
+            cols = [pa.array(now + at), pa.array(total[0][at]), pa.array(total[1][at]), pa.array(total[2][at].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, names=["row", "s", "b", "known"])
+
+        for b in batches:
+            for i, base in enumerate(b.column("base").to_pylist()):
+                if base != now:
+                    if now is not None:
+                        yield out()
+                    now, total = base, np.zeros((4, SPAN))
+                ids, s, b_, known, k = (x.values.to_numpy(zero_copy_only=False) if (x := b.column(c)[i]).is_valid else None for c in ("ids", "s", "b", "known", "k"))
+                at = ids - base
+                for to, x in enumerate((s, b_, known)):
+                    if x is not None:
+                        total[to][at] += x
+                if k is not None:
+                    total[0][at] += ((k[:, None] >> (BITS * np.arange(K))) & (DIGIT - 1)) @ of_digits
+                total[3][at] = 1
+        if now is not None:
+            yield out()
+
+    sums = rows.where(F.col("kind") == SUMS).select("base", "ids", "s", "b", "known", "k")
+    rest = sums.repartition("base").sortWithinPartitions("base").mapInArrow(run, "row long, s double, b double, known long")
     flat = own.select("row", "s", "b", "known").unionByName(rest)
     if more is not None:
         flat = flat.unionByName(more.select("row", "s", F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("known")))
