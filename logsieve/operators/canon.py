@@ -102,8 +102,8 @@ def within(df: DataFrame, start=None, end=None) -> DataFrame:
     return df.where(out)
 
 
-def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame:
-    """Canonical rows of the wanted tables, in the caller's order, without duplicates."""
+def source_names(wanted="security") -> list[str]:
+    """The wanted tables in the caller's order, without duplicates."""
     names = wanted.split(",") if isinstance(wanted, str) else list(wanted)
     names = list(dict.fromkeys(n.strip().lower() for n in names if n.strip()))
     unknown = [n for n in names if n not in rules.SOURCES]
@@ -111,6 +111,12 @@ def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame
         raise ValueError(f"unknown source table: {unknown[0]}")
     if not names:
         raise ValueError("at least one source table is needed")
+    return names
+
+
+def select_sources(tables: dict[str, DataFrame], wanted="security") -> DataFrame:
+    """Canonical rows of the wanted tables, in the caller's order, without duplicates."""
+    names = source_names(wanted)
     out = None
     for position, name in enumerate(names):
         part = canon(tables[name], name, position)

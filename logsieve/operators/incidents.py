@@ -204,9 +204,12 @@ def error_correlation(requests: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def correlation_members(requests: DataFrame, errors: DataFrame) -> DataFrame:
-    """request_id, source_table, id of every row behind ``error_correlation``."""
+    """request_id, source_table, id, error_link_id, log_text of every row behind ``error_correlation``.
+
+    ``log_text`` is the error's own text, and null for requests.
+    """
     shared = error_correlation(requests, errors).select("request_id")
-    both = requests.select("request_id", "source_table", "id").unionByName(
-        errors.select("request_id", "source_table", "id")
-    )
+    link = T.identifier(c("error_link_id")).alias("error_link_id")
+    own = requests.select("request_id", "source_table", "id", link, F.lit(None).cast("string").alias("log_text"))
+    both = own.unionByName(errors.select("request_id", "source_table", "id", link, "log_text"))
     return both.withColumn("request_id", T.identifier(c("request_id"))).join(shared, "request_id")

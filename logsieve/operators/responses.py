@@ -13,11 +13,10 @@ from logsieve.functions.stage import hold
 
 c = F.col
 
-ANSWER_SCHEMA = (
-    "verdict string, severity string, confidence string, false_positive_possible boolean, "
-    "reasoning_summary string, evidence_fields array<string>, "
-    "recommended_actions array<string>"
-)
+ANSWER = {
+    "verdict": "string", "severity": "string", "confidence": "string", "false_positive_possible": "boolean",
+    "reasoning_summary": "string", "evidence_fields": "array<string>", "recommended_actions": "array<string>",
+}
 FOUND = ST.StructType(
     [ST.StructField("strategy", ST.StringType()), ST.StructField("json_text", ST.StringType())]
 )
@@ -88,17 +87,31 @@ def find_object(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["strategy", "json_text"])
 
 
+def _typed(answer: Column) -> list[Column]:
+    """The answer's fields; a value of another kind than its field's is NULL (a number is no text, a text no truth)."""
+    out = []
+    for name, kind in ANSWER.items():
+        value = F.try_variant_get(answer, f"$.{name}", kind)
+        shape = F.schema_of_variant(F.try_variant_get(answer, f"$.{name}", "variant"))
+        fits = shape.startswith("ARRAY") if kind.startswith("array") else shape == kind.upper()
+        out.append(F.when(fits, value).alias(name))
+    return out
+
+
 def read_answers(answers: DataFrame) -> DataFrame:
     """Adds ``strategy`` (direct, outer_object or a key of ``ERRORS``) and the typed answer fields.
 
-    The text is unfenced by a built-in expression and passes the search for its object once.
+    Texts that are a JSON object as a whole are read by built-in expressions. Only the others, prose around an
+    object or no object at all, reach the one Python step, which looks for the object.
     """
     body = T.trim_all(F.regexp_replace(T.raw_text(c("output_text")), FENCE, "$1"))
-    found = hold(answers, {"found": find_object(body)})
-    parsed = found.withColumn("answer", F.from_json("found.json_text", ANSWER_SCHEMA))
-    return parsed.select(
-        *answers.columns, c("found.strategy").alias("strategy"), "answer.*"
-    )
+    texts = hold(answers, {"_body": body})
+    read = hold(texts, {"_whole": F.try_parse_json("_body")})
+    is_object = F.coalesce(F.schema_of_variant("_whole").startswith("OBJECT"), F.lit(False))
+    direct = read.where(is_object).select(*answers.columns, F.lit("direct").alias("strategy"), *_typed(c("_whole")))
+    rest = hold(read.where(~is_object).drop("_whole"), {"found": find_object(c("_body"))})
+    rest = rest.withColumn("_part", F.try_parse_json(F.nullif(c("found.json_text"), F.lit(""))))
+    return direct.unionByName(rest.select(*answers.columns, c("found.strategy").alias("strategy"), *_typed(c("_part"))))
 
 
 def parse_responses(answers: DataFrame) -> DataFrame:

@@ -148,6 +148,12 @@ def triage_dedup(results: DataFrame, known_assets=()) -> DataFrame:
     return flag_known_assets(out.withColumn("incident_ref", ref), known_assets)
 
 
+def merged_request_ids(results: DataFrame) -> DataFrame:
+    """dedup_key, request_id of all rows behind each deduplicated incident, each pair once; no id is ``-``."""
+    keyed = results.withColumn("dedup_key", dedup_key())
+    return keyed.select("dedup_key", _or_dash("request_id").alias("request_id")).distinct()
+
+
 def rank_order() -> list[Column]:
     severity, confidence, table = _ranks()
     return [

@@ -1,5 +1,6 @@
 """Slices of stored log tables, and the export document."""
 
+import json
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -90,13 +91,69 @@ def export_counts(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def write_export(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON lines under ``path/<table>``, written in parallel."""
+class DamagedParts(ValueError):
+    """Parts of a stored document that are missing, unknown or not as they were written."""
+
+    def __init__(self, path: str, parts: list[str]):
+        super().__init__(f"damaged parts in {path}: {', '.join(parts)}")
+        self.parts = parts
+
+
+def part_sums(spark: SparkSession, path: str, names, fmt: str = "json") -> DataFrame:
+    """table, part, rows, checksum of every file of the tables below a path; rows may stand in any order.
+
+    The checksum adds up hashes of lines (JSON), or of all columns (Parquet).
+    """
+    out = None
+    for name in names:
+        rows = spark.read.text(f"{path}/{name}") if fmt == "json" else spark.read.format(fmt).load(f"{path}/{name}")
+        seen = rows.select(
+            F.lit(name).alias("table"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("part"),
+            F.pmod(F.xxhash64(*[c(f"`{n}`") for n in rows.columns]), F.lit(1 << 32)).alias("h"),
+        )
+        part = seen.groupBy("table", "part").agg(F.count("*").alias("rows"), F.sum("h").alias("checksum"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_manifest(spark: SparkSession, path: str, names, meta: dict, fmt: str = "json") -> None:
+    """``path/manifest`` with one row for each part, and ``path/header`` with the meta data and the row counts."""
+    part_sums(spark, path, names, fmt).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    found = {r["table"]: r["rows"] for r in rows.groupBy("table").agg(F.sum("rows").alias("rows")).collect()}
+    counts = {n: found.get(n, 0) for n in names}
+    header = {"meta": {**meta, "total_count": sum(counts.values())}, "counts": counts}
+    spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
+MANIFEST = "table string, part string, rows bigint, checksum bigint"
+
+
+def read_header(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/header").first()[0])
+
+
+def verify_parts(spark: SparkSession, path: str, names, fmt: str = "json") -> None:
+    """Raises DamagedParts with the names of the parts that differ from the manifest."""
+    said = spark.read.schema(MANIFEST).json(f"{path}/manifest").where(c("table").isin(list(names)))
+    found = part_sums(spark, path, names, fmt).select("table", "part", c("rows").alias("n"), c("checksum").alias("sum"))
+    same = c("rows").eqNullSafe(c("n")) & c("checksum").eqNullSafe(c("sum"))
+    bad = said.join(found, ["table", "part"], "full").where(~same).orderBy("table", "part").select("table", "part").collect()
+    if bad:
+        raise DamagedParts(path, [f"{r['table']}/{r['part']}" for r in bad])
+
+
+def write_export(tables: dict[str, DataFrame], path: str, meta: dict | None = None) -> None:
+    """The export document in parts: each table as JSON lines under ``path/<table>``, written in parallel, with a manifest."""
     for name, df in tables.items():
         export_rows(df).write.mode("overwrite").json(f"{path}/{name}")
+    write_manifest(next(iter(tables.values())).sparkSession, path, list(tables), meta or {})
 
 
-def read_export(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+def read_export(spark: SparkSession, path: str, schemas: dict[str, str], verify: bool = True) -> dict[str, DataFrame]:
+    """The tables of an export; ``verify`` compares every part with the manifest first."""
+    if verify:
+        verify_parts(spark, path, list(schemas))
     return {n: spark.read.schema(s).json(f"{path}/{n}") for n, s in schemas.items()}
 
 
@@ -113,9 +170,16 @@ def read_export_document(
     return {n: doc.select(F.inline(f"data.{n}")) for n in schemas}
 
 
-def write_artifacts(frames: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+def write_artifacts(frames: dict[str, DataFrame], path: str, fmt: str = "parquet", meta: dict | None = None) -> None:
+    """The results of a run, one folder each, with a manifest of their parts."""
     for name, df in frames.items():
         df.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+    write_manifest(next(iter(frames.values())).sparkSession, path, list(frames), meta or {}, fmt)
+
+
+def read_artifacts(spark: SparkSession, path: str, names, fmt: str = "parquet") -> dict[str, DataFrame]:
+    verify_parts(spark, path, names, fmt)
+    return {n: spark.read.format(fmt).load(f"{path}/{n}") for n in names}
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -87,7 +87,36 @@ def test_answers_are_searched_once(spark):
     shown = io.StringIO()
     with redirect_stdout(shown):
         responses.parse_responses(df).explain()
-    assert shown.getvalue().count("ArrowEvalPython") == 1
+    plan = shown.getvalue()
+    assert plan.count("ArrowEvalPython") == 1
+    below = plan[plan.index("ArrowEvalPython"):]
+    assert "Filter" in below  # only texts that are no object as a whole get there
+
+
+def test_values_of_another_kind_are_no_answers(spark):
+    odd = '{"verdict": 5, "severity": null, "false_positive_possible": "true", "evidence_fields": "uri", "recommended_actions": [1, "watch"]}'
+    for text in (odd, f"see {odd}"):
+        (r,) = responses.parse_responses(answers(spark, text)).collect()
+        assert (r.verdict, r.severity, r.false_positive_possible, r.evidence_fields) == (None, None, None, None)
+        assert r.recommended_actions == ["1", "watch"]
+
+
+def test_triage_on_answers(spark):
+    run = TriageRun({"security": attacks(spark, 3)}, "security")
+    bad = GOOD.replace('"high", "confidence"', '"extreme", "confidence"')
+    judged = run.with_answers(answers(spark, GOOD, bad, "no answer"))
+    assert [(r.verdict, r.severity) for r in judged.deduped.collect()] == [("suspicious_sqli", "high")]
+    assert judged.incidents is run.incidents and run.deduped.count() == 3
+    ids = {(r.dedup_key, r.request_id) for r in triage.merged_request_ids(run.results).collect()}
+    assert ids == {(f"request_id:r{i}", f"r{i}") for i in (1, 2, 3)}
+
+
+def test_counters_come_from_the_writes(spark):
+    run = TriageRun({"security": attacks(spark, 5)}, "security")
+    first = {r.counter: r.value for r in run.counts.collect()}
+    store.release(run.supporting, run.review, run.noise_groups)  # nothing is read to count it
+    assert {r.counter: r.value for r in run.counts.collect()} == first
+    assert run.rows("incidents") == first["candidate_rows"] == 5
 
 
 def test_valid_answers_become_results(spark):

@@ -775,16 +775,17 @@ def all_queries() -> dict[str, str]:
         f"UNION ALL SELECT 'error', count_if({ev} % 9 = 0) FROM log2 "
         f"UNION ALL SELECT 'total', count(*) + count_if({ev} % 5 = 0) + count_if({ev} % 9 = 0) FROM log2"
     )
-    q["read_export_json"] = req_q(f"SELECT source_table, id, {MS} FROM req", ALL)
     q["write_artifacts"] = inc_q(
-        "SELECT 'candidates' AS artifact, count(*) AS rows FROM inc UNION ALL SELECT 'noise', count_if(n >= 3) FROM ngrp "
-        "UNION ALL SELECT 'filtered', count(*) FROM through", NOISE
+        "SELECT 'candidates' AS artifact, ikey AS item, score AS value FROM inc UNION ALL "
+        "SELECT 'noise', concat_ws('|', noise, src_ip, uri, method, status_code, user_agent), n FROM ngrp WHERE n >= 3 "
+        "UNION ALL SELECT 'filtered', concat_ws('|', source_table, id, noise), status_code FROM through", NOISE
     )
     # fields
     q["canon_fields"] = req_q(
         "SELECT source_table, id, src_ip, method, uri, query, request_text, status_code, response_body_bytes, duration_us, ttfb_us, "
         f"req_content_type, resp_content_type, user_agent, referer, request_id, error_link_id, {MS} FROM req", ALL
     )
+    q["read_export_json"] = q["canon_fields"]
     page = r"regexp_replace(html, '%[89A-Fa-f][0-9A-Fa-f]', '', 'g')"
     q["url_decode_tolerant"] = f"SELECT page_id, md5({norm(page)}) AS decoded_md5 FROM pages"
     rows = " UNION ALL ".join(
@@ -1010,17 +1011,31 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
     q["triage_requests"] = inc_q(
         "SELECT ci AS candidate_index, '2026-04-01 15:00:00' AS window_start, '2026-04-02 15:00:00' AS window_end_exclusive, ikey AS incident_group_key, source_table, "
         "id AS log_id, src_ip, uri, query AS query_string, score, verdict AS verdict_hint, merged AS merged_row_count, "
-        "first_id AS first_log_id, last_id AS last_log_id, least(8, len(reasons)) AS hints, least(1200, len(trim(log_text))) AS excerpt_length FROM idx"
+        "first_id AS first_log_id, last_id AS last_log_id, least(8, len(reasons)) AS hints, md5(left(trim(log_text), 1200)) AS excerpt_md5, md5(request_text) AS request_md5, "
+        "user_agent, request_id, error_link_id FROM idx"
     )
     q["rule_triage"] = tri_q(
         "SELECT ci AS candidate_index, ikey AS incident_group_key, score, verdict AS verdict_hint, v AS verdict, sev AS severity, 'low' AS confidence, "
         "least(8, len(reasons)) AS evidence, 'manual_review' AS recommended_actions FROM res"
     )
-    enum = ", ".join(s(v) for v in rules.VERDICTS)
     q["validate_responses"] = tri_q(
-        "SELECT ci AS candidate_index, " + joined(
-            f"[CASE WHEN v NOT IN ({enum}) THEN 'verdict' END, CASE WHEN len(reasons) = 0 THEN 'evidence_fields' END, 'recommended_actions_value']"
-        ) + " AS violations, 0 AS valid FROM res"
+        "SELECT ci AS candidate_index, array_to_string(list_filter([CASE WHEN len(reasons) = 0 THEN 'evidence_fields' END, CASE WHEN ci % 9 = 6 THEN 'severity' END], lambda x: x IS NOT NULL), ',') AS violations, "
+        "CASE WHEN ci % 9 = 6 OR len(reasons) = 0 THEN 0 ELSE 1 END AS valid FROM res WHERE ci % 9 IN (0, 1, 2, 3, 5, 6)"
+    )
+    answered = tri_q(
+        "SELECT dkey AS dedup_key, ref AS incident_ref, dups AS duplicate_count, src_ip, uri, score, v AS verdict, sev AS severity, 'low' AS confidence, "
+        "'review_raw_log' AS recommended_actions, ci AS candidate_index FROM ded"
+    )
+    placed = f"CASE verdict {_MAP} ELSE 'inconclusive' END AS v"
+    q["answered_triage"] = answered.replace(placed, f"CASE verdict {_ENUM} ELSE 'inconclusive' END AS v").replace(
+        "AS dkey FROM idx)", "AS dkey FROM idx WHERE ci % 9 IN (0, 1, 2, 3, 5) AND len(reasons) > 0)"
+    )
+    q["triage_request_ids"] = tri_q("SELECT DISTINCT dkey AS dedup_key, CASE WHEN trim(request_id) = '' THEN '-' ELSE trim(request_id) END AS request_id FROM res")
+    q["error_members"] = req_q(
+        f"SELECT {ident('request_id')} AS request_id, source_table, id, {ident('error_link_id')} AS error_link_id, "
+        f"md5(CASE WHEN source_table = 'error' THEN log_text ELSE '' END) AS log_md5 FROM req WHERE {ident('request_id')} <> '' AND {ident('request_id')} IN "
+        f"(SELECT {ident('request_id')} FROM req WHERE source_table = 'security') AND {ident('request_id')} IN (SELECT {ident('request_id')} FROM req WHERE source_table = 'error')",
+        "security,error",
     )
     q["parse_responses"] = tri_q(
         f"SELECT ci AS candidate_index, CASE WHEN ci % 9 IN (2, 5) THEN 'outer_object' ELSE 'direct' END AS strategy, CASE verdict {_ENUM} ELSE 'inconclusive' END AS verdict, "
@@ -1039,6 +1054,50 @@ rawip AS (SELECT src_ip, count(*) AS raw FROM res GROUP BY src_ip)"""
         + kind.format("'no output text'", "'JSON root is not an object'", "'no JSON object found'") + " AS error_message, "
         f"len({excerpt}) AS excerpt_length, left({excerpt}, 10) AS excerpt_start FROM res WHERE ci % 9 IN (4, 7, 8)"
     )
+    def part(name: str, sql: str) -> str:
+        return f"SELECT {s(name)} AS section, * FROM ({sql})"
+
+    def shown(*fields: str) -> str:
+        return "concat_ws('|', " + ", ".join(f"coalesce(({f})::VARCHAR, '')" for f in fields) + ") AS item"
+
+    dist = q["triage_distributions"].split("SELECT 'verdicts'", 1)[1]
+    errors = "ci % 9 IN (4, 7, 8)"
+    number = [
+        "(SELECT count(*) FROM judged)", "(SELECT count(*) FROM inc)", "(SELECT count(*) FROM ded)", "(SELECT count(*) FROM left_out)", "(SELECT count(*) FROM through)",
+        "(SELECT count_if(n >= 3) FROM ngrp)", "(SELECT count(*) FROM sup)", "(SELECT count(*) FROM review)", "(SELECT count(*) FROM bursts)", "(SELECT count(*) FROM res)",
+        f"(SELECT count(*) FROM res WHERE {errors})",
+    ]
+    q["report_input"] = tri_q(
+        " UNION ALL ".join([
+            part("analysis_context", "SELECT 'Asia/Seoul||" "|routine|rules' AS item"),
+            part("pipeline_counts", f"SELECT {shown(*number)}"),
+            part("distributions", f"SELECT {shown('distribution', 'value', 'count')} FROM (SELECT 'verdicts'{dist})"),
+            part("filtered_out_breakdown", f"SELECT {shown('noise', 'count(*)')} FROM left_out GROUP BY noise"),
+            part("top_incidents", f"SELECT {shown('rk', 'ref', 'v', 'sev', 'score')} FROM ded WHERE rk <= 12"),
+            part(
+                "top_src_ips",
+                f"SELECT {shown('src_ip', 'incident_count', 'raw', 'msev')} FROM (SELECT b.*, r.raw FROM byip b JOIN rawip r ON r.src_ip = b.src_ip "
+                "ORDER BY sr DESC, incident_count DESC, b.src_ip LIMIT 8)",
+            ),
+            part(
+                "top_noise_groups",
+                f"SELECT {shown('noise', 'src_ip', 'uri', 'n')} FROM (SELECT * FROM ngrp WHERE n >= 3 ORDER BY n DESC, noise DESC, src_ip DESC, uri, method, status_code, user_agent LIMIT 8)",
+            ),
+            part("top_filtered_categories", f"SELECT {shown('category', 'count')} FROM shr"),
+            part("top_out_of_candidate_recon", f"SELECT {shown('category', 'count')} FROM shr WHERE category IN ('low_signal_fuzzing', 'low_signal_dir_probe')"),
+            part(
+                "probing_sequence_summaries",
+                f"SELECT {shown('src_ip', 'request_count', 'distinct_path_count', s(rules.BURST_NOTE))} FROM "
+                "(SELECT * FROM bursts ORDER BY request_count DESC, distinct_path_count DESC, start_ms DESC, src_ip LIMIT 10)",
+            ),
+            part("supporting_events", f"SELECT {shown('source_table', 'id', 'n')} FROM (SELECT * FROM sup ORDER BY n DESC, log_time DESC, pos, id LIMIT 20)"),
+            part("false_positive_review_candidates", f"SELECT {shown('source_table', 'id')} FROM (SELECT * FROM review ORDER BY pos, log_time, id LIMIT 20)"),
+            part("matched_known_assets", f"SELECT {shown('src_ip', 'count(*)')} FROM ded WHERE known GROUP BY src_ip"),
+            part("asset_context", f"SELECT {shown(s(','.join(W.KNOWN_ASSETS)), 'count_if(known)')} FROM ded"),
+            part("stage1_errors_excerpt", f"SELECT {shown('ci', kind.format(s('empty_output'), s('unexpected_error'), s('json_decode_error')))} FROM (SELECT ci FROM res WHERE {errors} ORDER BY ci LIMIT 5)"),
+        ]),
+        NOISE, review(), SUPPORT, BURSTS, top, share,
+    )
     # streams
     q["stream_candidates"] = judged_q(f"SELECT source_table, id, score, verdict AS verdict_hint, {joined('reasons')} AS reason_hints FROM cand")
     q["stream_noise_windows"] = judged_q(

@@ -227,28 +227,31 @@ def export_counts(spark, d):
 
 @query
 def read_export_json(spark, d):
+    """All columns of the three tables, written with a manifest, verified and read back."""
     path = store.scratch_path(spark, "export")
     src = R.source_tables(spark, d)
-    kept = {n: src[n].select("id", "log_time") for n in src}
-    tables.write_export(kept, path)
-    back = tables.read_export(spark, path, {n: "id bigint, log_time string" for n in src})
-    rows = canon.select_sources(back, ALL)
-    return rows.select(*ROW, ms("log_time"))
+    tables.write_export(src, path, {"table_option": ALL})
+    shapes = {n: ", ".join(f"`{f.name}` {'string' if f.name == 'log_time' else f.dataType.simpleString()}" for f in df.schema) for n, df in src.items()}
+    back = tables.read_export(spark, path, shapes)
+    return _canon_view(canon.select_sources(back, ALL))
 
 
 @query
 def write_artifacts(spark, d):
+    """The rows of the results that were written and read back."""
     run = run_of(spark, d)
     path = store.scratch_path(spark, "artifacts")
-    tables.write_artifacts(
-        {"candidates": run.incidents, "noise": run.noise_groups, "filtered": run.passed_through},
-        path,
-    )
+    frames = {"candidates": run.incidents, "noise": run.noise_groups, "filtered": run.passed_through}
+    tables.write_artifacts(frames, path)
+    back = tables.read_artifacts(spark, path, list(frames))
+    item = {
+        "candidates": ("incident_group_key", "score"),
+        "noise": (F.concat_ws("|", "noise_category", "src_ip", "uri", "method", "status_code", "user_agent"), "count"),
+        "filtered": (F.concat_ws("|", "source_table", "id", "noise_category"), "status_code"),
+    }
     out = None
-    for n in ("candidates", "noise", "filtered"):
-        part = spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("rows")).select(
-            F.lit(n).alias("artifact"), "rows"
-        )
+    for n, (key, value) in item.items():
+        part = back[n].select(F.lit(n).alias("artifact"), (c(key) if isinstance(key, str) else key).alias("item"), c(value).cast("bigint").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -258,7 +261,10 @@ def write_artifacts(spark, d):
 
 @query
 def canon_fields(spark, d):
-    r = requests(spark, d, ALL)
+    return _canon_view(requests(spark, d, ALL))
+
+
+def _canon_view(r: DataFrame) -> DataFrame:
     return r.select(
         *ROW, "src_ip", "method", "uri", "query", "request_text", "status_code",
         "response_body_bytes", "duration_us", "ttfb_us", "req_content_type",
@@ -880,10 +886,10 @@ def triage_requests(spark, d):
         "candidate_index", "window_start", "window_end_exclusive",
         *[c(f + n).alias(n) for n in (
             "incident_group_key", "source_table", "log_id", "src_ip", "uri", "query_string",
-            "score", "verdict_hint", "merged_row_count", "first_log_id", "last_log_id",
+            "score", "verdict_hint", "merged_row_count", "first_log_id", "last_log_id", "user_agent", "request_id", "error_link_id",
         )],
         F.size(f + "reason_hints").alias("hints"),
-        F.length(f + "raw_log_excerpt").alias("excerpt_length"),
+        F.md5(f + "raw_log_excerpt").alias("excerpt_md5"), F.md5(f + "raw_request").alias("request_md5"),
     )
 
 
@@ -930,9 +936,32 @@ def parse_responses(spark, d):
 
 @query
 def validate_responses(spark, d):
+    """The answers that could be read, judged."""
+    checked = responses.validate_responses(responses.parse_responses(_answers(run_of(spark, d))))
+    return checked.select("candidate_index", joined("violations"), yes("valid"))
+
+
+@query
+def answered_triage(spark, d):
+    """Deduplicated incidents of a run whose verdicts are a model's valid answers."""
     run = run_of(spark, d)
-    faithful = responses.validate_responses(run.results)
-    return faithful.select("candidate_index", joined("violations"), yes("valid"))
+    return run.with_answers(_answers(run)).deduped.select(
+        "dedup_key", "incident_ref", "duplicate_count", "src_ip", "uri", "score", "verdict", "severity", "confidence",
+        joined("recommended_actions"), "candidate_index",
+    )
+
+
+@query
+def triage_request_ids(spark, d):
+    return triage.merged_request_ids(run_of(spark, d).results)
+
+
+@query
+def error_members(spark, d):
+    src = R.source_tables(spark, d)
+    rows = [canon.select_sources(src, n) for n in ("security", "error")]
+    out = incidents.correlation_members(*rows)
+    return out.select("request_id", "source_table", "id", "error_link_id", F.md5(F.coalesce("log_text", F.lit(""))).alias("log_md5"))
 
 
 @query
@@ -953,10 +982,41 @@ def rule_triage(spark, d):
     )
 
 
+#: What is shown of each row of a section of the report.
+REPORT = {
+    "analysis_context": ("query_timezone", "window_start", "window_end_exclusive", "mode", "selected_model"),
+    "distributions": ("distribution", "value", "count"),
+    "filtered_out_breakdown": ("category", "count"),
+    "top_incidents": ("rank", "incident_ref", "verdict", "severity", "score"),
+    "top_src_ips": ("src_ip", "incident_count", "raw_row_count", "max_severity"),
+    "top_noise_groups": ("noise_category", "src_ip", "uri", "count"),
+    "top_filtered_categories": ("category", "count"),
+    "top_out_of_candidate_recon": ("category", "count"),
+    "probing_sequence_summaries": ("src_ip", "request_count", "distinct_path_count", "interpretation_hint"),
+    "supporting_events": ("source_table", "id", "nearby_candidate_count"),
+    "false_positive_review_candidates": ("source_table", "id"),
+    "matched_known_assets": ("src_ip", "incident_count"),
+    "asset_context": ("known_asset_ips", "matched_known_asset_incident_count"),
+    "stage1_errors_excerpt": ("candidate_index", "error_type"),
+}
+REPORT_COUNTS = (
+    "total_exported_rows", "candidate_rows", "distinct_incident_count", "filtered_out_rows", "filtered_out_non_aggregated_rows", "noise_group_count",
+    "supporting_event_count", "false_positive_review_candidate_count", "probing_sequence_summary_count", "stage1_success_count", "stage1_error_count",
+)
+
+
 @query
 def report_input(spark, d):
+    """The report's rows, read back from its JSON text."""
     run = run_of(spark, d)
-    return report.report_input(run, responses.triage_errors(_answers(run)))
+    made = report.report_input(run, responses.triage_errors(_answers(run)), {"mode": "routine", "selected_model": "rules"})
+    items = made.select(F.explode(F.from_json("report", "map<string, array<string>>")).alias("section", "rows"))
+    items = items.select("section", F.posexplode("rows").alias("place", "row"))
+    shown = F.lit(None).cast("string")
+    for name, fields in {**REPORT, "pipeline_counts": REPORT_COUNTS}.items():
+        text = F.concat_ws("|", *[F.coalesce(F.get_json_object("row", f"$.{f}"), F.lit("")) for f in fields])
+        shown = F.when(c("section") == name, text).otherwise(shown)
+    return items.select("section", shown.alias("item"))
 
 
 # -------------------------------------------------------------- 2.10 streams
