@@ -394,7 +394,7 @@ def _score(docs: DataFrame, training: F.Column) -> DataFrame:
     frequent.pairs = count_frequent(known.select("text", "size"), frequent)
     buckets = max(1, -(-scale.n // BUCKET))
     dealt = deal(known.select("doc_id", "text", "size"), frequent, scale, buckets, True)
-    learnt = store.materialize(tally(dealt, buckets, frequent, scale, True), "lm-model")
+    learnt = store.materialize(tally(dealt, buckets, frequent, scale, True), "lm-model", compression="zstd")
     model = learnt.where(F.col("kind") == MODEL)
     of_count = {r["r"]: r["n"] for r in model.select(F.explode("n").alias("r")).where(F.col("r") <= K + 1).groupBy("r").agg(F.count("*").alias("n")).collect()}
     hot_n = frequent.pairs[frequent.pairs > 0]
@@ -406,7 +406,7 @@ def _score(docs: DataFrame, training: F.Column) -> DataFrame:
     for r in weights.where(F.col("h").isin(list(keys))).collect():
         frequent.backoff[keys[r["h"]]] = r["value"]
     asked = deal(other.select("doc_id", "text", "size"), frequent, scale, buckets, False).unionByName(model)
-    judged = store.materialize(tally(asked, buckets, frequent, scale, False), "lm-held-out")
+    judged = store.materialize(tally(asked, buckets, frequent, scale, False), "lm-held-out", compression="zstd")
     lost = judged.where(F.col("kind") == UNSEEN).select(F.inline(F.arrays_zip("h", "ids"))).groupBy("h", "ids").agg(F.count("*").alias("n"))
     backed = lost.join(weights, "h").groupBy(F.col("ids").alias("row")).agg(F.sum(F.col("n") * F.col("value")).alias("s"))
     logs = [float(np.log10(d)) for d in scale.discount[1:]]

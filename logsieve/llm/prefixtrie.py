@@ -342,23 +342,32 @@ def trie(conversations: DataFrame, group: int = 20, head: int = 4) -> DataFrame:
     nodes = parts.where(F.col("kind") == NODE).groupBy(*key).agg(
         *[F.min(k).alias(k) for k in ("pa", "pb", "conv_id", "before")], F.sum("n").alias("n_convs"), F.max("ends").alias("ends")
     )
-    children = store.materialize(nodes, "nodes")
-    nodes, root = children, children.where("depth = 0").select("conv_id").first()
+    nodes = store.materialize(nodes, "nodes")
+    root = nodes.where("depth = 0").select("conv_id").first()
     if root is None:
         return conversations.sparkSession.createDataFrame(
             [], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
         )
-    children = nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
-    nodes = store.materialize(nodes.join(children, key, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
+    # facts about a node meet in one grouping, which needs less memory than a join for each kind
+    child = nodes.where("depth > 0").select((F.col("depth") - 1).alias("depth"), F.col("pa").alias("a"), F.col("pb").alias("b"), F.lit(1).alias("child"))
+    own = ["pa", "pb", "conv_id", "before", "n_convs", "ends"]
+    both = nodes.withColumn("child", F.lit(0)).unionByName(child, allowMissingColumns=True)
+    nodes = both.groupBy(*key).agg(*[F.max(k).alias(k) for k in own], F.sum("child").alias("n_children"))
+    nodes = store.materialize(nodes, "nodes")
     of_conv = nodes.groupBy("conv_id").agg(F.min("before").alias("t"), F.max((F.col("n_children") == 0).cast("long")).alias("leaf"))
     whole = parts.where((F.col("kind") == ROW) & (F.col("n") == 0)).select("conv_id", F.col("before").alias("whole"))
-    values = whole.join(of_conv, "conv_id", "left").select("conv_id", F.coalesce("t", "whole").alias("t"), F.coalesce("leaf", F.lit(0)).alias("leaf"))
-    sums = sum_members(parts, store.materialize(values, "members")).groupBy(*key).agg(
-        F.sum("t").alias("t"), F.sum("leaves").alias("n_leaves"), F.min(F.struct("conv_id", "own")).alias("least")
+    values = whole.unionByName(of_conv, allowMissingColumns=True).groupBy("conv_id").agg(
+        F.coalesce(F.max("t"), F.max("whole")).alias("t"), F.coalesce(F.max("leaf"), F.lit(0)).alias("leaf")
     )
-    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent"))
-    out = nodes.join(sums, key).join(hash_ends(parts), key, "left").join(parents.where("depth > 1"), ["depth", "pa", "pb"], "left")
-    parent = F.when(F.col("depth") == 1, F.lit(root["conv_id"])).otherwise(F.col("parent"))
+    sums = sum_members(parts, store.materialize(values, "members")).select(*key, F.struct("conv_id", "own").alias("least"), "t", "leaves")
+    facts = nodes.unionByName(sums, allowMissingColumns=True).unionByName(hash_ends(parts), allowMissingColumns=True)
+    nodes = facts.groupBy(*key).agg(
+        *[F.max(k).alias(k) for k in [*own, "n_children", "hashed"]], F.sum("t").alias("t"), F.sum("leaves").alias("n_leaves"), F.min("least").alias("least")
+    )
+    nodes = store.materialize(nodes, "nodes")
+    parents = nodes.where("depth > 0").select((F.col("depth") + 1).alias("depth"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent"))
+    out = nodes.join(parents, ["depth", "pa", "pb"], "left")
+    parent = F.when(F.col("depth") == 1, F.lit(root["conv_id"])).when(F.col("depth") > 1, F.col("parent"))
     saved = F.col("t") - F.col("least.own") - (F.col("n_convs") - 1) * F.col("before")
     return out.select(
         "conv_id", "depth", parent.cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", saved.alias("saved_tokens"),
