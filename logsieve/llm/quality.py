@@ -5,22 +5,27 @@ of all documents. A document's log weight is the log of the ratio of its probabi
 Adding Gumbel noise and keeping the k largest samples k documents without replacement, each
 with a chance in proportion to its weight.
 
-N-grams are words and word pairs. A document's own n-grams are left out of the models that score
-it, so labelled documents are not favoured over unlabelled ones like them. Rare n-grams lean to a
-ratio of one (SMOOTH), and the log weight is tempered by the square root of the length (TEMPER),
-because the errors of a sum of many small ratios grow with it.
+N-grams are words and word pairs, and within them three-byte pieces and whether a word repeats the one before it:
+words hardly recur in different documents, pieces do. A labelled document's own n-grams are left out of
+the target model when it is weighed, so it is not favoured over unlabelled ones like it. Ratios are
+shrunk towards one: rare n-grams by SMOOTH, and all by SHRINK in the logarithm, because small differences (languages are
+not labelled in proportion) would add up over a long text. The sum is tempered by the square root of the length (TEMPER).
 
 Toxic documents read like others but for single words, which a sum over all n-grams hides. So buckets of
 words and of their parts that are much more frequent in documents labelled toxic than in those labelled
-not toxic are markers; a document is toxic if the log-odds of its markers, by the square root of its
-length, exceed what all but CLEAN_LOSS of the documents labelled not toxic have. Toxic documents have no
-score and are never kept. A label without a value for toxic counts as not toxic for the target and is
-left out here; without toxic labels nothing is toxic.
+not toxic make up a second ratio: the sum of their log-odds, by the square root of the length, as a multiple of what
+all but CLEAN_LOSS of the documents labelled not toxic have. Beyond that, it takes LEAST_RATIO times the multiple off the log
+weight. A label without a value for toxic counts as not toxic for the target and is left out here; without toxic labels
+nothing is taken off.
 
-Documents without words (null, empty, blank) have no weight and are never kept. Rows that tie with
+A document whose weight is below exp(-LEAST_RATIO) has no chance under the target and is never sampled, however many
+are asked for. Documents without words (null, empty, blank) have no weight and are never kept. Rows that tie with
 the k-th are kept with it, so repeated rows share their fate. Without good labels the weights are all
 0 and the sample is uniform; without any label every document with words is kept. An empty table gives
 an empty result.
+
+SMOOTH, SHRINK and TEMPER were chosen on the labelled documents of the two smaller test tables: within a factor of two of
+each, no labelled junk was kept and the same good documents to one in a hundred.
 """
 
 import math
@@ -38,8 +43,12 @@ from logsieve.sources import store
 DIM = 1 << 18
 #: The target model learns from so many labelled good documents at most, chosen by hash.
 MAX_TARGET = 20_000
-#: Imaginary n-grams in each bucket, shared between the models as all n-grams are; and the tempering.
-SMOOTH, TEMPER = 100, 30
+#: Imaginary n-grams in each bucket, shared between the models as all n-grams are; what is taken off a log ratio; the tempering.
+SMOOTH, SHRINK, TEMPER = 20, 1.0, 30
+#: Bytes that one step of the pieces takes.
+STEP = 1 << 20
+#: Documents with a log weight below its negative are never sampled.
+LEAST_RATIO = 20
 #: Markers of toxic documents: buckets, bytes of a part of a word, labelled documents that have it at least, log-odds
 #: at least, and the share of documents labelled not toxic that may be lost. MAX_TARGET of each kind are learnt from.
 TOXIC_DIM, PART, LEAST_DOCS, LEAST_ODDS, CLEAN_LOSS = 1 << 20, 5, 3, math.log(8), 0.01
@@ -48,26 +57,47 @@ LAST = 4096
 U64 = np.uint64
 
 
-def _slots(text: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and pair of a batch, and the text it belongs to."""
+def _slots(text: list, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word and pair of a batch, the text it belongs to, and of each text: words, and words that repeat the one before."""
     h, at = words.hashes(text)
     doc = np.repeat(np.arange(len(text)), np.diff(at))
     pair = words.grams(h, 2)
     same = doc[1:] == doc[:-1]
     slot = np.concatenate([h, pair[same] if len(h) > 1 else pair]) % U64(dim)
-    return slot.astype(np.int64), np.concatenate([doc, doc[1:][same]])
-
-
-def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    again = np.bincount(doc[1:][same & (h[1:] == h[:-1])], minlength=len(text))
+    return slot.astype(np.int64), np.concatenate([doc, doc[1:][same]]), np.stack([np.diff(at), again])
+
+
+def _ngrams(text: list, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of a batch and the texts they belong to, in parts: words and pairs below ``dim``, the rest above."""
+    slot, doc, (n, again) = _slots(text, dim)
+    yield slot, doc
+    places = np.arange(len(text))
+    for k, times in ((0, again), (1, np.maximum(n - 1, 0) - again)):
+        yield np.full(int(times.sum()), 2 * dim + k), np.repeat(places, times)
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in text]
+    ends, flat = np.cumsum([len(x) for x in raw], dtype=np.int64), np.frombuffer(b"".join(raw), np.uint8)
+    for a in range(0, len(flat) - 2, STEP):
+        b = flat[a : a + STEP + 2].astype(np.uint32)
+        piece = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        place = np.arange(a, a + len(piece))
+        doc = np.searchsorted(ends, place, "right")
+        whole = place + 2 < ends[doc]
+        slot = words.mix(piece[whole].astype(U64)) % U64(dim)
+        yield dim + slot.astype(np.int64), doc[whole]
+
+
+def count_ngrams(docs: DataFrame, dim: int = DIM) -> DataFrame:
     """slot, n_raw, n_target over docs (text, is_target)."""
+    size = 2 * dim + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in words.cut(batches):
-            slot, doc = _slots(b.column("text").to_pylist(), dim)
             good = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            raw += np.bincount(slot, minlength=dim)
-            target += np.bincount(slot[good[doc]], minlength=dim)
+            for slot, doc in _ngrams(b.column("text").to_pylist(), dim):
+                raw += np.bincount(slot, minlength=size)
+                target += np.bincount(slot[good[doc]], minlength=size)
         k = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"slot": k, "n_raw": raw[k], "n_target": target[k]})
 
@@ -75,6 +105,11 @@ def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return seen.groupBy("slot").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
+def count_slots(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """slot, n_raw, n_target of words and word pairs only."""
+    return count_ngrams(docs, dim).where(F.col("slot") < dim)
+
+
 def _parts(text: list, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word and each PART bytes of a word (of those that known has), the text it belongs to, and how many each text has."""
     h, at = words.hashes(text, plain=True)
@@ -152,48 +187,60 @@ def toxic_weight(docs: DataFrame, model: Toxic) -> DataFrame:
 
 
 class Model:
-    """Counts of both models by bucket; ``dim`` numbers each, whatever the corpus."""
+    """Counts of both models by bucket; a fixed number of them, whatever the corpus."""
 
     def __init__(self, counts: DataFrame, dim: int = DIM):
-        self.raw, self.target = np.zeros(dim), np.zeros(dim)
+        self.dim, size = dim, 2 * dim + 2
+        self.raw, self.target = np.zeros(size), np.zeros(size)
         got = counts.toArrow()
         slot = got["slot"].to_numpy()
         self.raw[slot], self.target[slot] = got["n_raw"].to_numpy(), got["n_target"].to_numpy()
         self.share = self.target.sum() / max(1.0, self.raw.sum())
+        self.ratio = self.log_ratio(np.arange(size), 0)
         self.bad: Toxic | None = None
 
-    def weigh(self, slot: np.ndarray, doc: np.ndarray, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of n-grams and log weight of each of the documents that the slots belong to."""
-        m, dim = len(is_target), len(self.raw)
-        n = np.bincount(doc, minlength=m)
+    def log_ratio(self, slot: np.ndarray, own: np.ndarray | int) -> np.ndarray:
+        """Shrunk log ratio of the models in some buckets, without a target document's ``own`` n-grams in them."""
         if not self.share:
-            return n, np.zeros(m)
-        u, own = np.unique(doc * dim + slot, return_counts=True)
-        doc, slot = u // dim, u % dim
-        target = self.target[slot] - own * is_target[doc] + SMOOTH * self.share
-        ratio = target / (self.raw[slot] - own + SMOOTH) / self.share
-        return n, np.bincount(doc, weights=own * np.log(ratio), minlength=m) * TEMPER / np.sqrt(np.maximum(n, 1))
+            return np.zeros(len(slot))
+        ratio = np.log((self.target[slot] - own + SMOOTH * self.share) / (self.raw[slot] + SMOOTH) / self.share)
+        return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK)
+
+    def weigh(self, text: list, is_target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words and of n-grams, and log weight, of each text."""
+        m = len(text)
+        n, total, some = np.zeros(m, np.int64), np.zeros(m), np.zeros(m, np.int64)
+        for k, (slot, doc) in enumerate(_ngrams(text, self.dim)):
+            here = np.bincount(doc, minlength=m)
+            n += here
+            some = here if k == 0 else some
+            total += np.bincount(doc, weights=self.ratio[slot], minlength=m)
+        for i in np.flatnonzero(is_target).tolist():
+            own = np.zeros(len(self.raw), np.int64)
+            for slot, _ in _ngrams([text[i]], self.dim):
+                own += np.bincount(slot, minlength=len(own))
+            u = np.flatnonzero(own)
+            total[i] += (own[u] * (self.log_ratio(u, own[u]) - self.ratio[u])).sum()
+        return some, n, total * TEMPER / np.sqrt(np.maximum(n, 1))
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, is_target, toxic, ...) with n_grams, log_weight (null without words) and is_toxic."""
+    """docs (text, is_target, toxic, ...) with n_grams and log_weight (null without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in words.cut(batches):
-            slot, doc = _slots(b.column("text").to_pylist(), len(shared.value.raw))
-            good = b.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            n, w = shared.value.weigh(slot, doc, good)
-            toxic = np.zeros(len(n), bool)
-            if (bad := shared.value.bad) and bad.least < math.inf:
+            text = b.column("text").to_pylist()
+            some, n, w = model.weigh(text, b.column("is_target").to_numpy(zero_copy_only=False).astype(bool))
+            if (bad := model.bad) and bad.least < math.inf:
                 own = b.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
-                toxic = bad.weigh(b.column("text").to_pylist(), own) > bad.least
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n), pa.array(w, mask=n == 0), pa.array(toxic)], names=[*b.schema.names, "n_grams", "log_weight", "is_toxic"]
-            )
+                times = bad.weigh(text, own) / max(bad.least, 1e-9)
+                w = w - np.where(times > 1, LEAST_RATIO * times, 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(w, mask=some == 0)], names=[*b.schema.names, "n_grams", "log_weight"])
 
     own = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{own}, n_grams long, log_weight double, is_toxic boolean")
+    return docs.mapInArrow(run, f"{own}, n_grams long, log_weight double")
 
 
 def kth_largest(df: DataFrame, value: str, k: int) -> float | None:
@@ -242,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, dim: int = DIM, max_t
     ids = good_ids.unionByName(kinds[0]).unionByName(kinds[1]).groupBy("_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     ids = store.materialize(ids, "label-ids")
     marked = mark(docs.select("doc_id", "text"), ids)
-    model = Model(count_slots(marked, dim), dim)
+    model = Model(count_ngrams(marked, dim), dim)
     labelled = store.materialize(marked.where("toxic is not null").select("doc_id", "text", "toxic"), "labelled")
     model.bad = Toxic(labelled)
     store.release(labelled)
@@ -257,13 +304,12 @@ def mark(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def perturbed(docs: DataFrame, model: Model, ids: DataFrame, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text, ...) with n_grams, log_weight and score, the weight with seeded Gumbel noise (null if toxic)."""
-    docs = docs.drop("n_grams", "log_weight", "score", "kept", "is_target", "toxic", "is_toxic")
+    """docs (doc_id, text, ...) with n_grams, log_weight and score, the weight with seeded Gumbel noise (null without a chance)."""
+    docs = docs.drop("n_grams", "log_weight", "score", "kept", "is_target", "toxic")
     seen = F.xxhash64(F.col("doc_id"), F.lit(seed), F.length("text"))
     u = (F.pmod(seen, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     weighed = weigh(mark(docs, ids), model).drop("is_target", "toxic")
-    score = F.when(~F.col("is_toxic"), F.col("log_weight") - F.log(-F.log(u)))
-    return weighed.withColumn("score", score).drop("is_toxic")
+    return weighed.withColumn("score", F.when(F.col("log_weight") >= -LEAST_RATIO, F.col("log_weight") - F.log(-F.log(u))))
 
 
 def least_kept(scored: DataFrame, keep: float) -> float | None:
@@ -293,9 +339,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | N
     """The rows of docs that the sample keeps, with their columns."""
     model, ids, share = fit(docs, labels, seed, **bounds)
     rest = F.struct(*[n for n in docs.columns if n not in ("doc_id", "text")], F.lit(1).alias("_one"))
-    scored = perturbed(docs.select("doc_id", "text", rest.alias("_rest")), model, ids, seed)
-    light = store.materialize(scored.select("log_weight", "score"), "weights")
-    least = least_kept(light, share if keep is None else keep)
+    # weighed once: the texts are written with their scores, and read again when the least kept score is known
+    scored = store.materialize(perturbed(docs.select("doc_id", "text", rest.alias("_rest")), model, ids, seed), "weights")
+    least = least_kept(scored, share if keep is None else keep)
     return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(
         *[F.col(n if n in ("doc_id", "text") else f"_rest.{n}") for n in docs.columns]
     )
