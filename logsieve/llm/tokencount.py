@@ -8,8 +8,8 @@ border between two. So a text's tokens are the sum over its pre-tokens of how ma
 2. The library counts the pieces of each distinct pre-token of the corpus once. No ids are kept.
 3. The frequencies are joined with these counts and summed by document. At most FREQUENT pre-tokens make up a
    FREQUENT-th of all occurrences or more; those of at most LONGEST bytes form a table of bounded size that goes to
-   every task. All others meet the counts in a sorted equality join on the pre-token; there no key can be hot unless it
-   is longer than LONGEST bytes (then Spark splits the join's side).
+   every task. All others meet the counts in a sorted equality join on the pre-token's 64-bit hash, or on its text if two
+   share a hash; there no key can be hot unless it is longer than LONGEST bytes (then Spark splits the join's side).
 
 Special tokens of the tokenizer that stand in a text count as one token each and separate what is around
 them, as is the library's default. Texts with characters that the regular expressions here don't know
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.sources import store
@@ -165,20 +165,25 @@ def frequencies(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
+PARTIAL = "base long, at array<int>, tokens array<long>"
+
+
 def sums(joined: DataFrame) -> DataFrame:
-    """row, tokens of joined (base, entries, pieces), blocks one after the other: pieces times frequency, for each document."""
+    """base, at, tokens of joined (base, entries, pieces), blocks one after the other: pieces times frequency by document, a row for each block that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(1 << 16, np.int64)
 
         def out() -> pa.RecordBatch:
             at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(total[at])], names=["row", "tokens"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], I64), pa.array([at], pa.list_(pa.int32())), pa.array([total[at]], pa.list_(I64))], names=["base", "at", "tokens"]
+            )
 
         for b in batches:
             base, pieces = b.column("base").to_numpy(), b.column("pieces").to_numpy()
-            for at in np.flatnonzero(np.diff(base, prepend=-1)).tolist():
-                last = at + int(np.searchsorted(base[at:] != base[at], True)) if (base[at:] != base[at]).any() else len(base)
+            cuts = [*np.flatnonzero(np.diff(base, prepend=-1)).tolist(), len(base)]
+            for at, last in zip(cuts[:-1], cuts[1:], strict=True):
                 if base[at] != now:
                     if now is not None:
                         yield out()
@@ -190,7 +195,34 @@ def sums(joined: DataFrame) -> DataFrame:
         if now is not None:
             yield out()
 
-    return joined.mapInArrow(run, "row long, tokens long")
+    return joined.mapInArrow(run, PARTIAL)
+
+
+def add_up(partial: DataFrame) -> DataFrame:
+    """row, tokens: the partial sums of each block, which one task adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << 16, np.int64)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(total[at])], names=["row", "tokens"])
+
+        for b in batches:
+            for base, at, tokens in zip(b.column("base").to_pylist(), b.column("at"), b.column("tokens"), strict=True):
+                if base != now:
+                    if now is not None:
+                        yield out()
+                    now, total = base, np.zeros(1 << 16, np.int64)
+                total[at.values.to_numpy()] += tokens.values.to_numpy()
+        if now is not None:
+            yield out()
+
+    return partial.repartition("base").sortWithinPartitions("base").mapInArrow(run, "row long, tokens long")
+
+
+def key_of(pretoken: Column) -> Column:
+    return F.xxhash64(pretoken)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -204,16 +236,27 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     light = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     parts = store.materialize(frequencies(light.withColumn("row", F.monotonically_increasing_id()), name), "pretoken-frequencies", compression="zstd")
     found = parts.where("pretoken is not null").select("pretoken", "base", "n", "entries")
-    known = store.materialize(count_pieces(found.groupBy("pretoken").agg(F.sum("n").alias("n")), name), "pretokens")
+    known = count_pieces(found.groupBy("pretoken").agg(F.sum("n").alias("n")), name)
+    known = store.materialize(known.withColumn("key", key_of(F.col("pretoken"))), "pretokens")
     total = known.agg(F.sum("n")).first()[0] or 0
     often = (F.col("n") * FREQUENT >= total) & (F.octet_length("pretoken") <= LONGEST)
     # at most FREQUENT entries of at most LONGEST bytes
     frequent = F.broadcast(known.where(often).select("pretoken", "pieces"))
     near = found.join(frequent, "pretoken").select("base", "entries", "pieces")
+    rest = found.join(frequent, "pretoken", "left_anti").select("pretoken", key_of(F.col("pretoken")).alias("key"), "base", "entries")
+    counts = known.where(~often)
+    shared = store.materialize(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    clash = not shared.isEmpty()
+    one, many = counts, None
+    if clash:  # different pre-tokens with one key: those meet their counts by their text
+        one, many = counts.join(shared, "key", "left_anti"), counts.join(shared, "key", "left_semi")
     # by one strategy at every size, so that small inputs show what large ones need
-    rest = found.join(frequent, "pretoken", "left_anti").drop("n").join(known.where(~often).drop("n").hint("merge"), "pretoken")
-    rest = rest.select("base", "entries", "pieces").sortWithinPartitions("base")
-    tokens = sums(near).unionByName(sums(rest)).groupBy("row").agg(F.sum("tokens").alias("tokens"))
+    by_key = rest.select("key", "base", "entries").join(one.select("key", "pieces").hint("merge"), "key")
+    tokens = sums(near).unionByName(sums(by_key.select("base", "entries", "pieces").sortWithinPartitions("base")))
+    if clash:
+        by_text = rest.join(many.select("pretoken", "pieces").hint("merge"), "pretoken")
+        tokens = tokens.unionByName(sums(by_text.select("base", "entries", "pieces").sortWithinPartitions("base")))
+    tokens = add_up(tokens)
     of_docs = parts.where("pretoken is null").select("base", F.posexplode(F.arrays_zip("doc_id", "n_bytes", "n_tokens")).alias("at", "d"))
     own = of_docs.select((F.col("base") + F.col("at")).alias("row"), "d.*")
     n = F.col("n_tokens") + F.coalesce("tokens", F.lit(0))
