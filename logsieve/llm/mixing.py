@@ -8,7 +8,7 @@ whole number of epochs, and the fraction left is filled with documents in a seed
 Null sources form one source. Texts that are null or without words have size 0: they take
 nothing, and are repeated as the others of their source. Rows that repeat a document count
 again. An empty table gives an empty mix. If all sources are clamped, the mix is shorter than
-asked for.
+asked for. Columns of docs named as the added ones (size, source_size, target, epochs, taken, copy) are left out.
 """
 
 from collections.abc import Sequence
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsieve.llm import words
+from logsieve.llm import columns, words
 from logsieve.sources import store
 
 #: Parts of the seeded order; one of them per source is sorted, the rest is decided by sums.
@@ -56,7 +56,8 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), share: float = 1.5,
     ``share``: words of the mix, as a part of all words.
     """
     own = [n for n in docs.columns if n in ("size", "source_size", "target", "epochs", "taken")]
-    docs = docs.drop(*own)
+    names = [n for n in docs.columns if n not in own]
+    docs = docs.select("doc_id", "text", "source", columns.pack(docs.drop(*own), "doc_id", "text", "source"))
     key = order_key(seed, F.col("doc_id"))
     sized = docs.withColumns({
         "size": words.count(F.col("text")), "_key": key, "_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int"),
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), share: float = 1.5,
         .where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest")))
         .select("s", F.col("_bucket").alias("cut"), "before")
     )
-    plan = sources.select(F.col("source").alias("_s"), "source_size", "target", "whole", "rest").join(
+    plan = sources.select(F.col("source").alias("_s"), "source_size", "target", "whole", F.col("rest").alias("left")).join(
         cut, F.col("_s").eqNullSafe(F.col("s")), "left"
     )
     plan = store.materialize(plan.drop("s"), "mix-plan")
@@ -87,13 +88,13 @@ def mix(docs: DataFrame, cycle: Sequence[float] = (5, 2, 1), share: float = 1.5,
     inside = planned.where(~at_cut).withColumn("_more", F.coalesce(F.col("_bucket") < F.col("cut"), F.lit(False)))
     run = Window.partitionBy("_s", "_bucket").orderBy("_key", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    edge = planned.where(at_cut).withColumn("_more", start + F.col("size") / 2 < F.col("rest"))
+    edge = planned.where(at_cut).withColumn("_more", start + F.col("size") / 2 < F.col("left"))
     out = inside.unionByName(edge).withColumn("epochs", (F.col("whole") + F.col("_more").cast("long")).cast("long"))
     return out.withColumn("taken", F.col("epochs") * F.col("size")).select(
-        *docs.columns, "size", "source_size", "target", "epochs", "taken"
+        *columns.unpack(names, "doc_id", "text", "source"), "size", "source_size", "target", "epochs", "taken"
     )
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """One row for each repetition, numbered by ``copy`` from 1; documents not taken are left out."""
-    return mixed.where("epochs > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
+    return mixed.where("epochs > 0").drop("copy").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))

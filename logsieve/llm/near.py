@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsieve.llm import words
+from logsieve.llm import columns, words
 from logsieve.llm.components import components
 from logsieve.llm.words import U64
 from logsieve.sources import store
@@ -321,8 +321,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, trees: int =
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the document with the least doc_id, once."""
-    found = near_duplicates(docs, n, percent, trees).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    kept = named.join(found.where("_id is not null").distinct().hint("merge"), (F.col("doc_id") == F.col("_id")) & (named["_hash"] == found["_hash"]), "left_semi")
-    once = kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return once.unionByName(docs.where("doc_id is null"))
+    names, light = docs.columns, docs.select("doc_id", "text", columns.pack(docs, "doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), n, percent, trees).where("kept and doc_id is not null")
+    found = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    named = light.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    once = named.join(found.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
+    return once.unionByName(light.where("doc_id is null")).select(*columns.unpack(names, "doc_id", "text"))

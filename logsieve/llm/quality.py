@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm import words
+from logsieve.llm import columns, words
 from logsieve.sources import store
 
 #: Hash buckets of the models.
@@ -338,10 +338,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | No
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, keep: float | None = None, **bounds: int) -> DataFrame:
     """The rows of docs that the sample keeps, with their columns."""
     model, ids, share = fit(docs, labels, seed, **bounds)
-    rest = F.struct(*[n for n in docs.columns if n not in ("doc_id", "text")], F.lit(1).alias("_one"))
     # weighed once: the texts are written with their scores, and read again when the least kept score is known
-    scored = store.materialize(perturbed(docs.select("doc_id", "text", rest.alias("_rest")), model, ids, seed), "weights")
+    scored = store.materialize(perturbed(docs.select("doc_id", "text", columns.pack(docs, "doc_id", "text")), model, ids, seed), "weights")
     least = least_kept(scored, share if keep is None else keep)
-    return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(
-        *[F.col(n if n in ("doc_id", "text") else f"_rest.{n}") for n in docs.columns]
-    )
+    return scored.where(F.col("score") >= F.lit(math.inf if least is None else least)).select(*columns.unpack(docs.columns, "doc_id", "text"))

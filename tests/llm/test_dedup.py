@@ -203,6 +203,44 @@ def test_boundaries_do_not_shift():
     assert "\n".join(c for c, _, _ in linededup.chunks("x\n\ny\n")) == "x\n\ny\n"
 
 
+def test_chunk_boundaries_follow_the_lines():
+    """Lines in front or in the middle move the boundaries next to them only."""
+    rng = random.Random(9)
+    for _ in range(20):
+        body = [f"line {rng.random()}" for _ in range(200)]
+        at = rng.randrange(200)
+        longer = [*[f"new {rng.random()}" for _ in range(rng.randrange(1, 5))], *body[:at], "put in", *body[at:]]
+        a, b = ({c for c, _, _ in linededup.sections("\n".join(x))} for x in (body, longer))
+        assert len(a - b) <= 4 and 30 < len(a) < 80
+        ends = linededup.boundaries(body)
+        assert ends == sorted(set(ends)) and ends[-1] == 200
+
+
+def test_most_of_a_repeated_passage_goes_as_chunks(spark):
+    rng = random.Random(10)
+    passage = [f"a passage of many lines, here number {k}" for k in range(60)]
+    rows = [(i, "\n".join([f"own {rng.random()}", *passage, f"own {rng.random()}"])) for i in range(5)]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    seen = linededup.occurrences(docs)
+    whole = linededup.repeats(docs, seen.where("kind = 0"), linededup.CHUNK).collect()
+    lines = sum(z - a for r in whole for _, a, z in [linededup.sections(rows[r.doc_id][1])[r.place]])
+    assert {r.doc_id for r in whole} == {1, 2, 3, 4} and lines > 4 * 40
+    left = {r.doc_id: r.text for r in linededup.dedup(table(spark, rows)).collect()}
+    assert left == {i: t if i == 0 else "\n".join([t.split("\n")[0], t.split("\n")[-1]]) for i, t in rows} == brute_runs(rows)
+
+
+def test_columns_named_like_helpers_stay(spark):
+    rows = line_rows()
+    names = ["_d", "_h", "_p", "text_hash", "rest", "kind", "place", "inside", "hash", "chunk", "_one"]
+    df = table(spark, rows).select("doc_id", "text", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
+    got = linededup.dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "removed_lines", "removed_chunks"]
+    plain = sorted((r.doc_id or -1, r.text or "") for r in linededup.dedup(table(spark, rows)).collect())
+    found = got.collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in found) == plain
+    assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in found for n in names)
+
+
 def test_chunks_with_one_hash_are_compared_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(linededup, "_hash", lambda chunk: 1)
     other = LONG.replace("p1 ", "q1 ")

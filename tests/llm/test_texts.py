@@ -268,6 +268,25 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
             assert got.count() <= 2 * len(rows)
 
 
+HELPERS = (
+    "rest end c0 _id _hash _d _h _p _one _rest _s _key _bucket _more before whole cut left weight s places text_hash kept_id kept_hash hash at kind place inside "
+    "is_target toxic good n_grams log_weight score kept n_lines removed_lines removed_chunks n_shingles class component_id region gram words item_id row"
+).split()
+
+
+def test_stages_keep_columns_named_like_helpers(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some item of the benchmark that nobody has")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"words of document {i}\nand a line\nshared by all", "en", "a", 1) for i in range(5)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in HELPERS])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        found = got.collect()
+        assert got.columns[: len(docs.columns)] == docs.columns and found, name
+        assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in found for n in HELPERS), name
+
+
 def test_quality_counts_every_text(spark):
     df = spark.createDataFrame([("a b", True), ("b c d", False), (None, False), ("", True)], "text string, is_target boolean")
     rows = quality.count_slots(df, 1 << 18).collect()
