@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import decontam, linededup, mixing, near, quality
+from logsieve.llm import columns, decontam, linededup, mixing, near, quality
 from logsieve.sources import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,9 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; documents of which nothing is left go."""
-    out = linededup.dedup(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without repeated runs of lines; documents of which nothing is left go."""
+    own = ("doc_id", "text", "n_chars")
+    out = linededup.dedup(docs.select("doc_id", "text", columns.pack(docs, *own)))
+    out = out.where((F.col("removed_chunks") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns.unpack(docs.columns, *own))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
