@@ -172,6 +172,57 @@ def test_copies_with_evenly_spread_edits_are_found(spark, every):
     assert all(got[i, j] == 1 for i in range(100, 105) for j, _ in items)
 
 
+def every_pair(docs, items):
+    """Score of every document and item that reaches the least one, by alignment of whole texts."""
+    out = {}
+    for i, t in docs:
+        for k, item in items:
+            a, b = (words.hashes([x], plain=True)[0] for x in (item, t))
+            if len(a) and len(b):
+                score = decontam.align(a, b)[0] / (decontam.MATCH * len(a))
+                if score >= decontam.LEAST:
+                    out[i, k] = round(score, 9)
+    return out
+
+
+def test_seeds_lose_nothing_that_aligns(spark):
+    """Against the alignment of all pairs: edited copies, common prose around and within items, short items, one long item."""
+    rng = random.Random(12)
+    common = [" ".join(rng.choice("the of one a in to and is".split()) for _ in range(3)) for _ in range(6)]
+    fresh = lambda n: " ".join(f"z{rng.randrange(4000)}" for _ in range(n))
+    items = [(k, " ".join(rng.choice([fresh(3), rng.choice(common)]) for _ in range(rng.randrange(3, 9)))) for k in range(12)]
+    items += [(100, "alpha beta"), (101, "Gamma!"), (102, fresh(400)), (103, " ".join(common)), (104, ""), (105, None)]
+    docs = []
+    for i in range(150):
+        text = " ".join(rng.choice([fresh(4), rng.choice(common)]) for _ in range(rng.randrange(5, 30)))
+        if i % 3 == 0:
+            _, item = items[rng.randrange(12)]
+            copy = [w if rng.random() > rng.choice([0, 0.1, 0.25]) else fresh(1) for w in item.split()]
+            text = f"{text} {' '.join(copy)} {fresh(5)}"
+        docs.append((i, text + rng.choice(["", " alpha beta", " alpha x beta", " gamma"])))
+    docs += [(500, items[14][1][:200] + " " + items[14][1][260:]), (501, None), (502, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = every_pair([(i, t or "") for i, t in docs], [(k, t or "") for k, t in items])
+    want = {k: v for k, v in want.items() if k[1] not in (100, 101) or v == 1}  # short items are sought as a whole
+    # an alignment needs three words in a row, as all seeds do
+    lost = {k: v for k, v in want.items() if k not in got}
+    assert all(got[k] == want[k] for k in got) and len(lost) <= 0.01 * len(want) and len(got) > 100
+    assert all(v < 0.75 for v in lost.values())
+
+
+def test_common_grams_are_no_seeds_alone(spark):
+    """A phrase that all documents hold stands within an item; documents with the phrase alone are never paired with it."""
+    phrase, item = "one of the", "quaint zebras saw one of the yellow kites fly"
+    docs = [(i, f"in {phrase} many towns {i} x{i}") for i in range(200)] + [(900, f"we read: {item}."), (901, "quaint bears saw one of the yellow cars fly")]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    own = decontam.item_grams(items)
+    found = decontam.seeds(own, decontam.count_documents(df, own, 3), 3).collect()
+    kinds = collections.Counter(r.kind for r in found)
+    assert kinds["wide"] == 6 and kinds["rare"] == 6
+    assert {r.doc_id for r in decontam.contaminated(df, items).collect()} == {900, 901}
+
+
 def test_alignment_equals_the_textbook_one():
     rng = np.random.default_rng(5)
     for _ in range(40):
