@@ -131,6 +131,38 @@ def op11_conversation_prefix_trie(spark, d):
     return prefixtrie.trie(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+ORACLE["op11_conversation_prefix_trie"] = r"""
+with own as (
+  select conv_id::bigint as c,
+         list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''),
+              left(sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)) as turns
+  from conversations where conv_id is not null group by conv_id),
+hashed as (
+  select *, (xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, len(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::ubigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::ubigint else 0::ubigint end))),
+    4294967295::ubigint) % 4)::bigint as h
+  from own),
+rebuilt as (
+  select a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns
+  from hashed a left join own b on b.c = a.c - a.c % 20),
+prefixes as (
+  select c, d, len(turns) = d as ends, sha256(to_json(turns[1:d])::varchar) as k, case when d > 0 then sha256(to_json(turns[1:d - 1])::varchar) end as p,
+         case when d > 0 then len(regexp_extract_all(turns[d].t, '[^ 	-]+')) else 0 end as w
+  from (select c, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)),
+nodes as (
+  select d, k, min(p) as p, min(c) as conv_id, count(*) as n, min(w) as w,
+         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256
+  from prefixes group by d, k),
+children as (select p as k, d - 1 as d, count(*) as n from nodes where d > 0 group by all),
+facts as (select n.*, coalesce(c.n, 0) as n_children from nodes n left join children c using (d, k)),
+sums as (
+  select a.d, a.k, sum((f.n - 1) * f.w)::bigint as saved_tokens, count_if(f.n_children = 0)::bigint as n_leaves
+  from facts f join prefixes a on a.c = f.conv_id and a.d <= f.d group by a.d, a.k)
+select f.conv_id, f.d::bigint as depth, q.conv_id as parent_conv_id, f.n::bigint as n_convs, f.n_children::bigint as n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+from facts f join sums s using (d, k) left join nodes q on q.d = f.d - 1 and q.k = f.p
+"""
+
+
 @query
 def op12_token_counts(spark, d):
     import public_tokenizers
