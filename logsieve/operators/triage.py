@@ -190,7 +190,7 @@ def top_incidents(deduped: DataFrame, incidents: DataFrame, limit: int = 12) ->
 def attach_evidence(results: DataFrame, incidents: DataFrame) -> DataFrame:
     """Adds ``evidence``: the incident found by key, else request id, else source and log id.
 
-    The three lookups are stacked into one equality join.
+    The three lookups are stacked into one equality join of keys.
     """
     def keys(log_id: str) -> Column:
         def entry(place: int, kind: str, value: Column) -> Column:
@@ -208,26 +208,25 @@ def attach_evidence(results: DataFrame, incidents: DataFrame) -> DataFrame:
             entry(3, "log:", F.concat(given("source_table"), F.lit(":"), log)),
         )
 
-    evidence = F.struct("reason_hints", "user_agent", "request_text", "log_text")
+    asked = results.select("dedup_key", F.inline(keys("log_id"))).where("lookup is not null")
+    order = F.struct((-c("score")).alias("s"), (-F.unix_millis("log_time")).alias("t"), "first_arrival")
+    # only keys that are asked for, and no texts, are grouped; the texts of what was found are fetched at the end
+    narrow = incidents.select("incident_group_key", order.alias("order"), F.inline(keys("id"))).drop("place")
     lookup = (
-        incidents.select(
-            evidence.alias("evidence"),
-            F.struct(
-                (-c("score")).alias("s"), (-F.unix_millis("log_time")).alias("t"), "first_arrival"
-            ).alias("order"),
-            F.inline(keys("id")),
-        )
-        .where("lookup is not null")
+        narrow.join(asked.select("lookup").distinct(), "lookup", "left_semi")
         .groupBy("lookup")
-        .agg(F.min_by("evidence", "order").alias("evidence"))
+        .agg(F.min_by("incident_group_key", "order").alias("found_key"))
     )
-    asked = results.select("dedup_key", F.inline(keys("log_id"))).where("lookup is not null")
     found = (
         asked.join(lookup, "lookup")
         .groupBy("dedup_key")
-        .agg(F.min_by("evidence", "place").alias("evidence"), F.min("place").alias("found_by"))
+        .agg(F.min_by("found_key", "place").alias("found_key"), F.min("place").alias("found_by"))
+    )
+    texts = incidents.select(
+        c("incident_group_key").alias("found_key"),
+        F.struct("reason_hints", "user_agent", "request_text", "log_text").alias("evidence"),
     )
-    return results.join(found, "dedup_key", "left")
+    return results.join(found, "dedup_key", "left").join(texts, "found_key", "left").drop("found_key")
 
 
 def _facts() -> Column:

@@ -48,8 +48,9 @@ class TriageRun:
 
     def with_answers(self, answers: DataFrame) -> "TriageRun":
         """The same run, its tables included, with a model's answers."""
+        self.incidents  # noqa: B018  written once for both
         other = copy.copy(self)
-        other.answers = answers
+        other.answers, other._rows = answers, dict(self._rows)
         for name in ("results", "deduped"):
             other.__dict__.pop(name, None)
         return other

@@ -52,6 +52,32 @@ def _local(text: str, tz: ZoneInfo) -> datetime:
     return t.replace(tzinfo=tz) if t.tzinfo is None else t.astimezone(tz)
 
 
+def write_log(df: DataFrame, path: str, files: int = 32) -> None:
+    """A log stored for time ranges: folders by local day, files and row groups of neighbouring times within.
+
+    Rows are dealt by time, so a busy day has many files and a quiet one few; ``files`` is how many ranges there are.
+    Rows without a time have a folder of their own.
+    """
+    day = F.to_date(F.from_utc_timestamp("log_time", rules.LOCAL_ZONE))
+    rows = df.withColumn("local_day", day).repartitionByRange(files, "local_day", "log_time", "id")
+    rows.sortWithinPartitions("local_day", "log_time", "id").write.mode("overwrite").partitionBy("local_day").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """``start <= log_time < end`` of a log stored by ``write_log``. Days outside are not opened, and the time bounds reach the
+    files' row groups. Bounds are UTC."""
+    rows = spark.read.parquet(path)
+
+    def day(t) -> Column:
+        return F.to_date(F.from_utc_timestamp(F.lit(t).cast("timestamp"), rules.LOCAL_ZONE))
+
+    if start is not None:
+        rows = rows.where((c("local_day") >= day(start)) & (c("log_time") >= F.lit(start).cast("timestamp")))
+    if end is not None:
+        rows = rows.where((c("local_day") <= day(end)) & (c("log_time") < F.lit(end).cast("timestamp")))
+    return rows.drop("local_day")
+
+
 def scan_recent(
     df: DataFrame, as_of, hours: int = 24, limit: int | None = None
 ) -> DataFrame:

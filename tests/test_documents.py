@@ -49,3 +49,29 @@ def test_results_are_verified(spark, tmp_path):
     log(spark, 2).write.mode("append").parquet(f"{path}/candidates")
     with pytest.raises(tables.DamagedParts):
         tables.read_artifacts(spark, path, ["candidates"])
+
+
+def files_read(df):
+    """Files that the scan of a plan has opened."""
+    df.collect()
+    return sum(leaf.metrics().apply("numFiles").value() for leaf in leaves(df._jdf.queryExecution().executedPlan()))
+
+
+def leaves(plan):
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_a_range_reads_few_files(spark, tmp_path):
+    hour = 3600
+    src = table(spark, [row(i, "/p", i * hour, request_id="x") for i in range(24 * 10)] + [row(999, "/none", log_time=None)])
+    tables.write_log(src, f"{tmp_path}/log", files=20)
+    start, end = tables.local_range(date="2026-04-04")
+    got = tables.read_log(spark, f"{tmp_path}/log", start, end)
+    want = tables.scan_range(src, start, end)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect()) and want.count() == 24
+    every = tables.read_log(spark, f"{tmp_path}/log")
+    assert every.count() == 241 and every.columns == src.columns
+    assert files_read(every) >= 20 and files_read(tables.read_log(spark, f"{tmp_path}/log", start, end)) <= 6
+    plan = tables.read_log(spark, f"{tmp_path}/log", start, end)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(log_time), GreaterThanOrEqual(log_time" in plan

@@ -107,6 +107,7 @@ def test_triage_on_answers(spark):
     judged = run.with_answers(answers(spark, GOOD, bad, "no answer"))
     assert [(r.verdict, r.severity) for r in judged.deduped.collect()] == [("suspicious_sqli", "high")]
     assert judged.incidents is run.incidents and run.deduped.count() == 3
+    assert (judged.rows("deduped"), run.rows("deduped")) == (1, 3)
     ids = {(r.dedup_key, r.request_id) for r in triage.merged_request_ids(run.results).collect()}
     assert ids == {(f"request_id:r{i}", f"r{i}") for i in (1, 2, 3)}
 

@@ -762,6 +762,7 @@ def all_queries() -> dict[str, str]:
     q["scan_range"] = log_q(
         f"SELECT id, {MS}, src_ip, uri, status_code FROM log2 WHERE {day.format('2026-04-02 12:00:00')}"
     )
+    q["stored_log_range"] = q["scan_range"]
     q["scan_local_day"] = log_q(f"SELECT id, {MS}, src_ip FROM log2 WHERE {day.format('2026-04-02 15:00:00')}")
     q["scan_recent"] = log_q(
         f"SELECT id, {MS}, src_ip, method, raw_request, uri, query_string, status_code, duration_us, ttfb_us, req_content_type "

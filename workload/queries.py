@@ -194,6 +194,15 @@ def scan_range(spark, d):
     return out.select("id", ms("log_time"), "src_ip", "uri", "status_code")
 
 
+@query
+def stored_log_range(spark, d):
+    """The same range from a log stored by local day."""
+    path = store.scratch_path(spark, "log-by-day")
+    tables.write_log(R.base_log(spark, d), path)
+    out = tables.read_log(spark, path, DAY_START, AS_OF)
+    return out.select("id", ms("log_time"), "src_ip", "uri", "status_code")
+
+
 @query
 def scan_local_day(spark, d):
     start, end = tables.local_range(date="2026-04-02")
