@@ -237,7 +237,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     parts = store.materialize(frequencies(light.withColumn("row", F.monotonically_increasing_id()), name), "pretoken-frequencies", compression="zstd")
     found = parts.where("pretoken is not null").select("pretoken", "base", "n", "entries")
     known = count_pieces(found.groupBy("pretoken").agg(F.sum("n").alias("n")), name)
-    known = store.materialize(known.withColumn("key", key_of(F.col("pretoken"))), "pretokens")
+    known = store.materialize(known, "pretokens", compression="zstd").withColumn("key", key_of(F.col("pretoken")))
     total = known.agg(F.sum("n")).first()[0] or 0
     often = (F.col("n") * FREQUENT >= total) & (F.octet_length("pretoken") <= LONGEST)
     # at most FREQUENT entries of at most LONGEST bytes
