@@ -90,6 +90,19 @@ def test_one_large_group(spark, small):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("leaf", [1000, 3])
+def test_planted_pairs_at_the_threshold_are_found(spark, monkeypatch, leaf):
+    """Pairs that share 40 of 50 words; with small leaves most nodes branch."""
+    monkeypatch.setattr(near, "LEAF", leaf)
+    rows = []
+    for k in range(300):
+        w = [f"p{k}w{j}" for j in range(50)]
+        rows += [(2 * k, " ".join(w[:45])), (2 * k + 1, " ".join([*w[:40], *w[45:]]))]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, rows), 1, 80).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(300))
+    assert found >= 298 and all(got[i] in (i, i - 1) for i in got)
+
+
 def test_links_at_the_exact_threshold():
     import numpy as np
 

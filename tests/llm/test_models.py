@@ -123,6 +123,42 @@ def test_sample_follows_the_weights(spark):
     assert quality.resample(df.limit(0), none).count() == 0
 
 
+def plain_ngrams(text):
+    """Words, word pairs, whether a word repeats the one before, three-byte pieces, by plain code."""
+    raw = text.encode()
+    w = raw.lower().split()
+    out = collections.Counter(("word", x) for x in w) + collections.Counter(("pair", *x) for x in zip(w, w[1:]))
+    out += collections.Counter(("again", a == b) for a, b in zip(w, w[1:]))
+    return out + collections.Counter(("piece", raw[k : k + 3]) for k in range(len(raw) - 2))
+
+
+def test_log_weights_equal_plain_counts(spark):
+    rng = random.Random(15)
+    vocabulary = ["ab", "Cd", "é", "xyz!", "%%", "of", "of", "of"]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 3 + i % 6]) for _ in range(rng.randrange(1, 120)))) for i in range(30)] + [(40, "a"), (41, " "), (42, None)]
+    labelled = [(i, int(i % 4 != 0)) for i in range(0, 30, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q, None) for i, q in labelled], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.resample(df, labels).collect()}
+    good = {i for i, q in labelled if q}
+    grams = {i: plain_ngrams(t or "") for i, t in rows}
+    raw = sum(grams.values(), collections.Counter())
+    target = sum((grams[i] for i in good), collections.Counter())
+    share = sum(target.values()) / sum(raw.values())
+    for i, own in grams.items():
+        if i in (41, 42):
+            assert got[i].log_weight is None
+            continue
+        total = 0.0
+        for k, c in own.items():
+            ratio = math.log((target[k] - c * (i in good) + quality.SMOOTH * share) / (raw[k] + quality.SMOOTH) / share)
+            total += c * math.copysign(max(0.0, abs(ratio) - quality.SHRINK), ratio)
+        n = sum(own.values())
+        assert got[i].n_grams == n
+        assert got[i].log_weight == pytest.approx(total * quality.TEMPER / math.sqrt(max(n, 1)), abs=1e-9)
+    assert any(abs(r.log_weight or 0) > 0.1 for r in got.values())
+
+
 def test_kth_largest(spark, monkeypatch):
     monkeypatch.setattr(quality, "LAST", 5)
     rng = random.Random(4)
