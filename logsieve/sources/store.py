@@ -10,10 +10,16 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's own folder below ``spark.checkpoint.dir``, or below the warehouse if unset."""
+    """The session's own folder below ``spark.checkpoint.dir``, or below the warehouse if unset.
+
+    Without the setting, a cluster's warehouse must not be a folder of the driver's machine.
+    """
     app = spark.sparkContext.applicationId
     if app not in _base:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        given, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir")
+        if not given and not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = given or warehouse
         _base[app] = f"{top.rstrip('/')}/logsieve-{uuid.uuid4().hex[:12]}"
     return _base[app]
 
