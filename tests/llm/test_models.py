@@ -169,6 +169,52 @@ def test_kth_largest(spark, monkeypatch):
     assert quality.kth_largest(df.limit(0), "x", 1) is None
 
 
+def test_machines_are_optimal():
+    """The primal objective is convex: at the solution no direction lowers it, and a known margin is found."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.standard_normal((40, 6)) + 0.7, rng.standard_normal((25, 6)) - 0.7])
+    y = np.repeat([1.0, -1.0], [40, 25])
+    c = 0.5
+    w = langid.fit_svm(x, y, epochs=3000, c=c)
+    cost = np.where(y > 0, 25, 40) / 65 * 2 * c  # the rarer side weighs more
+
+    def objective(v):
+        return v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))).sum()
+
+    best = objective(w)
+    for size in (1e-3, 1e-2, 0.1, 1):
+        for _ in range(200):
+            d = rng.standard_normal(7)
+            assert objective(w + size * d / np.linalg.norm(d)) >= best * (1 - 1e-3)  # as far as the last step is that small
+    two = langid.fit_svm(np.array([[2.0], [-2.0]]), np.array([1.0, -1.0]), epochs=100)
+    assert two == pytest.approx([0.5, 0.0], abs=1e-6)
+
+
+def test_votes_follow_the_machines(spark):
+    """Families first, then pairs: machines that look at one feature each, against the rule by hand."""
+    langs = ["de", "en", "es", "fr"]
+    assert len({langid.family(x) for x in langs}) == 2
+    dim = 64
+    words_ = ["zwei", "hund", "kwx", "uno", "gato", "vjy", "maison", "the"]
+    rng = random.Random(3)
+    texts_ = [" ".join(rng.choice(words_) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    gen = np.random.default_rng(8)
+    families = sorted({langid.family(x) for x in langs})
+    machines = {f"family:{f}": gen.standard_normal(dim + 1) for f in families}
+    machines |= {f"pair:{a}:{b}": gen.standard_normal(dim + 1) for i, a in enumerate(langs) for b in langs[i + 1 :] if langid.family(a) == langid.family(b)}
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, machines, langs, dim).collect()}
+    for i, t in enumerate(texts_):
+        x = np.append(langid.features(t, dim), 1.0)
+        best = max(families, key=lambda f: machines[f"family:{f}"] @ x)
+        own = [v for v in langs if langid.family(v) == best]
+        wins = collections.Counter({v: 0 for v in own})
+        for a_, v in enumerate(own):
+            for u in own[a_ + 1 :]:
+                wins[v if machines[f"pair:{v}:{u}"] @ x > 0 else u] += 1
+        assert wins[got[i]] == max(wins.values())
+
+
 def test_language_features_of_pieces(monkeypatch):
     text = "".join(random.Random(5).choice("abc dé") for _ in range(500))
     whole = langid.features(text)
