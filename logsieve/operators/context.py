@@ -293,9 +293,3 @@ def has_encoded_marker(text: Column) -> Column:
 def has_quote_noise(text: Column) -> Column:
     """Repeated quotes, or 15 % special characters once decoded."""
     return T.matches(text, rules.REPEATED_QUOTE) | T.special_ratio_at_least(T.norm(text), 15)
-
-
-def structure_flags(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    return df.select("source_table", "id", *[c.alias(n) for n, c in flags.items()])
-
-
