@@ -87,11 +87,16 @@ def read_sink(spark: SparkSession, path: str, table: str | None = None) -> DataF
     return commits.read_committed(spark, path, table)
 
 
-def noise_windows(left_out: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Left-out rows per category and 120 s window."""
-    rows = left_out.withWatermark("log_time", late) if left_out.isStreaming else left_out
+def watermarked(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Requests of a stream whose clock is the latest of all of them, whatever becomes of it later."""
+    return requests.withWatermark("log_time", late) if requests.isStreaming else requests
+
+
+def noise_windows(left_out: DataFrame) -> DataFrame:
+    """Left-out rows per category and 120 s window. On a stream they come from ``watermarked`` requests: a clock of
+    left-out rows alone would stand still while only candidates arrive, and their windows would never end."""
     return (
-        rows.groupBy(F.window("log_time", "120 seconds").alias("w"), "noise_category")
+        left_out.groupBy(F.window("log_time", "120 seconds").alias("w"), "noise_category")
         .agg(F.count("*").alias("count"))
         .select(F.col("w.start").alias("window_start"), "noise_category", "count")
     )

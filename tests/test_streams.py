@@ -4,10 +4,10 @@ import os
 import random
 
 import pytest
-from helpers import requests, row
+from helpers import BROWSER, requests, row
 from pyspark.errors import StreamingQueryException
 
-from logsieve.operators import bursts
+from logsieve.operators import bursts, score
 from logsieve.sources import tail
 from logsieve.streaming import bursts as stream_bursts
 from logsieve.streaming import commits, ingest
@@ -198,3 +198,17 @@ def test_late_probes_are_dropped_and_counted(spark, tmp_path):
     empty = rows_of(spark, [])
     write(empty, 3)
     assert commits.last_commit(spark, f"{tmp_path}/b")[1]["watermark"] == note["watermark"]
+
+
+def test_noise_windows_end_by_the_time_of_any_request(spark, tmp_path):
+    """The last request is a candidate and no noise; its time still ends the windows before it."""
+    noise = [row(i, "/", at=i, user_agent=BROWSER) for i in range(5)]
+    attack = row(9, "/search?q='%20union%20select%201,2%20from%20users--", at=7200)
+    for rows in (noise, [attack]):
+        part = requests(spark, rows)
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    left = score.filtered(score.judge(ingest.watermarked(stream, "10 minutes")))
+    sink = ingest.noise_windows(left).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    sink.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [r["count"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [5]

@@ -1088,8 +1088,8 @@ def stream_candidates(spark, d):
 def stream_noise_windows(spark, d):
     """Counted on the stream itself, with a watermark; the closing row ends all windows."""
     schema, path, late = _request_folder(spark, d)
-    left = score.filtered(score.judge(_stream(spark, schema, path)))
-    got = _drain(spark, ingest.noise_windows(left, late), "stream-windows")
+    left = score.filtered(score.judge(ingest.watermarked(_stream(spark, schema, path), late)))
+    got = _drain(spark, ingest.noise_windows(left), "stream-windows")
     return got.select(ms("window_start"), "noise_category", "count")
 
 
