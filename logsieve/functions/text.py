@@ -69,6 +69,21 @@ def norm(c: Column) -> Column:
     return trim_all(url_decode(F.coalesce(c.cast("string"), F.lit(""))))
 
 
+def url_decode_stored(c: Column) -> Column:
+    """``url_decode`` of a stored column: most texts have nothing to decode and skip it.
+
+    Names its input several times, so it is not for nested expressions. Bytes that are no UTF-8 go the same way as ever.
+    """
+    stray = F.when(c.contains("%"), F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")).otherwise(c)
+    plain = ~c.contains("%") & ~c.contains("+") & F.is_valid_utf8(c)
+    return F.when(plain, c).otherwise(F.url_decode(stray))
+
+
+def norm_stored(c: Column) -> Column:
+    """``norm`` of a stored column."""
+    return trim_all(url_decode_stored(F.coalesce(c.cast("string"), F.lit(""))))
+
+
 def first_text(*cols: Column) -> Column:
     """First non-empty value, else empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
@@ -109,6 +124,10 @@ def without_entities(c: Column) -> Column:
     ).otherwise(c)
 
 
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def special_count(c: Column) -> Column:
     return F.length(c) - F.length(F.translate(c, rules.SPECIAL_CHARS, ""))
 

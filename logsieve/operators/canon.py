@@ -20,7 +20,7 @@ def _present(df: DataFrame, names) -> list[Column]:
 
 
 def _text(df: DataFrame, *names: str) -> Column:
-    return T.first_text(*[T.norm(c) for c in _present(df, names)])
+    return T.first_text(*[T.norm_stored(c) for c in _present(df, names)])
 
 
 def _raw(df: DataFrame, name: str) -> Column:

@@ -70,9 +70,7 @@ def with_file_disclosure(df: DataFrame) -> DataFrame:
     """File-disclosure flags and points over all samples."""
     sample = F.col("combined")
     low = F.lower(sample)
-    worth = T.contains_any(low, ["php", "convert.base64", "resource"]) | ~sample.rlike(
-        r"^\p{ASCII}*\z"
-    )
+    worth = T.contains_any(low, ["php", "convert.base64", "resource"]) | ~T.ascii_only(sample)
 
     def found(name: str) -> Column:
         return F.when(worth, T.matches(sample, _FILE[name])).otherwise(False)
@@ -197,22 +195,54 @@ SQLI_STRUCTURE = [
 ]
 
 
-def sqli_structure(text: Column) -> dict[str, Column]:
-    """Structural parts of an injection, in the text or its further decoded form."""
-    forms = [text, T.norm(text)]
+#: As in ``signatures.NEEDS``: without a member of each group the structure cannot be there.
+STRUCTURE_NEEDS = {
+    "quote_termination": S.NEEDS["quote_termination"],
+    "sql_comment": S.NEEDS["sql_comment"],
+    "xclose": [["x"], ["'"], [")"]],
+    "boolean_condition": [["or", "and"], ["="]],
+    "union_column_list": S.NEEDS["union_select"],
+    "schema_access": [["information_schema", "sqlite_master", "mysql.user"]],
+    "from_users": [["from"], ["users"]],
+}
+
+
+def structure_forms(text: Column) -> Column:
+    """The text and its further decoded form, if that differs, each with its lower case if it is ASCII."""
+    forms = F.array_distinct(F.array(text, T.norm(text)))
+    return F.transform(forms, lambda f: F.struct(f.alias("text"), S.ascii_lower(f).alias("low")))
+
+
+def sqli_structure(forms: Column) -> dict[str, Column]:
+    """Structural parts of an injection, in any of ``structure_forms``.
+
+    ASCII texts are matched in lower case, the cheap way, and only where the parts of a structure are there at all.
+    """
     patterns = {
         "quote_termination": _SIG["quote_termination"],
+        "sql_comment": _SIG["sql_comment"],
         "xclose": rules.XCLOSE,
         "boolean_condition": rules.BOOLEAN_CONDITION,
         "union_column_list": rules.UNION_COLUMN_LIST,
         "schema_access": rules.SCHEMA_ACCESS,
         "from_users": rules.FROM_USERS,
     }
-    out = {n: T.any_of(T.matches(f, p) for f in forms) for n, p in patterns.items()}
-    out["sql_comment"] = T.any_of(
-        T.matches(T.without_entities(f), _SIG["sql_comment"]) for f in forms
-    )
-    return {n: out[n] for n in SQLI_STRUCTURE}
+
+    def found(form: Column, name: str) -> Column:
+        wide, low = form.getField("text"), form.getField("low")
+        plain = low
+        if name == "sql_comment":
+            plain, wide = T.without_entities(low), T.without_entities(wide)
+        worth = F.lit(True)
+        for group in STRUCTURE_NEEDS[name]:
+            worth = worth & T.contains_any(low, group)
+        fast = F.when(worth, plain.rlike("(?d)" + T.widen(patterns[name]))).otherwise(False)
+        return F.coalesce(F.when(low.isNotNull(), fast).otherwise(T.matches(wide, patterns[name])), F.lit(False))
+
+    def in_form(name: str):
+        return lambda form: found(form, name)
+
+    return {n: F.exists(forms, in_form(n)) for n in SQLI_STRUCTURE}
 
 
 XSS_STRUCTURE = [

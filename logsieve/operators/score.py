@@ -86,7 +86,7 @@ def with_wording(df: DataFrame) -> DataFrame:
     edu_sql = (c("sqli_hits") > 0) & C.learning_sql(c("query"))
     edu_xss = (c("xss_hits") > 0) & C.learning_xss(C.learning_texts())
     df = df.withColumns({"edu_sql": edu_sql, "edu_xss": edu_xss})
-    sql = C.sqli_structure(c("combined"))
+    sql = C.sqli_structure(C.structure_forms(c("combined")))
     xss = C.xss_structure()
 
     def gated(flag: str, cond: Column) -> Column:
@@ -289,7 +289,7 @@ def reason_hints() -> Column:
     xss_worth = T.contains_any(
         F.lower(c("combined")),
         ["script", "on", "document.cookie", "storage", "location", "fetch", "new", "sendbeacon"],
-    ) | ~c("combined").rlike(r"^\p{ASCII}*\z")
+    ) | ~T.ascii_only(c("combined"))
     embedded = embedded_attack()
     parts = F.concat(
         F.array(*S.hit_labels(S.FAMILIES), *C.encoding_hints(), *C.file_disclosure_hints()),

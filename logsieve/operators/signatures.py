@@ -54,7 +54,7 @@ NEEDS = {
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case form of a pure ASCII text, else NULL."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text))
+    return F.when(T.ascii_only(text), F.lower(text))
 
 
 def _worth(name: str, low: Column) -> Column:

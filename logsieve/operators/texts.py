@@ -19,7 +19,7 @@ def with_decode_depths(df: DataFrame) -> DataFrame:
         df = df.withColumns(
             {
                 f"{kind}{depth}": F.nullif(
-                    T.url_decode(F.col(kind + prev)), F.col(kind + prev)
+                    T.url_decode_stored(F.col(kind + prev)), F.col(kind + prev)
                 )
                 for kind in ("q", "t")
             }
@@ -49,7 +49,7 @@ def with_combined_text(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     base = T.join_distinct(
         F.array(
-            F.col("raw_request"), F.col("request_text"), T.norm(F.col("uri")),
+            F.col("raw_request"), F.col("request_text"), T.norm_stored(F.col("uri")),
             F.col("query_raw"), F.col("query"), F.col("target"), F.col("log_text"),
         )
     )

@@ -187,3 +187,44 @@ def test_payload_behind_a_long_prefix_is_found(spark):
     deep = "?q=" + "a" * 6000 + "%2527%2520union%2520select%25201"
     got = score.judge(requests(spark, [row(1, "/search" + deep)])).select("hit_sqli_union_select", "q2").first()
     assert got.q2.endswith("union select 1") and got.hit_sqli_union_select
+
+
+def test_sql_structures_are_those_of_the_plain_patterns(spark):
+    """Whatever the case, the alphabet and the further decoded form; a plain text is searched for one form only."""
+    from logsieve import rules
+    from logsieve.functions import text as T
+    from logsieve.operators import context as C
+    from logsieve.operators import signatures as S
+
+    sqli = {n: p for n, p, _ in rules.SQLI}
+    patterns = {
+        "quote_termination": sqli["quote_termination"], "xclose": rules.XCLOSE, "boolean_condition": rules.BOOLEAN_CONDITION,
+        "union_column_list": rules.UNION_COLUMN_LIST, "schema_access": rules.SCHEMA_ACCESS, "from_users": rules.FROM_USERS,
+    }
+    seen = [
+        "a' OR '1'='1", "x%27))+UNION+SELECT+a,b", "é UNİON select union SELECT 1, 2 from Users", "1 and 2=2", "&#39; only",
+        "&#39; --", "/* c", "sqlite_master", "%2527%2520or%25201=1", "plain", "", "mysql.USER", "X ' ) )", "oſ from uſers",
+    ]
+    df = spark.createDataFrame([(t,) for t in seen], "x string").withColumn("forms", C.structure_forms(F.col("x")))
+    forms = [F.col("x"), T.norm(F.col("x"))]
+    plain = {n: T.any_of(T.matches(f, p) for f in forms) for n, p in patterns.items()}
+    plain["sql_comment"] = T.any_of(T.matches(T.without_entities(f), S._COMMENT) for f in forms)
+    got = C.sqli_structure(F.col("forms"))
+    hits = dict.fromkeys(got, 0)
+    shown = [v.alias(f"got_{n}") for n, v in got.items()] + [v.alias(f"plain_{n}") for n, v in plain.items()]
+    for r in df.select("x", F.size("forms").alias("n"), *shown).collect():
+        for n in got:
+            assert r[f"got_{n}"] == r[f"plain_{n}"], (n, r.x)
+            hits[n] += r[f"got_{n}"]
+        assert r.n == (2 if "%" in r.x or "+" in r.x else 1), r.x
+    assert all(hits.values()), hits
+
+
+def test_texts_with_nothing_to_decode_are_left_alone(spark):
+    from logsieve.functions import text as T
+
+    seen = ["plain", " a ", "a+b", "%41", "100% sure", "%zz+%20", "é", "é+%C3%A9", "", "%", "+", None]
+    rows = spark.createDataFrame([(t.encode() if t is not None else None,) for t in seen] + [(b"bad \xff byte",), (b"\xff%41",)], "b binary")
+    df = rows.select(F.col("b").cast("string").alias("x"))
+    for r in df.select("x", T.norm_stored(F.col("x")).alias("got"), T.norm(F.col("x")).alias("want")).collect():
+        assert r.got == r.want, r.x

@@ -496,7 +496,8 @@ def xss_context_hints(spark, d):
 @query
 def sqli_structure(spark, d):
     r = texts.with_texts(requests(spark, d, ALL))
-    flags = context.sqli_structure(c("combined"))
+    r = hold(r, {"forms": context.structure_forms(c("combined"))})
+    flags = context.sqli_structure(c("forms"))
     return r.select(*ROW, *[yes(v).alias(n) for n, v in flags.items()])
 
 
