@@ -2,13 +2,16 @@
 
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as T
 from logsieve.operators import responses
 from logsieve.sources import logs, tables
+from workload import request_log
 
 
 def lines(spark, *values):
@@ -117,3 +120,12 @@ def test_model_answers(spark):
     assert parsed[5].violations == ["severity", "recommended_actions_size"]
     errors = {r.candidate_index: r.error_type for r in responses.triage_errors(df).collect()}
     assert errors == {3: "json_decode_error", 6: "empty_output", 7: "json_decode_error"}
+
+
+def test_files_of_the_log_have_many_row_groups(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(request_log, "ROW_GROUP", 16 << 10, raising=False)
+    monkeypatch.setattr(request_log, "_written", {})
+    log = request_log.base_log(spark, sf_dir)
+    groups = [pq.ParquetFile(f).num_row_groups for f in Path(log._scratch).glob("part-*.parquet")]
+    assert groups and min(groups) > 1
+    assert log.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()

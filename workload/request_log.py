@@ -25,12 +25,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 _written: dict = {}
 
+#: Bytes of a row group of the log. Small ones let Spark cut files into even tasks, however large the files are.
+ROW_GROUP = 4 << 20
+
 
 def base_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log as a stored table, written once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        _written[key] = materialize(derive_log(spark, sf_dir), "request-log")
+        _written[key] = materialize(
+            derive_log(spark, sf_dir), "request-log", **{"parquet.block.size": str(ROW_GROUP)}
+        )
     return _written[key]
 
 
