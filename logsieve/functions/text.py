@@ -36,6 +36,19 @@ def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(rx(pattern)), F.lit(False))
 
 
+def matches_lowered(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """``matches`` for long texts: ASCII ones are searched in lower case, without the slow Unicode rules.
+
+    ``low``: a column that holds the lower case of ASCII texts. Patterns that tell cases apart need ``matches``.
+    """
+    plain = "(?d)" + widen(pattern.lower())
+    if low is not None:
+        fast = F.when(low.isNotNull(), low.rlike(plain))
+    else:
+        fast = F.when(ascii_only(c), F.lower(c).rlike(plain))
+    return F.coalesce(fast.otherwise(c.rlike(rx(pattern))), F.lit(False))
+
+
 def any_of(conditions) -> Column:
     out = F.lit(False)
     for cond in conditions:

@@ -69,11 +69,11 @@ def encoding_hints() -> list[Column]:
 def with_file_disclosure(df: DataFrame) -> DataFrame:
     """File-disclosure flags and points over all samples."""
     sample = F.col("combined")
-    low = F.lower(sample)
-    worth = T.contains_any(low, ["php", "convert.base64", "resource"]) | ~T.ascii_only(sample)
+    low = F.col("combined_low")
+    worth = T.contains_any(low, ["php", "convert.base64", "resource"]) | low.isNull()
 
     def found(name: str) -> Column:
-        return F.when(worth, T.matches(sample, _FILE[name])).otherwise(False)
+        return F.when(worth, T.matches_lowered(sample, _FILE[name], low)).otherwise(False)
 
     starts = T.any_of(
         F.coalesce(T.trim_all(c).rlike(T.rx(r"^resource\s*=")), F.lit(False))
@@ -138,8 +138,11 @@ def file_disclosure_hints() -> list[Column]:
     return [F.when(F.col(flag), F.lit(hint)) for flag, hint in names]
 
 
-def _xss_hints_of(sample: Column) -> Column:
-    handler = T.matches(sample, rules.EVENT_HANDLER_ASSIGNMENT)
+def _xss_hints_of(sample: Column, low: Column | None = None) -> Column:
+    def found(pattern: str) -> Column:
+        return T.matches_lowered(sample, pattern, low)
+
+    handler, script = found(rules.EVENT_HANDLER_ASSIGNMENT), found(SCRIPT_TAG)
     names = F.array_sort(
         F.array_distinct(
             F.regexp_extract_all(
@@ -150,36 +153,33 @@ def _xss_hints_of(sample: Column) -> Column:
     label = "xss:event_handler:"
     named = F.split(F.concat(F.lit(label), F.array_join(names, "\x01" + label)), "\x01")
     none = F.array().cast("array<string>")
-    access = T.matches(sample, rules.BROWSER_DATA_ACCESS)
     return F.concat(
         F.array(
-            F.when(T.matches(sample, SCRIPT_TAG), F.lit("xss:script_tag")),
-            F.when(T.matches(sample, MIXED_CASE_SCRIPT), F.lit("xss:mixed_case_script_tag")),
+            F.when(script, F.lit("xss:script_tag")),
+            F.when(script & T.matches(sample, MIXED_CASE_SCRIPT), F.lit("xss:mixed_case_script_tag")),
             F.when(handler, F.lit("xss:event_handler")),
         ),
         F.when(handler, named).otherwise(none),
         F.array(
-            F.when(T.matches(sample, JAVASCRIPT), F.lit("xss:javascript_protocol")),
-            F.when(access, F.lit("xss:browser_data_access")),
-            F.when(T.matches(sample, r"document\.cookie"), F.lit("xss:document_cookie")),
-            F.when(
-                T.matches(sample, rules.EXTERNAL_NAVIGATION), F.lit("xss:external_navigation")
-            ),
+            F.when(found(JAVASCRIPT), F.lit("xss:javascript_protocol")),
+            F.when(found(rules.BROWSER_DATA_ACCESS), F.lit("xss:browser_data_access")),
+            F.when(found(r"document\.cookie"), F.lit("xss:document_cookie")),
+            F.when(found(rules.EXTERNAL_NAVIGATION), F.lit("xss:external_navigation")),
         ),
     )
 
 
-def xss_context_hints() -> Column:
-    """Ordered XSS hints. The decoded query speaks first, then the whole text."""
+def xss_context_hints(low: Column | None = None) -> Column:
+    """Ordered XSS hints. The decoded query speaks first, then the whole text, whose ``low`` is ``ascii_lower``."""
     sample = F.col("combined")
     entity_script = F.coalesce(T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False))
     logged_entity = T.has_entity(F.col("query_raw")) | T.has_entity(F.col("target"))
-    reach = T.matches(sample, rules.BROWSER_DATA_ACCESS) & (
-        T.matches(sample, rules.EXTERNAL_NAVIGATION) | T.matches(sample, rules.EXTERNAL_URL)
+    reach = T.matches_lowered(sample, rules.BROWSER_DATA_ACCESS, low) & (
+        T.matches_lowered(sample, rules.EXTERNAL_NAVIGATION, low) | T.matches_lowered(sample, rules.EXTERNAL_URL, low)
     )
     all_hints = F.concat(
         _xss_hints_of(F.col("query")),
-        _xss_hints_of(sample),
+        _xss_hints_of(sample, low),
         F.array(
             F.when(entity_script & logged_entity, F.lit("xss:html_entity_encoded")),
             F.when(entity_script, F.lit("xss:html_entity_decoded_script")),

@@ -57,6 +57,8 @@ def with_analysis(df: DataFrame) -> DataFrame:
     """Texts, signature hits and context flags."""
     df = X.with_texts(with_request_facts(df))
     df = df.withColumn("scan_text", F.when(c("early_noise").isNull(), c("combined")))
+    df = df.withColumn("combined_low", S.ascii_lower(c("combined")))
+    df = df.withColumn("scan_text_low", F.when(c("early_noise").isNull(), c("combined_low")))
     df = S.with_hits(df, ("sqli", "xss", "cmdi"), "scan_text")
     df = S.with_hits(df, ("traversal", "ua"), "combined")
     df = df.withColumns({f"{fam}_hits": S.hit_count(fam) for fam in S.FAMILIES})
@@ -287,13 +289,13 @@ def reason_hints() -> Column:
                 for cond, text in pairs]
 
     xss_worth = T.contains_any(
-        F.lower(c("combined")),
+        c("combined_low"),
         ["script", "on", "document.cookie", "storage", "location", "fetch", "new", "sendbeacon"],
-    ) | ~T.ascii_only(c("combined"))
+    ) | c("combined_low").isNull()
     embedded = embedded_attack()
     parts = F.concat(
         F.array(*S.hit_labels(S.FAMILIES), *C.encoding_hints(), *C.file_disclosure_hints()),
-        F.when(xss_worth, C.xss_context_hints()).otherwise(none),
+        F.when(xss_worth, C.xss_context_hints(c("combined_low"))).otherwise(none),
         F.array(
             *labels(
                 (c("hpp_detected"), "hpp:duplicate_param_names(+1)"),

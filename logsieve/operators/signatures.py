@@ -134,20 +134,20 @@ _COMMENT = {n: p for n, p, _ in rules.SQLI}["sql_comment"]
 
 
 def _comment(text: Column) -> Column:
-    return T.matches(T.without_entities(text), _COMMENT)
+    return T.matches_lowered(T.without_entities(text), _COMMENT)
 
 
 def any_sqli(text: Column) -> Column:
-    return _comment(text) | T.matches(text, _ANY_SQLI)
+    return _comment(text) | T.matches_lowered(text, _ANY_SQLI)
 
 
 def any_attack(text: Column) -> Column:
-    return _comment(text) | T.matches(text, _ANY_ATTACK)
+    return _comment(text) | T.matches_lowered(text, _ANY_ATTACK)
 
 
 def any_attack_as_logged(text: Column) -> Column:
     """Like ``any_attack`` but entities count towards the comment signature."""
-    return T.matches(text, _COMMENT) | T.matches(text, _ANY_ATTACK)
+    return T.matches_lowered(text, _COMMENT) | T.matches_lowered(text, _ANY_ATTACK)
 
 
 def any_xss(text: Column) -> Column:

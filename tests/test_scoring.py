@@ -228,3 +228,28 @@ def test_texts_with_nothing_to_decode_are_left_alone(spark):
     df = rows.select(F.col("b").cast("string").alias("x"))
     for r in df.select("x", T.norm_stored(F.col("x")).alias("got"), T.norm(F.col("x")).alias("want")).collect():
         assert r.got == r.want, r.x
+
+
+def test_lower_case_search_finds_what_the_unicode_search_finds(spark):
+    from logsieve import rules
+    from logsieve.functions import text as T
+    from logsieve.operators import signatures
+
+    texts = [
+        "x=1' OR 1=1 --", "<ScRiPt>alert(1)</sCrIpT>", "a\nb ONerror\x1c= y", "LOCALSTORAGE", "new\x1fImage().src",
+        "ſcript <ſcript", "<SCRİPT", "select x FROM t", "é document.cookie", "PHP%3A%2F%2FFILTER", "", None, "plain",
+        "navigator.sendBEACON (", "SELECT a\nfrom b", "&#x3c;#", "café UNION SELECT",
+    ]
+    patterns = [
+        p for group in (rules.SQLI, rules.XSS, rules.TRAVERSAL, rules.CMDI, rules.FILE_DISCLOSURE) for _, p, _ in group
+    ] + [
+        rules.EVENT_HANDLER_ASSIGNMENT, rules.BROWSER_DATA_ACCESS, rules.EXTERNAL_NAVIGATION, rules.EXTERNAL_URL,
+        signatures._ANY_ATTACK, signatures._ANY_SQLI,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", signatures.ascii_lower(F.col("t")))
+    forms = [
+        F.array(*[find(F.col("t"), p) for p in patterns])
+        for find in (T.matches, T.matches_lowered, lambda c, p: T.matches_lowered(c, p, F.col("low")))
+    ]
+    for text, wide, plain, stored in df.select("t", *forms).collect():
+        assert wide == plain == stored, text
