@@ -23,32 +23,62 @@ def _attack_in_combined() -> Column:
     )
 
 
+def with_depth_facts(df: DataFrame) -> DataFrame:
+    """What the decode depths and entity forms hold, whatever else was logged. Needs ``with_text_parts``."""
+    df = df.withColumn("depth_low", S.ascii_lower(F.concat_ws(" ", "head_text", "extra_text")))
+    low = F.col("depth_low")
+
+    def at(worth: Column, test, *depths: int) -> Column:
+        found = T.any_of(c.isNotNull() & test(c) for c in X.depth_texts(*depths))
+        return F.when(worth, F.coalesce(found, F.lit(False))).otherwise(False)
+
+    def trimmed(test):
+        return lambda c: test(T.trim_all(c))
+
+    def php(c: Column) -> Column:
+        return T.matches(c, rules.PHP_FILTER)
+
+    df = df.withColumn("depth_attack", S.may_attack(low))
+    attack, wrapped = F.col("depth_attack"), low.isNull() | low.contains("php")
+    resource = low.isNull() | low.contains("resource")
+    entity = X.entity_texts()
+    return df.withColumns(
+        {f"attack_at_{d}": at(attack, trimmed(S.any_attack), d) for d in range(3)}
+        | {f"sqli_at_{d}": at(attack, trimmed(S.any_sqli), d) for d in (1, 2)}
+        | {
+            "resource_at": at(resource, trimmed(lambda c: c.rlike(T.rx(r"^resource\s*="))), 0, 1, 2),
+            "php_at_1": at(wrapped, php, 1),
+            "php_at_2": at(wrapped, php, 2),
+            "entity_text": entity,
+            "entity_xss": F.coalesce(S.any_xss(entity), F.lit(False)),
+            "entity_script": F.coalesce(T.matches(entity, SCRIPT_TAG), F.lit(False)),
+            "logged_entity": T.has_entity(F.col("query_raw")) | T.has_entity(F.col("target")),
+        }
+    ).drop("depth_low", "depth_attack")
+
+
 def with_encoding_flags(df: DataFrame) -> DataFrame:
-    """Where in the decode depths do attack signatures appear?
+    """Where in the decode depths do attack signatures appear? Needs ``with_depth_facts``.
 
     Depth 2 counts as "depth >= 1" as well, so a bonus for SQL injection seen only at
     depth 2 can never apply and carries no points.
     """
     gate = _attack_in_combined()
 
-    def at(depth: int, test) -> Column:
-        found = T.any_of(
-            c.isNotNull() & test(T.trim_all(c)) for c in X.depth_texts(depth)
-        )
-        return F.when(gate, F.coalesce(found, F.lit(False))).otherwise(False)
+    def at(name: str) -> Column:
+        return F.when(gate, F.col(name)).otherwise(False)
 
     df = df.withColumns(
-        {f"attack_d{d}": at(d, S.any_attack) for d in range(3)}
-        | {f"sqli_d{d}": at(d, S.any_sqli) for d in (1, 2)}
+        {f"attack_d{d}": at(f"attack_at_{d}") for d in range(3)}
+        | {f"sqli_d{d}": at(f"sqli_at_{d}") for d in (1, 2)}
     )
-    entity = X.entity_texts()
     return df.withColumns(
         {
             "enc_url": (F.col("attack_d1") | F.col("attack_d2")) & ~F.col("attack_d0"),
             "enc_double": F.col("attack_d2"),
             "enc_double_sqli": F.col("sqli_d2"),
-            "enc_entity": entity.isNotNull(),
-            "enc_entity_xss": F.coalesce(S.any_xss(entity), F.lit(False)),
+            "enc_entity": F.col("entity_text").isNotNull(),
+            "enc_entity_xss": F.col("entity_xss"),
         }
     )
 
@@ -75,15 +105,11 @@ def with_file_disclosure(df: DataFrame) -> DataFrame:
     def found(name: str) -> Column:
         return F.when(worth, T.matches_lowered(sample, _FILE[name], low)).otherwise(False)
 
-    starts = T.any_of(
-        F.coalesce(T.trim_all(c).rlike(T.rx(r"^resource\s*=")), F.lit(False))
-        for c in X.depth_texts(0, 1, 2)
-    )
     df = df.withColumns(
         {
             "fd_wrapper": found("php_filter_wrapper"),
             "fd_base64": found("base64_source_filter"),
-            "fd_resource": found("resource_parameter") | F.when(worth, starts).otherwise(False),
+            "fd_resource": found("resource_parameter") | F.when(worth, F.col("resource_at")).otherwise(False),
             "fd_admin_config": found("admin_config_php"),
             "fd_config": found("config_php"),
             "fd_index": found("index_php"),
@@ -100,8 +126,7 @@ def with_file_disclosure(df: DataFrame) -> DataFrame:
 
     def wrapper_at(*depths: int) -> Column:
         return F.when(
-            F.col("fd_wrapper"),
-            T.any_of(T.matches(c, rules.PHP_FILTER) for c in X.depth_texts(*depths)),
+            F.col("fd_wrapper"), T.any_of(F.col(f"php_at_{d}") for d in depths)
         ).otherwise(False)
 
     points = [
@@ -169,16 +194,34 @@ def _xss_hints_of(sample: Column, low: Column | None = None) -> Column:
     )
 
 
-def xss_context_hints(low: Column | None = None) -> Column:
-    """Ordered XSS hints. The decoded query speaks first, then the whole text, whose ``low`` is ``ascii_lower``."""
+#: Substrings without which a text gives no XSS hint.
+XSS_NEEDS = ["script", "on", "document.cookie", "storage", "location", "fetch", "new", "sendbeacon"]
+
+
+def query_xss_hints() -> Column:
+    """The hints of the decoded query."""
+    low = S.ascii_lower(F.col("query"))
+    worth = low.isNull() | T.contains_any(low, XSS_NEEDS)
+    return F.when(worth, _xss_hints_of(F.col("query"))).otherwise(F.array().cast("array<string>"))
+
+
+def xss_context_hints(low: Column | None = None, known: bool = False) -> Column:
+    """Ordered XSS hints. The decoded query speaks first, then the whole text, whose ``low`` is ``ascii_lower``.
+
+    ``known``: the query's hints and the entity flags are columns already.
+    """
     sample = F.col("combined")
-    entity_script = F.coalesce(T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False))
-    logged_entity = T.has_entity(F.col("query_raw")) | T.has_entity(F.col("target"))
+    if known:
+        of_query, entity_script, logged_entity = F.col("query_xss"), F.col("entity_script"), F.col("logged_entity")
+    else:
+        of_query = _xss_hints_of(F.col("query"))
+        entity_script = F.coalesce(T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False))
+        logged_entity = T.has_entity(F.col("query_raw")) | T.has_entity(F.col("target"))
     reach = T.matches_lowered(sample, rules.BROWSER_DATA_ACCESS, low) & (
         T.matches_lowered(sample, rules.EXTERNAL_NAVIGATION, low) | T.matches_lowered(sample, rules.EXTERNAL_URL, low)
     )
     all_hints = F.concat(
-        _xss_hints_of(F.col("query")),
+        of_query,
         _xss_hints_of(sample, low),
         F.array(
             F.when(entity_script & logged_entity, F.lit("xss:html_entity_encoded")),
@@ -252,7 +295,8 @@ XSS_STRUCTURE = [
 ]
 
 
-def xss_structure() -> dict[str, Column]:
+def xss_structure(entity_script: Column | None = None) -> dict[str, Column]:
+    """``entity_script``: whether an entity form holds a script tag, if that is known already."""
     sample = F.col("combined")
     patterns = {
         "script_tag": SCRIPT_TAG,
@@ -264,9 +308,9 @@ def xss_structure() -> dict[str, Column]:
         "quote_breakout": rules.QUOTE_BREAKOUT,
     }
     out = {n: T.matches(sample, p) for n, p in patterns.items()}
-    out["html_entity_decoded_script"] = F.coalesce(
-        T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False)
-    )
+    if entity_script is None:
+        entity_script = F.coalesce(T.matches(X.entity_texts(), SCRIPT_TAG), F.lit(False))
+    out["html_entity_decoded_script"] = entity_script
     return out
 
 
@@ -297,9 +341,7 @@ def learning_xss(text: Column) -> Column:
     latin = [t.replace(" ", r"\s+") for t in rules.LEARNING_XSS_TERMS if t.isascii()]
     other = [t for t in rules.LEARNING_XSS_TERMS if not t.isascii()]
     worded = T.matches(low, r"(?<![\w./-])(?:" + "|".join(latin) + r")(?![\w./-])")
-    return (worded | T.contains_any(low, other)) & T.contains_any(
-        low, rules.LEARNING_XSS_KEYWORDS
-    )
+    return T.contains_any(low, rules.LEARNING_XSS_KEYWORDS) & (worded | T.contains_any(low, other))
 
 
 def learning_texts() -> Column:

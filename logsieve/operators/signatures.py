@@ -80,6 +80,12 @@ def hit(
     return F.coalesce(F.when(low.isNotNull(), fast).otherwise(slow), F.lit(False))
 
 
+def may_attack(low: Column) -> Column:
+    """Can any attack signature match the text whose ``ascii_lower`` is ``low``?"""
+    worth = T.any_of(_worth(n, low) for fam in ATTACK_FAMILIES for n, _, _ in FAMILIES[fam])
+    return low.isNull() | worth
+
+
 def with_hits(df: DataFrame, families=tuple(FAMILIES), text="combined") -> DataFrame:
     low_names = {"ua": "ua_low"}
     needed = {}

@@ -7,6 +7,7 @@ from logsieve.functions import text as T
 from logsieve.functions.stage import hold
 
 DEPTHS = ["q0", "q1", "q2", "t0", "t1", "t2"]
+HEAD = ["raw_request", "request_text", "uri_text", "query_raw", "query", "target"]
 
 
 def with_decode_depths(df: DataFrame) -> DataFrame:
@@ -44,15 +45,11 @@ def with_entity_forms(df: DataFrame) -> DataFrame:
     return df.withColumns(out).drop("entity_forms")
 
 
-def with_combined_text(df: DataFrame) -> DataFrame:
-    """Adds ``base_text`` and ``combined``: distinct forms of the request in one text."""
+def with_text_parts(df: DataFrame) -> DataFrame:
+    """Adds ``head_text`` and ``extra_text``: what stands before and after ``log_text`` in the combined text."""
     none = F.array().cast("array<string>")
-    base = T.join_distinct(
-        F.array(
-            F.col("raw_request"), F.col("request_text"), T.norm_stored(F.col("uri")),
-            F.col("query_raw"), F.col("query"), F.col("target"), F.col("log_text"),
-        )
-    )
+    df = df.withColumn("uri_text", T.norm_stored(F.col("uri")))
+    head = T.join_distinct(F.array(*[F.col(n) for n in HEAD]))
     extra = T.join_distinct(
         F.concat(
             F.array(T.trim_all(F.col("q1")), T.trim_all(F.col("q2"))),
@@ -61,13 +58,27 @@ def with_combined_text(df: DataFrame) -> DataFrame:
             F.coalesce("t_entities", none),
         )
     )
-    return df.withColumn("base_text", base).withColumn("extra_text", extra).withColumn(
-        "combined", T.join_distinct(F.array(F.col("base_text"), F.col("extra_text")))
-    ).drop("extra_text")
+    return df.withColumns({"head_text": head, "extra_text": extra})
+
+
+def _joined(first: Column, second: Column, known: Column) -> Column:
+    """Both texts with a space between; a second text that is known already adds nothing."""
+    return F.when(known, first).when(first == "", second).otherwise(F.concat(first, F.lit(" "), second))
+
+
+def with_combined_text(df: DataFrame) -> DataFrame:
+    """Adds ``base_text`` and ``combined``: distinct forms of the request in one text."""
+    log = F.coalesce("log_text", F.lit(""))
+    known = F.coalesce(log.isin("", *[F.col(n) for n in HEAD]), F.lit(False))
+    df = df.withColumn("base_text", _joined(F.col("head_text"), log, known))
+    extra = F.col("extra_text")
+    return df.withColumn(
+        "combined", _joined(F.col("base_text"), extra, extra.isin("", F.col("base_text")))
+    ).drop("head_text", "extra_text", "uri_text")
 
 
 def with_texts(df: DataFrame) -> DataFrame:
-    return with_combined_text(with_entity_forms(with_decode_depths(df)))
+    return with_combined_text(with_text_parts(with_entity_forms(with_decode_depths(df))))
 
 
 def depth_texts(*depths: int) -> list[Column]:

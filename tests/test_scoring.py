@@ -5,6 +5,7 @@ from helpers import BROWSER, requests, row
 from pyspark.sql import functions as F
 
 from logsieve.operators import score
+from logsieve.sources import store
 
 CASES = {
     1: ("/rest/products/search?q='union%20select%201,2,3,4,5,6,7,8,9--'", {}, "sqli"),
@@ -253,3 +254,23 @@ def test_lower_case_search_finds_what_the_unicode_search_finds(spark):
     ]
     for text, wide, plain, stored in df.select("t", *forms).collect():
         assert wide == plain == stored, text
+
+
+def test_lines_are_judged_once(spark, monkeypatch):
+    """Repeated request lines are one row of the line facts, and each row is judged as if alone."""
+    lines = ["/search?q=1%27%20or%20%271%27%3D%271", "/static/a.css", "/%61dmin/?x=%26%2360%3Bscript%26%2362%3B"]
+    rows = [row(i, lines[i % 3], status_code=404 if i % 2 else 200) for i in range(1, 31)]
+    written = []
+
+    def seen(df, name, **options):
+        out = store.materialize(df, name, **options)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(score, "materialize", seen)
+    shown = ["id", "score", "verdict_hint", "noise_category", "probe_path", "combined", "enc_entity", "hpp_names"]
+    got = score.judge(requests(spark, rows)).withColumn("hpp_names", F.array_join("hpp_param_names", ","))
+    assert written == [("line-facts", 3)]
+    monkeypatch.setattr(score, "with_line_facts", score.line_facts)
+    alone = score.judge(requests(spark, rows)).withColumn("hpp_names", F.array_join("hpp_param_names", ","))
+    assert sorted(map(str, got.select(*shown).collect())) == sorted(map(str, alone.select(*shown).collect()))
