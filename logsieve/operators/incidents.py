@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logsieve import rules
 from logsieve.functions import text as T
-from logsieve.sources.store import materialize
+from logsieve.sources.store import materialize, release
 
 c = F.col
 
@@ -162,8 +162,15 @@ def with_place(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_candidate_index(incidents: DataFrame) -> DataFrame:
-    """Adds the place of each incident in ``top_candidates`` order, from 0."""
-    return with_place(top_candidates(incidents), "candidate_index")
+    """Adds the place of each incident in ``top_candidates`` order, from 0.
+
+    The incidents are written first: a distributed sort reads its input twice, once for the ranges, and would merge
+    all candidates twice.
+    """
+    merged = materialize(incidents, "merged")
+    out = with_place(top_candidates(merged), "candidate_index")
+    release(merged)
+    return out
 
 
 def incident_groups(incidents: DataFrame) -> DataFrame:

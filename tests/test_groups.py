@@ -275,3 +275,21 @@ def test_unknown_source_is_an_error(spark):
     with pytest.raises(ValueError):
         canon.select_sources({"security": table(spark, [])}, "security,nope")
     assert rules.SOURCES[0] == "security"
+
+
+def test_incidents_are_merged_once(spark):
+    """The sort behind the index reads a written table, so each incident is made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(key):
+        made.add(1)
+        return key
+
+    rows = spark.range(40).select(
+        counted(F.col("id").cast("string")).alias("incident_group_key"), (F.col("id") % 7).alias("score"),
+        F.timestamp_millis(F.col("id")).alias("log_time"), F.col("id").alias("first_arrival"),
+    )
+    got = incidents.with_candidate_index(rows).orderBy("candidate_index").collect()
+    assert [(r.score, r.first_arrival) for r in got] == sorted(((i % 7, i) for i in range(40)), reverse=True)
+    assert made.value == 40
