@@ -19,8 +19,13 @@ from logsieve.sources.store import materialize
 c = F.col
 
 
-def early_noise() -> Column:
-    """Session polling and static files that leave before any scoring."""
+def early_noise(is_static: Column | None = None) -> Column:
+    """Session polling and static files that leave before any scoring.
+
+    ``is_static``: whether the uri is a static file's, where that is known already.
+    """
+    if is_static is None:
+        is_static = P.is_static_uri(c("uri"))
     joined = F.lower(F.concat_ws(" ", c("uri"), c("request_text"), c("query")))
     polling = (
         c("source_table").isin("access", "security")
@@ -32,7 +37,7 @@ def early_noise() -> Column:
     )
     attack = F.when(polling, S.any_attack_as_logged(joined))
     static = (
-        (c("source_table") == "access") & c("is_static") & (c("status_code") == 200)
+        (c("source_table") == "access") & is_static & (c("status_code") == 200)
     )
     return (
         F.when(polling & ~F.coalesce(attack, F.lit(True)), F.lit("socketio_polling"))
@@ -96,7 +101,7 @@ def with_line_facts(df: DataFrame) -> DataFrame:
 def with_analysis(df: DataFrame) -> DataFrame:
     """Texts, signature hits and context flags."""
     df = with_line_facts(df).withColumn("stored_uri", c("uri_text"))
-    df = df.withColumns({"early_noise": early_noise(), "is_browser": P.is_browser(c("user_agent"))})
+    df = df.withColumns({"early_noise": early_noise(c("is_static")), "is_browser": P.is_browser(c("user_agent"))})
     df = X.with_combined_text(df)
     df = df.withColumn("scan_text", F.when(c("early_noise").isNull(), c("combined")))
     df = df.withColumn("combined_low", S.ascii_lower(c("combined")))

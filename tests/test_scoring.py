@@ -129,6 +129,20 @@ def test_static_asset_only_in_access(spark):
     assert security.noise_category == "benign_normal_search"
 
 
+def test_early_noise_needs_no_other_facts_than_canonical_rows(spark):
+    rows = [
+        row(1, "/assets/app.js", user_agent=BROWSER), row(2, "/assets/app.js", status_code=404),
+        row(3, "/socket.io/?EIO=4&transport=polling", user_agent=BROWSER, error_link_id=""),
+        row(4, "/socket.io/?EIO=4&transport=polling&x=' or 1=1--", user_agent=BROWSER, error_link_id=""), row(5, "/"),
+    ]
+    for source, static in (("access", "static_asset"), ("security", None)):
+        plain = requests(spark, rows, source)
+        want = {1: static, 2: None, 3: "socketio_polling", 4: None, 5: None}
+        assert {r.id: r.category for r in plain.select("id", score.early_noise().alias("category")).collect()} == want
+        judged = score.judge(plain).select("id", "early_noise").collect()  # with what is known of the line
+        assert {r.id: r.early_noise for r in judged} == want
+
+
 def _one_text_of(pattern):
     """A text that the alternatives of a fixed pattern match, one for each top-level part."""
     return {
