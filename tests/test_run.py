@@ -128,3 +128,16 @@ def test_valid_answers_become_results(spark):
     assert got == {0: (True, []), 1: (False, ["severity"])}
     rows = responses.classified(checked.where("valid"), run.incidents).collect()
     assert [(r.candidate_index, r.severity, r.false_positive_possible) for r in rows] == [(0, "high", False)]
+
+
+def test_answers_never_meet_incidents_in_the_driver(spark):
+    """Spark underrates the size of typed answers, so that it would broadcast millions of them."""
+    incidents = spark.createDataFrame([(0, 10), (1, 11), (1, 11), (3, 13), (None, 14)], "candidate_index long, id long")
+    parsed = responses.parse_responses(store.materialize(answers(spark, GOOD, f"So: {GOOD} done", GOOD), "answers"))
+    joined = responses.classified(parsed, incidents)
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        joined.explain()
+    assert "SortMergeJoin" in shown.getvalue() and "Broadcast" not in shown.getvalue()
+    rows = joined.select("candidate_index", "log_id", "severity").collect()
+    assert sorted(tuple(r) for r in rows) == [(0, 10, "high"), (1, 11, "high"), (1, 11, "high")]
